@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.decontaminate import op8_decontamination
+from tidemark.llm.jaccard import OP1_SQL, op1_jaccard_join
 from tidemark.llm.token_counts import op2_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_token_counts": op2_token_counts,
     "op8_decontamination": op8_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_jaccard_join": OP1_SQL}
