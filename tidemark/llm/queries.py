@@ -8,12 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.decontaminate import op8_decontamination
 from tidemark.llm.jaccard import OP1_SQL, op1_jaccard_join
+from tidemark.llm.mixing import op5_mixing
+from tidemark.llm.packing import op9_packed_rows
+from tidemark.llm.quality import op7_quality_classifier
 from tidemark.llm.token_counts import op2_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_token_counts": op2_token_counts,
+    "op5_mixing": op5_mixing,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_decontamination": op8_decontamination,
+    "op9_packed_rows": op9_packed_rows,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_jaccard_join": OP1_SQL}
