@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.tables import saved
+from tidemark.llm.tables import forget, saved
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -27,13 +27,14 @@ def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     hub's edges are aggregated on the map side and joined by key, so adaptive execution can split them.
     """
     e = saved(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = None
     for _ in range(most_rounds):
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if not now[0] or now == mark:
+        # done when each vertex is the child of one root or a root
+        ends = e.select(F.col("u").alias("id"), F.lit(1).alias("child")).union(e.select(F.col("v").alias("id"), F.lit(0).alias("child")))
+        ends = ends.groupBy("id").agg(F.sum("child").alias("children"), F.min("child").alias("least"))
+        if ends.where("children > 1 or (children = 1 and least = 0)").isEmpty():
             break
-        mark = now
-        e = saved(_small_star(_large_star(e)), "edges")
+        before, e = e, saved(_small_star(_large_star(e)), "edges")
+        forget(before)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

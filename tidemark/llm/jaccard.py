@@ -9,9 +9,10 @@ Texts with equal sets form a class; the work is on classes. It goes in two steps
    common shingle, and by a suffix filter (counts of the sets' shingles in ranges of hashes bound their overlap), then
    verified once per pair on the whole sets.
 
-Groups need no list of all pairs: in star rounds each prefix shingle's classes are compared with one leader; then
-all pairs that share a prefix shingle but not yet a group are compared, outsiders against the rest. No pair that
-could change a group is left out. `jaccard_links` lists all linking pairs of classes instead.
+Groups need no list of all pairs. First a star: classes with the same smallest hash (of four hash functions) are compared with one
+leader, which gathers most of a large group at the cost of four pairs a class at most. Then all pairs that share a prefix
+shingle but not yet a group are compared, outsiders of a shingle's largest group against the rest. No pair that could change a
+group is left out. `jaccard_links` lists all linking pairs of classes instead.
 
 Defined results: null and wordless texts have an empty set and link with nothing; a text with fewer words than a shingle
 has its whole sequence as its one shingle; repeated rows fall in one class and all get a row; a null doc_id stays null and
@@ -30,9 +31,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
 from tidemark.llm.kernels import LOWER, as_bytes, grams, mix, signed, span_hashes, word_spans
-from tidemark.llm.tables import saved, small
+from tidemark.llm.tables import forget, release, saved, small
 
 BINS = 32
+STARS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -55,7 +57,7 @@ def _lists(parts: list[np.ndarray], kind: np.dtype = np.int64) -> pa.Array:
 
 
 def _sets(docs: DataFrame, width: int, percent: int, whole: bool) -> DataFrame:
-    """doc_id, n, s (the set's hash) and part: its screening prefix, or with whole all of it and its counts by hash range."""
+    """doc_id, n, s (the set's hash) and part: its screening prefix, or with whole all of it, its counts by hash range and its smallest hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -67,13 +69,14 @@ def _sets(docs: DataFrame, width: int, percent: int, whole: bool) -> DataFrame:
                 if whole:
                     part = [signed(x) for x in sets]
                     bins = _lists([np.bincount((x >> np.uint64(59)).astype(np.int64), minlength=BINS) for x in sets], np.int32)
-                    yield pa.RecordBatch.from_arrays([*cols, _lists(part), bins], ["doc_id", "n", "s", "part", "bins"])
+                    stars = _lists([signed(np.array([mix(x * k).min() for k in STARS], np.uint64)) if x.size else signed(x) for x in sets])
+                    yield pa.RecordBatch.from_arrays([*cols, _lists(part), bins, stars], ["doc_id", "n", "s", "part", "bins", "stars"])
                 else:
-                    part = [signed(x[: (m := x.size - _need(x.size, percent)) + max(1, m)]) for x in sets]
+                    part = [signed(x[: (m := x.size - _need(x.size, percent)) + max(1, m // 2)]) for x in sets]
                     yield pa.RecordBatch.from_arrays([*cols, _lists(part)], ["doc_id", "n", "s", "part"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, s bigint, part array<bigint>" + ", bins array<int>" * whole)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, s bigint, part array<bigint>" + ", bins array<int>, stars array<bigint>" * whole)
 
 
 def _ceil(x: Column, by: int) -> Column:
@@ -85,73 +88,92 @@ class _Join:
 
     def __init__(self, docs: DataFrame, width: int, percent: int) -> None:
         self.percent = percent
-        self.docs = saved(_sets(docs, width, percent, whole=False), "sets")
+        wide = saved(_sets(docs, width, percent, whole=False), "prefixes")
+        self.docs = saved(wide.select("doc_id", "n", "s"), "sets")
         classes = self.docs.where("n > 0").groupBy("s", "n").agg(F.min("doc_id").alias("doc_id"))
-        posts = self.docs.dropDuplicates(["s"]).select("s", F.explode("part").alias("h")).repartition("h")
+        posts = wide.dropDuplicates(["s"]).select("s", F.explode("part").alias("h")).repartition("h")
         shared = posts.groupBy("h").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo != hi").select("h")
         counts = posts.join(shared, "h", "left_semi").groupBy("s").agg(F.count("*").alias("k"))
         smaller = _ceil(F.col("n") * percent, 100)  # of the sets that a set of n can link with
-        least = F.greatest(F.lit(1), smaller - _ceil(smaller * percent, 100))
+        least = F.greatest(F.lit(1), F.floor((smaller - _ceil(smaller * percent, 100)) / 2))
         left = saved(classes.join(counts, "s").where(F.col("k") >= least).select("doc_id", "s"), "screened")
+        forget(wide)
+        release(docs.sparkSession)
         ids = small(left.select(F.col("doc_id").alias("rep")).distinct(), 16)
         rows = docs.join(ids, docs["doc_id"].eqNullSafe(ids["rep"]), "left_semi")
-        self.sets = saved(_sets(rows, width, percent, whole=True).drop("doc_id").join(small(left.select("s"), 16), "s", "left_semi").dropDuplicates(["s"]), "whole")
-        each = self.sets.select("s", "n", F.explode("part").alias("h")).repartition("h")
+        sets = saved(_sets(rows, width, percent, whole=True).drop("doc_id").join(small(left.select("s"), 16), "s", "left_semi").dropDuplicates(["s"]), "whole")
+        release(docs.sparkSession)
+        self.light = small(saved(sets.select("s", "n", "bins", "stars"), "light"), 240)
+        each = sets.select("s", F.explode("part").alias("h")).repartition("h")
         often = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-        ranked = each.join(often, "h").groupBy("s", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("x")).select("s", "n", F.col("x.h").alias("x"))
+        ranked = each.join(often, "h").groupBy("s").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("x")).join(self.light.select("s", "n"), "s").select("s", "n", F.col("x.h").alias("x"))
         self.ranked = saved(ranked.where(F.size("x") * 100 >= F.col("n") * percent), "ranked")
+        forget(sets)
+        release(docs.sparkSession)
         alone = F.col("n") - F.size("x")
         length = F.greatest(F.lit(0), F.col("n") - _ceil(F.col("n") * percent, 100) + 1 - alone)
         self.posts = saved(self.ranked.select("s", "n", alone.alias("alone"), F.posexplode(F.slice("x", F.lit(1), length.cast("int"))).alias("at", "h")).select("h", "s", "n", (F.col("at") + F.col("alone")).cast("int").alias("at")), "posts")
 
     def near(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, na, pa, b, nb, pb), by shared prefix shingle, those that link: a, b, both (intersection size)."""
+        """Of pairs (a, na, pa, b, nb, pb), by shared shingle, those that link; pa and pb are places, or null for no positional filter."""
         p = F.lit(self.percent)
         pairs = pairs.where((p * F.greatest("na", "nb") <= 100 * F.least("na", "nb"))).groupBy("a", "b", "na", "nb").agg(F.min("pa").alias("pa"), F.min("pb").alias("pb"))
         need = _ceil(p * (F.col("na") + F.col("nb")), 100 + self.percent)
-        pairs = pairs.where(F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need).select("a", "b", "na", "nb")
-        bins = self.sets.select("s", "bins")
+        pairs = pairs.where(F.least(F.col("na") - F.coalesce("pa", F.lit(0)), F.col("nb") - F.coalesce("pb", F.lit(0))) >= need).select("a", "b", "na", "nb")
         apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, d: t + d)
-        pairs = pairs.join(bins.withColumnsRenamed({"s": "a", "bins": "x"}), "a").join(bins.withColumnsRenamed({"s": "b", "bins": "y"}), "b")
+        pairs = pairs.join(self.light.select(F.col("s").alias("a"), F.col("bins").alias("x")), "a").join(self.light.select(F.col("s").alias("b"), F.col("bins").alias("y")), "b")
         pairs = pairs.where(apart <= F.col("na") + F.col("nb") - 2 * need).select("a", "b", "na", "nb")
         x = self.ranked.select("s", "x")
         pairs = pairs.join(x.withColumnsRenamed({"s": "a"}), "a").join(x.withColumnsRenamed({"s": "b", "x": "y"}), "b")
         pairs = pairs.select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).alias("both"))
-        return pairs.where(100 * F.col("both") >= p * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b", "na", "nb", "both")
+        return pairs.where(100 * F.col("both") >= p * (F.col("na") + F.col("nb") - F.col("both")))
 
     def links(self) -> DataFrame:
         """All pairs of classes that link."""
         x, y = (self.posts.select("h", *[F.col(c).alias(n) for c, n in zip(("s", "n", "at"), names)]) for names in (("a", "na", "pa"), ("b", "nb", "pb")))
         return saved(self.near(x.join(y, "h").where("a < b")), "links")
 
-    def labels(self, most_stars: int = 6) -> DataFrame:
+    def star(self) -> DataFrame:
+        """Links (u, v), u above v, of classes with the leaders of their smallest hashes."""
+        each = self.light.select("s", "n", F.explode(F.array_distinct("stars")).alias("h"))
+        first = each.groupBy("h").agg(F.min("s").alias("lo"), F.max(F.struct("s", "n")).alias("hi"), F.min(F.struct("s", "n")).alias("x")).where("lo != hi.s").select("h", F.col("x.s").alias("a"), F.col("x.n").alias("na"))
+        none = F.lit(None).cast("int")
+        pairs = each.join(first, "h").where("s != a").select("a", "na", none.alias("pa"), F.col("s").alias("b"), F.col("n").alias("nb"), none.alias("pb"))
+        return saved(self.near(pairs).select(F.col("b").alias("u"), F.col("a").alias("v")), "links")
+
+    def rest(self, label: DataFrame, last: bool, most: int) -> tuple[DataFrame, bool]:
+        """Links of pairs that share a prefix shingle and no label, all if last or they cost at most so much, else of one leader a shingle."""
+        posts = self.posts.join(small(label, 16), "s", "left").select("h", "s", "n", "at", F.coalesce("label", "s").alias("label")).repartition("h")
+        mixed = posts.groupBy("h", "label").agg(F.count("*").alias("c")).groupBy("h")
+        mixed = mixed.agg(F.max_by("label", F.struct("c", -F.col("label"))).alias("main"), F.count("*").alias("labels"), F.sum("c").alias("all"), F.max("c").alias("most")).where("labels > 1")
+        posts = saved(posts.join(mixed, "h"), "mixed")
+        work = posts.agg(F.sum(F.col("all") - F.col("most"))).first()[0] or 0
+        last = last or work <= most
+        out = posts.where("label != main").select("h", F.col("s").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("label").alias("la"))
+        if not last:
+            out = out.groupBy("h").agg(F.min(F.struct("a", "na", "pa", "la")).alias("x")).select("h", "x.*")
+        rest = posts.select("h", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("label").alias("lb"), "main")
+        pairs = out.join(rest, "h").where((F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b")) | F.lit(not last)))
+        pairs = pairs.where(self.percent * F.greatest("na", "nb") <= 100 * F.least("na", "nb"))
+        swap = F.col("a") > F.col("b")
+        pairs = pairs.select(*[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("na", "nb"), ("nb", "na"), ("pa", "pb"), ("pb", "pa"))])
+        return saved(self.near(pairs).select(F.col("b").alias("u"), F.col("a").alias("v")), "links"), last
+
+    def labels(self, most_rounds: int = 5) -> DataFrame:
         """(s, label) of the classes that link with others; label: the smallest s of the group."""
-        spark, links, labels = self.docs.sparkSession, None, None
-        total = self.posts.count()
-        for k in range(most_stars + 1):
-            posts = self.posts.withColumn("label", F.col("s"))
-            if labels is not None:
-                posts = self.posts.join(small(labels, 16), "s", "left").select("h", "s", "n", "at", F.coalesce("label", "s").alias("label"))
-            each = posts.groupBy("h", "label").agg(F.count("*").alias("c"))
-            mixed = each.groupBy("h").agg(F.max_by("label", F.struct("c", -F.col("label"))).alias("main"), F.count("*").alias("labels"), F.sum("c").alias("all"), F.max("c").alias("most")).where("labels > 1")
-            mixed = saved(mixed, "mixed")
-            work = mixed.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0]
-            if not work:
-                break
-            posts = saved(posts.join(mixed.select("h", "main"), "h"), "mixed-posts")
-            last = work <= 4 * total + 100_000 or k == most_stars
-            out = posts.where("label != main").select("h", F.col("s").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("label").alias("la"))
-            if not last:  # one leader outside the largest group
-                out = out.groupBy("h").agg(F.min(F.struct("a", "na", "pa", "la")).alias("x")).select("h", "x.*")
-            rest = posts.select("h", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("label").alias("lb"), "main")
-            pairs = out.join(rest, "h").where((F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b")) | F.lit(not last)))
-            found = self.near(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *[F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("na", "nb"), ("pa", "pb"))], *[F.when(F.col("a") < F.col("b"), F.col(y)).otherwise(F.col(x)).alias(y) for x, y in (("na", "nb"), ("pa", "pb"))]))
-            found = found.select(F.col("a").alias("u"), F.col("b").alias("v"))
-            links = saved(found if links is None else found.union(labels.select(F.col("s").alias("u"), F.col("label").alias("v"))), "links")
-            labels = saved(connected_components(links).select(F.col("id").alias("s"), F.col("component").alias("label")), "labels")
+        links = self.star()
+        release(self.docs.sparkSession)
+        once = links.groupBy("u").agg(F.min("v").alias("v"))  # a label need only be sound here: connected to the class
+        twice = once.alias("x").join(once.alias("y"), F.col("x.v") == F.col("y.u"), "left").select(F.col("x.u").alias("s"), F.coalesce("y.v", "x.v").alias("label"))
+        label, most = saved(twice, "labels"), 4 * self.posts.count() + 100_000
+        for k in range(1, most_rounds + 1):
+            more, last = self.rest(label, k == most_rounds, most)
+            links = links.union(more)
+            release(self.docs.sparkSession)
             if last:
                 break
-        return labels if labels is not None else saved(spark.createDataFrame([], "s bigint, label bigint"), "labels")
+            label = saved(connected_components(links).select(F.col("id").alias("s"), F.col("component").alias("label")), "labels")
+        return saved(connected_components(links).select(F.col("id").alias("s"), F.col("component").alias("label")), "labels")
 
 
 def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:

@@ -7,19 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.decontaminate import op8_decontamination
+from tidemark.llm.embeddings import OP4_SQL, op4_embedding_duplicates
 from tidemark.llm.jaccard import OP1_SQL, op1_jaccard_join
 from tidemark.llm.mixing import op5_mixing
 from tidemark.llm.packing import op9_packed_rows
 from tidemark.llm.quality import op7_quality_classifier
+from tidemark.llm.suffix_arrays import op6_suffix_array_dedup
+from tidemark.llm.suffix_trees import OP10_SQL, op10_substring_dedup
 from tidemark.llm.token_counts import op2_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_token_counts": op2_token_counts,
+    "op4_embedding_duplicates": op4_embedding_duplicates,
     "op5_mixing": op5_mixing,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_decontamination": op8_decontamination,
     "op9_packed_rows": op9_packed_rows,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_jaccard_join": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_jaccard_join": OP1_SQL, "op4_embedding_duplicates": OP4_SQL, "op10_substring_dedup": OP10_SQL}
