@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.decontaminate import op8_decontamination
 from tidemark.llm.embeddings import OP4_SQL, op4_embedding_duplicates
 from tidemark.llm.jaccard import OP1_SQL, op1_jaccard_join
+from tidemark.llm.licenses import op3_license_scan
 from tidemark.llm.mixing import op5_mixing
 from tidemark.llm.packing import op9_packed_rows
 from tidemark.llm.quality import op7_quality_classifier
@@ -19,6 +20,7 @@ from tidemark.llm.token_counts import op2_token_counts
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_token_counts": op2_token_counts,
+    "op3_license_scan": op3_license_scan,
     "op4_embedding_duplicates": op4_embedding_duplicates,
     "op5_mixing": op5_mixing,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
