@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.kernels import LOWER, as_bytes, grams, mix, signed, span_hashes, word_spans
+from tidemark.llm.kernels import LOWER, as_bytes, distinct, grams, mix, signed, span_hashes, word_spans
 from tidemark.llm.tables import forget, release, saved, small
 
 BINS = 32
@@ -43,7 +43,7 @@ def shingle_set(text: bytes, width: int) -> np.ndarray:
     h = span_hashes(a, *word_spans(a))
     if not h.size:
         return h
-    return np.unique(grams(h, width)) if h.size >= width else mix(grams(h, h.size) + np.uint64(h.size))
+    return distinct(grams(h, width)) if h.size >= width else mix(grams(h, h.size) + np.uint64(h.size))
 
 
 def _need(n: int, percent: int) -> int:

@@ -72,6 +72,19 @@ def span_hashes(a: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return mix(out)
 
 
+class Spans:
+    """Hashes of any spans of one array of bytes (kept to about a megabyte by the caller), the same as those of span_hashes."""
+
+    def __init__(self, a: np.ndarray) -> None:
+        pw, self.inverse = powers(a.size + 1)
+        self.sums = np.empty(a.size + 1, np.uint64)
+        self.sums[0] = 0
+        np.cumsum(_BYTES[a] * pw[: a.size], dtype=np.uint64, out=self.sums[1:])
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+
+
 def grams(h: np.ndarray, n: int) -> np.ndarray:
     """A hash of each n consecutive values."""
     if h.size < n:
@@ -118,6 +131,12 @@ def window_minima(g: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def distinct(h: np.ndarray) -> np.ndarray:
+    """The distinct values in order, by sorting."""
+    h = np.sort(h)
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if h.size else h
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     """The same bits as Spark's bigint."""
     return h.view(np.int64)

@@ -1,7 +1,7 @@
 """Quality classifier by importance resampling: hashed n-gram models of target and raw text, Gumbel top-k.
 
 Tokens (runs of letters, digits and non-ASCII bytes; runs of other visible bytes) pairs of neighbouring tokens and the heads of words are hashed
-into buckets, each into one of either half of a table; of its two ratios the weaker counts, so that a chance meeting in one bucket is harmless. The raw model counts, in every bucket, the documents of the whole corpus that hold it; the target model does so for documents
+into buckets, each into one of either half of a table; of its two ratios the weaker counts, so that a chance meeting in one bucket is harmless. The raw model counts, in every bucket, the documents of the whole corpus that hold each of its tokens; the target model does so for documents
 labelled good. A bucket's log ratio is kept where the two counts differ beyond chance and by more than a factor, else it
 is 0, so that rare words carry no noise. A document's log weight sums the ratios of its distinct tokens and pairs. Its key is
 the log weight plus Gumbel noise (drawn from a hash of doc_id), and the k documents of largest key are chosen: a
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.kernels import LOWER, WHITE, as_bytes, grams, mix, span_hashes
+from tidemark.llm.kernels import LOWER, WHITE, Spans, as_bytes, distinct, grams, mix
 from tidemark.llm.tables import saved
 
 BUCKETS = 1 << 18
@@ -35,14 +35,29 @@ SIGMAS, FACTOR = 4.0, 1.6
 NOISE = 0.05
 #: Bytes of the heads of words that are features of their own.
 HEADS = (4, 5, 6)
+#: Bytes of a text that are hashed at a time.
+PIECE = 1 << 20
 
 _KIND = np.full(256, 2, np.int8)
 _KIND[WHITE] = 0
 _KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 
 
+def _features(a: np.ndarray, k: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    full = k[edges[:-1]] > 0
+    starts, ends = edges[:-1][full], edges[1:][full]
+    spans = Spans(a)
+    h, word = spans.hashes(starts, ends), k[starts] == 1
+    shares = [((h[2 * i :] == h[i:-i]) & (h[i:-i] == h[: -2 * i]) & word[2 * i :]).sum() / max(1, word.sum()) if h.size > 2 * i else 0 for i in (1, 2)]
+    marks = [8 * i + int(8 * x) for i, x in enumerate(shares, 1) if x >= 1 / 8]
+    long = np.flatnonzero(word & (ends - starts > HEADS[0]))
+    first = [starts[long[ends[long] - starts[long] > n]] for n in HEADS]
+    heads = spans.hashes(np.concatenate(first), np.concatenate([x + n for x, n in zip(first, HEADS)]))
+    return np.concatenate([h, grams(h, 2), mix(np.array(marks, np.uint64)), mix(heads)])
+
+
 def features(text: bytes) -> np.ndarray:
-    """The hashes of a text's distinct tokens (A-Z in lower case) and pairs of tokens, and a mark of their repetition.
+    """The hashes of a text's tokens (A-Z in lower case) and pairs of tokens, with repeats, and a mark of their repetition.
 
     Beside them, the heads of longer words. The marks stand for the
     share of words, in eighths, that come the third time in steps of one or of two tokens.
@@ -52,14 +67,12 @@ def features(text: bytes) -> np.ndarray:
         return np.empty(0, np.uint64)
     k = _KIND[a]
     edges = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [a.size]])
-    full = k[edges[:-1]] > 0
-    h = span_hashes(a, edges[:-1][full], edges[1:][full])
-    word = k[edges[:-1]][full] == 1
-    shares = [((h[2 * i :] == h[i:-i]) & (h[i:-i] == h[: -2 * i]) & word[2 * i :]).sum() / max(1, word.sum()) if h.size > 2 * i else 0 for i in (1, 2)]
-    marks = [8 * i + int(8 * x) for i, x in enumerate(shares, 1) if x >= 1 / 8]
-    starts, ends = edges[:-1][full][word], edges[1:][full][word]
-    heads = [mix(span_hashes(a, starts[long], starts[long] + n)) for n in HEADS if (long := ends - starts > n).any()]
-    return np.unique(np.concatenate([h, grams(h, 2), mix(np.array(marks, np.uint64)), *heads]))
+    if a.size <= PIECE:
+        return _features(a, k, edges)
+    # a very long text goes in pieces, cut between tokens
+    cuts = np.unique(np.concatenate([edges[np.searchsorted(edges, np.arange(0, a.size, PIECE))], [a.size]]))
+    parts = [(lo, hi, edges[(edges >= lo) & (edges <= hi)] - lo) for lo, hi in zip(cuts[:-1], cuts[1:])]
+    return np.concatenate([_features(a[lo:hi], k[lo:hi], e) for lo, hi, e in parts])
 
 
 def places(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,9 +82,15 @@ def places(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def log_weight(text: bytes, ratios: np.ndarray) -> float:
-    """The sum over a text's features of the weaker of their two ratios; 0 where these differ in sign."""
-    x, y = (ratios[p] for p in places(features(text), len(ratios)))
-    return float(np.where(x * y > 0, np.where(np.abs(x) < np.abs(y), x, y), 0).sum(dtype=np.float64))
+    """The sum over a text's distinct features of the weaker of their two ratios; 0 where these differ in sign."""
+    h = features(text)
+    x, y = (ratios[p] for p in places(h, len(ratios)))
+    some = np.flatnonzero(x * y > 0)
+    if not some.size:
+        return 0.0
+    _, first = np.unique(h[some], return_index=True)
+    x, y = x[some[first]], y[some[first]]
+    return float(np.where(np.abs(x) < np.abs(y), x, y).sum(dtype=np.float64))
 
 
 def _counts(buckets: int):  # noqa: ANN202
@@ -79,8 +98,8 @@ def _counts(buckets: int):  # noqa: ANN202
         c = np.zeros(buckets + 1, np.int64)
         for b in batches:
             for t in as_bytes(b.column("text")):
-                for p in places(features(t or b""), buckets):
-                    c[np.unique(p)] += 1
+                for p in places(distinct(features(t or b"")), buckets):
+                    np.add.at(c, p, 1)
                 c[buckets] += 1
         at = np.flatnonzero(c)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(c[at])], ["bucket", "n"])
