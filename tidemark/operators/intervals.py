@@ -134,3 +134,13 @@ def tumbling(df: DataFrame, size: int = 3000, least: int = 2000, start: str = "s
 
 def seconds(df: DataFrame, keys: Sequence[str] = KEYS, start: str = "start_ms", end: str = "end_ms") -> DataFrame:
     return df.groupBy(*keys).agg((F.sum(F.col(end) - F.col(start)) / 1000).alias("seconds"))
+
+
+def coverage_pairs(df: DataFrame, other: DataFrame, start: str = "start_ms", end: str = "end_ms", bucket: int = 60_000) -> DataFrame:
+    """Each pair of an interval of df and one of other that share more than an end, with the length shared; dealt to time buckets, each pair in its first one."""
+    deal = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / bucket), F.floor((F.col(e) - 1) / bucket)))
+    a = df.where(F.col(end) > F.col(start)).withColumn("_b", deal(start, end))
+    b = other.where(F.col(end) > F.col(start)).select("recording_id", F.col(start).alias("_s"), F.col(end).alias("_e")).withColumn("_b", deal("_s", "_e"))
+    pairs = a.join(b, ["recording_id", "_b"]).where((F.col("_e") > F.col(start)) & (F.col("_s") < F.col(end)))
+    first = F.floor(F.greatest(start, "_s") / bucket)
+    return pairs.where(F.col("_b") == first).withColumn("shared", F.least(end, "_e") - F.greatest(start, "_s")).drop("_b", "_s", "_e")

@@ -65,7 +65,7 @@ def round_robin(segments: DataFrame, most: int = 16, budget: float = 100.0) -> D
     Jobs are in order of batch_id. The first segment always fits; the batch ends at the first that would exceed the budget. Only the
     first rounds can be in a batch, so jobs and segments beyond the most are dropped before the order is made.
     """
-    job = W.partitionBy("processing_key", "batch_id").orderBy("segment_idx")
+    job = W.partitionBy("processing_key", "batch_id").orderBy("segment_idx", "seconds")
     d = segments.withColumn("round", F.row_number().over(job)).where(F.col("round") <= most)
     w = W.partitionBy("processing_key").orderBy("round", "batch_id")
     d = d.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)

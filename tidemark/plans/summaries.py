@@ -164,7 +164,7 @@ def set_union_labels(spark: SparkSession, d: str) -> DataFrame:
     return V.turn(spark, d).select("speaker_id").union(V.sample(spark, d).select("speaker_id")).distinct()
 
 
-_PLAN = f"{S['segment']}, r AS (SELECT *, row_number() OVER (PARTITION BY processing_key, batch_id ORDER BY segment_idx) AS round FROM segment), p AS (SELECT *, row_number() OVER (PARTITION BY processing_key ORDER BY round, batch_id) AS place FROM r), c AS (SELECT *, sum(seconds) OVER (PARTITION BY processing_key ORDER BY place ROWS UNBOUNDED PRECEDING) AS so_far FROM p WHERE place <= 16), o AS (SELECT *, max(CASE WHEN place > 1 AND so_far > 250 THEN 1 ELSE 0 END) OVER (PARTITION BY processing_key ORDER BY place ROWS UNBOUNDED PRECEDING) AS over FROM c)"
+_PLAN = f"{S['segment']}, r AS (SELECT *, row_number() OVER (PARTITION BY processing_key, batch_id ORDER BY segment_idx, seconds) AS round FROM segment), p AS (SELECT *, row_number() OVER (PARTITION BY processing_key ORDER BY round, batch_id) AS place FROM r), c AS (SELECT *, sum(seconds) OVER (PARTITION BY processing_key ORDER BY place ROWS UNBOUNDED PRECEDING) AS so_far FROM p WHERE place <= 16), o AS (SELECT *, max(CASE WHEN place > 1 AND so_far > 250 THEN 1 ELSE 0 END) OVER (PARTITION BY processing_key ORDER BY place ROWS UNBOUNDED PRECEDING) AS over FROM c)"
 
 
 @query("st_plan_rr", f"WITH {_PLAN} SELECT processing_key, batch_id, segment_idx, CAST(place AS BIGINT) AS place, so_far AS seconds_so_far FROM o WHERE over = 0")
