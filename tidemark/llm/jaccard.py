@@ -162,18 +162,24 @@ class _Join:
     def labels(self, most_rounds: int = 5) -> DataFrame:
         """(s, label) of the classes that link with others; label: the smallest s of the group."""
         links = self.star()
-        release(self.docs.sparkSession)
-        once = links.groupBy("u").agg(F.min("v").alias("v"))  # a label need only be sound here: connected to the class
-        twice = once.alias("x").join(once.alias("y"), F.col("x.v") == F.col("y.u"), "left").select(F.col("x.u").alias("s"), F.coalesce("y.v", "x.v").alias("label"))
-        label, most = saved(twice, "labels"), 4 * self.posts.count() + 100_000
+        n = self.light.count()
+        label = self.soon(links, n)
+        most = 4 * self.posts.count() + 100_000
         for k in range(1, most_rounds + 1):
             more, last = self.rest(label, k == most_rounds, most)
             links = links.union(more)
             release(self.docs.sparkSession)
             if last:
                 break
-            label = saved(connected_components(links).select(F.col("id").alias("s"), F.col("component").alias("label")), "labels")
-        return saved(connected_components(links).select(F.col("id").alias("s"), F.col("component").alias("label")), "labels")
+            label = self.soon(links.union(label.select(F.col("s").alias("u"), F.col("label").alias("v"))), n)
+        return saved(connected_components(links).select(F.col("id").alias("s"), F.col("component").alias("label")), "labels", n)
+
+    @staticmethod
+    def soon(links: DataFrame, n: int) -> DataFrame:
+        """A sound label for each class with a link to a smaller one: the smallest within two steps, which need not be the group's."""
+        once = saved(links.groupBy("u").agg(F.min("v").alias("v")), "labels", n)
+        twice = once.alias("x").join(small(once, 16).alias("y"), F.col("x.v") == F.col("y.u"), "left")
+        return saved(twice.select(F.col("x.u").alias("s"), F.coalesce("y.v", "x.v").alias("label")), "labels")
 
 
 def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:

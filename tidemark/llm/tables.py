@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes up to which a measured side may be broadcast; beyond either, the join shuffles.
 BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64 << 20
+#: Narrow rows that a task takes where their number is known.
+TASK_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,9 +27,11 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once and kept as Parquet in the shared folder."""
+def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df, computed once and kept as Parquet in the shared folder; rows, where they are known, set the number of tasks and files."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(1 + rows // TASK_ROWS)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
