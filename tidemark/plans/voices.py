@@ -49,13 +49,11 @@ def txt_clean(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (agg_cloud, agg_components, agg_inliers, mt_match, top_public, txt_repetition, txt_clean)}
 
-_STEPS = [(r"(?i)^\s*input transcript corrected\s*:\s*", ""), (P.CJK, ""), (r"\s+", " "), (r"\s+([,.;:!?])", r"\1"), (r"(^|[,;:])\s*,", r"\1"), (r",\s*,", ","), ("^[ ,]+|[ ,]+$", "")]
-
 
 def _clean_sql() -> str:
     e = "coalesce(text, '')"
-    for pattern, to in _STEPS:
-        e = f"regexp_replace({e}, '{pattern}', '{to}', 'g')"
+    for pattern, to in P.CLEAN:
+        e = f"regexp_replace({e}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
     return f"SELECT conv_id, turn, trim({e}) AS cleaned FROM conversations"
 
 
