@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.components import connected_components
 from tidemark.llm.tables import saved, small
@@ -46,7 +47,7 @@ def _hash(bits: int, tables: int, seed: int):  # noqa: ANN202
         planes: dict[int, np.ndarray] = {}
         weights = (1 << np.arange(bits, dtype=np.int64))[None, :]
         for b in batches:
-            ids, dims = b.column("id"), np.asarray(b.column("dim"))
+            dims = np.asarray(b.column("dim"))
             flat = np.asarray(b.column("v").flatten(), np.float64)
             at = np.concatenate([[0], np.cumsum(dims)])
             for d in np.unique(dims):
@@ -55,7 +56,8 @@ def _hash(bits: int, tables: int, seed: int):  # noqa: ANN202
                 x = flat[(at[rows][:, None] + np.arange(d)).ravel()].reshape(-1, d)
                 h = np.stack([((x @ p[:, t * bits : (t + 1) * bits] > 0) * weights).sum(axis=1) for t in range(tables)], axis=1)
                 ends = pa.array(np.arange(0, h.size + 1, tables, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.ListArray.from_arrays(ends, pa.array(h.ravel()))], ["id", "hashes"])
+                own = b.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.ListArray.from_arrays(ends, pa.array(h.ravel()))], [*own.schema.names, "hashes"])
 
     return run
 
@@ -101,8 +103,7 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.95, recall: float = R
     good = v.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(sound)
     nodes = saved(good.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")).withColumn("dim", F.size("v")), "vectors")
     bits, tables = shape(nodes.count(), cosine, recall)
-    rows = nodes.join(nodes.mapInArrow(_hash(bits, tables, seed), "id bigint, hashes array<bigint>"), "id")
-    rows = saved(rows, "hashes")
+    rows = saved(nodes.mapInArrow(_hash(bits, tables, seed), T.StructType([*nodes.schema.fields, T.StructField("hashes", T.ArrayType(T.LongType()))])), "hashes")
     places = rows.select("id", "dim", F.posexplode("hashes").alias("t", "h"))
     sizes = places.groupBy("t", "h", "dim").agg(F.count("*").alias("m")).where("m > 1")
     # only buckets of several vectors; those above a cell's size are cut into blocks and each pair of blocks is a cell
