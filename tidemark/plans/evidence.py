@@ -128,3 +128,44 @@ def agg_span_score(spark: SparkSession, d: str) -> DataFrame:
     """The mean quality of a recording's turns, weighted by how long they lie in overlaps."""
     t = I.coverage_pairs(V.turn(spark, d), V.overlap(spark, d)).withColumn("q", F.col("turn_idx") % 10 / 10.0)
     return t.groupBy("recording_id").agg(F.round(F.sum(F.col("q") * F.col("shared")) / F.sum("shared"), 6).alias("quality"), F.sum("shared").alias("overlap_ms"))
+
+
+_CENTRAL = f"{S['sample']}, pt AS (SELECT recording_id, speaker_id, weight, unnest(vector) AS x, generate_subscripts(vector, 1) AS i FROM sample), mn AS (SELECT recording_id, speaker_id, i, sum(weight * x) / sum(weight) AS m FROM pt GROUP BY ALL), pv AS (SELECT recording_id, speaker_id, list(m ORDER BY i) AS v FROM mn GROUP BY ALL)"
+
+
+@query("flt_listen", f"WITH {_CENTRAL}, c AS (SELECT s.recording_id, s.speaker_id, s.sample_idx, s.quality, list_cosine_similarity(s.vector, p.v) AS c FROM sample s JOIN pv p ON p.recording_id = s.recording_id AND p.speaker_id = s.speaker_id WHERE s.quality >= 0.6) SELECT recording_id, speaker_id, sample_idx, round(c, 6) AS centrality FROM c QUALIFY row_number() OVER (PARTITION BY recording_id, speaker_id ORDER BY c DESC, quality DESC, sample_idx) <= 3")
+def flt_listen(spark: SparkSession, d: str) -> DataFrame:
+    """The three windows of each speaker nearest to its prototype, among those of good quality."""
+    from pyspark.sql import Window as W
+
+    from tidemark.operators import aggregates as A
+
+    s = V.sample(spark, d)
+    p = A.weighted_mean_vector(s, ["recording_id", "speaker_id"])
+    c = s.where("quality >= 0.6").join(p, ["recording_id", "speaker_id"]).withColumn("c", A.dot(F.col("vector"), F.col("prototype")))
+    w = W.partitionBy("recording_id", "speaker_id").orderBy(F.desc("c"), F.desc("quality"), "sample_idx")
+    return c.withColumn("r", F.row_number().over(w)).where("r <= 3").select("recording_id", "speaker_id", "sample_idx", F.round("c", 6).alias("centrality"))
+
+
+@query("agg_core_matrix", f"WITH {_CENTRAL} SELECT a.recording_id, a.speaker_id AS one, b.speaker_id AS other, round(list_cosine_similarity(a.v, b.v), 3) + 0.0 AS cosine FROM pv a JOIN pv b ON a.recording_id = b.recording_id AND a.speaker_id < b.speaker_id")
+def agg_core_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Cosines of the speakers' prototypes within a recording: pairs of speakers, of which a recording has few."""
+    from tidemark.operators import aggregates as A
+
+    p = A.weighted_mean_vector(V.sample(spark, d), ["recording_id", "speaker_id"])
+    a, b = p.select("recording_id", F.col("speaker_id").alias("one"), F.col("prototype").alias("x")), p.select("recording_id", F.col("speaker_id").alias("other"), F.col("prototype").alias("y"))
+    return a.join(b, "recording_id").where("one < other").select("recording_id", "one", "other", (F.round(A.dot(F.col("x"), F.col("y")), 3) + 0.0).alias("cosine"))
+
+
+@query("set_equal_speakers", f"WITH {S['turn']}, a AS (SELECT recording_id, list_sort(list(DISTINCT speaker_id)) AS s FROM turn GROUP BY ALL), b AS (SELECT recording_id, list_sort(list(DISTINCT speaker_id)) AS s FROM turn WHERE end_ms - start_ms >= 150 GROUP BY ALL) SELECT a.recording_id, coalesce(a.s = b.s, false) AS same FROM a LEFT JOIN b USING (recording_id)")
+def set_equal_speakers(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a recording has the same speakers after ghosts are gone."""
+    t = V.turn(spark, d).groupBy("recording_id").agg(F.array_sort(F.collect_set("speaker_id")).alias("a"), F.array_sort(F.collect_set(F.when(F.col("end_ms") - F.col("start_ms") >= 150, F.col("speaker_id")))).alias("b"))
+    return t.select("recording_id", (F.col("a") == F.col("b")).alias("same"))
+
+
+@query("ivl_region_pieces", f"WITH {S['turn']}, g AS (SELECT *, CAST(greatest(1, ceil((end_ms - start_ms) / 28000)) AS BIGINT) AS n FROM turn WHERE end_ms > start_ms) SELECT recording_id, turn_idx, count(*) AS pieces, max(b - a) AS longest FROM (SELECT recording_id, turn_idx, start_ms + CAST(floor((end_ms - start_ms) * p / n) AS BIGINT) AS a, start_ms + CAST(floor((end_ms - start_ms) * (p + 1) / n) AS BIGINT) AS b FROM (SELECT *, unnest(range(0, n)) AS p FROM g)) GROUP BY ALL")
+def ivl_region_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Turns cut evenly with two seconds of room below 30 s for moving the cuts."""
+    p = I.equal(V.turn(spark, d), 28_000)
+    return p.groupBy("recording_id", "turn_idx").agg(F.count("*").alias("pieces"), F.max(F.col("end_ms") - F.col("start_ms")).alias("longest"))
