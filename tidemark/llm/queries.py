@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.decontaminate import op8_decontamination
+from tidemark.llm.decontaminate import OP8_SQL, op8_decontamination
 from tidemark.llm.embeddings import OP4_SQL, op4_embedding_duplicates
 from tidemark.llm.jaccard import OP1_SQL, op1_jaccard_join
 from tidemark.llm.licenses import op3_license_scan
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_jaccard_join": OP1_SQL, "op4_embedding_duplicates": OP4_SQL, "op10_substring_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_jaccard_join": OP1_SQL, "op4_embedding_duplicates": OP4_SQL, "op8_decontamination": OP8_SQL, "op10_substring_dedup": OP10_SQL}
