@@ -216,6 +216,21 @@ def test_mixing(spark):
     assert mixing.mix_plan(empty(spark)).count() == 0 and mixing.mixed(empty(spark)).count() == 0
 
 
+def test_mixing_fills_past_long_documents(spark):
+    """No document below the room left stays out, also where a very long one takes most of its block."""
+    r = random.Random(21)
+    texts = {i: " ".join(["w"] * r.choice([2, 3, 7, 40])) for i in range(1200)}
+    texts |= {0: "w " * 9000, 1: "w " * 5000, 2: "w " * 3000}
+    table = spark.createDataFrame([(i, t, f"s{i % 3}") for i, t in texts.items()], "doc_id bigint, text string, source string")
+    for seed in (1, 2, 3):
+        got = mixing.mix_plan(table, blocks=8, shards=4, seed=seed).collect()
+        for s in range(3):
+            own = [x for x in got if x.doc_id % 3 == s]
+            left, whole = own[0].target - sum(x.taken for x in own), own[0].target // own[0].source_size
+            assert 0 <= left < min(x.size for x in own if x.times == whole), (seed, s)
+        assert Counter(x.doc_id for x in mixing.mixed(table, blocks=8, shards=4, seed=seed).collect()) == Counter({x.doc_id: x.times for x in got if x.times})
+
+
 def covered(units, window):
     c = Counter(u[i : i + window] for u in units for i in range(len(u) - window + 1))
     out = []

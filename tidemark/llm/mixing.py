@@ -1,8 +1,9 @@
 """Mixing sources to target weights through blocks that a multivariate-hypergeometric splitting tree deals to output shards.
 
 A source's documents fall into blocks by a hash of doc_id. From the target of its source a block is drawn so many whole times,
-and in one more pass the blocks are drawn in permuted order until the target is reached; the block there is drawn in part,
-up to a document. All draws of all sources are then dealt to the output shards by a tree: a node splits its exact numbers of
+and in one more pass the blocks are drawn in permuted order while they fit whole; from there on each document is taken that fits
+the room left, in the order of its block and then of the following blocks, until what is left is below every document not
+taken. All draws of all sources are then dealt to the output shards by a tree: a node splits its exact numbers of
 draws by source between its two halves by a multivariate hypergeometric draw, down to one shard, so that each shard has
 its exact quota of every source. A shard draws the next blocks of each source's order, disjoint from those of other shards,
 and shuffles its documents locally.
@@ -31,8 +32,8 @@ BLOCKS, SHARDS = 256, 64
 #: Documents in a block, at least; a source has BLOCKS blocks at most.
 LEAST_BLOCK = 32
 MOST_SOURCES = 100_000
-#: Documents taken to fill what room the first that doesn't fit has left.
-ALSO = 1000
+#: Documents of a source that one task looks through for some that fit the room left; at least a block.
+FILL = 200_000
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> list[Fraction]:
@@ -76,21 +77,29 @@ def _hash(seed: int, *cols: Column | str) -> Column:
     return F.xxhash64(F.lit(seed), *cols)
 
 
-def _fill(block: pd.DataFrame) -> pd.DataFrame:
-    """Of a block's documents in permuted order, those up to the first that doesn't fit the room, and some smaller ones after it."""
-    block = block.sort_values("o")
-    o, size, room = block["o"].tolist(), block["size"].tolist(), float(block["room"].iloc[0])
-    n, also = 0, []
-    while n < len(o) and size[n] <= room:
-        room -= size[n]
-        n += 1
-    for i in range(n + 1, len(o)):
-        if room < 1 or len(also) == ALSO:
+def _fill(docs: pd.DataFrame) -> pd.DataFrame:
+    """Of a source's documents in order, each that fits the room left: all of a block up to one (kind 1), single ones (2); then the room left (0)."""
+    docs = docs.sort_values(["place", "_block", "o"])
+    key, room, whole = docs["_key"].iloc[0], float(docs["room"].iloc[0]), bool(docs["whole_blocks"].iloc[0])
+    out, last, block, run = [], None, None, False
+    for b, o, size in zip(docs["_block"].tolist(), docs["o"].tolist(), docs["size"].tolist()):
+        if room < 1:
             break
-        if size[i] <= room:
-            room -= size[i]
-            also.append(o[i])
-    return pd.DataFrame({"_key": [block["_key"].iloc[0]], "last": [o[n - 1] if n else -(2**63)], "also": [also]})
+        if b < 0:
+            continue
+        if b != block:
+            block, last, run = b, None, whole
+        if size > room:
+            run = False
+            continue
+        room -= size
+        if run and last is not None:
+            out[last] = (key, b, 1, o, 0.0, 0)
+        else:
+            last = len(out)
+            out.append((key, b, 1 if run else 2, o, 0.0, 0))
+    out.append((key, -1, 0, 0, room, int(docs["place"].max())))
+    return pd.DataFrame(out, columns=["_key", "_block", "kind", "o", "room", "place"])
 
 
 class Mix:
@@ -112,19 +121,21 @@ class Mix:
             "_key string, source_size bigint, target double, whole int, rest double, _blocks int",
         )
         self.plan = F.broadcast(plan) if len(sources) <= 20_000 else plan
-        words = self.rows.join(self.plan.select("_key", "_blocks"), "_key").groupBy("_key", self._block().alias("_block")).agg(F.sum("size").alias("words"))
+        words = self.rows.join(self.plan.select("_key", "_blocks"), "_key").groupBy("_key", self._block().alias("_block")).agg(F.sum("size").alias("words"), F.count("*").alias("docs"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
         order = _hash(seed, F.lit("more"), "_key", "_block")
         # blocks of a source are at most `blocks`, so the window's groups are bounded
         more = words.join(self.plan, "_key").withColumn("o", order).withColumn("_n", F.expr("count(*) over (partition by _key)"))
         run = "over (partition by _key order by o, _block"
         more = more.withColumn("place", F.expr(f"row_number() {run})")).withColumn("before", F.expr(f"sum(words) {run} rows unbounded preceding)") - F.col("words"))
-        more = more.withColumn("in_part", (F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest")))
-        more = saved(more.withColumn("more", (F.col("before") + F.col("words") <= F.col("rest")) & (F.col("rest") > 0)).select("_key", "_block", "whole", "more", "in_part", (F.col("rest") - F.col("before")).alias("room"), "place", "_n"), "draws")
-        cut = self._placed(self.rows).join(F.broadcast(more.where("in_part").select("_key", "_block", "room")), ["_key", "_block"]).withColumn("o", _hash(seed, F.lit("part"), "doc_id"))
-        # at most one block of each source is cut, so a group is one block of one source
-        cut = cut.groupBy("_key", "o").agg(F.sum("size").alias("size"), F.first("room").alias("room")).groupBy("_key").applyInPandas(_fill, "_key string, last bigint, also array<bigint>")
-        self.draws = saved(more.join(cut, "_key", "left").select("_key", "_block", "whole", "more", "place", "_n", *[F.when(F.col("in_part"), F.col(c)).alias(c) for c in ("last", "also")]), "draws")
-        count = {r[0]: r[1] for r in self.draws.groupBy("_key").agg(F.sum(F.col("whole") + F.when(F.col("more") | F.col("last").isNotNull(), 1).otherwise(0))).collect()}
+        more = more.withColumn("more", (F.col("before") + F.col("words") <= F.col("rest")) & (F.col("rest") > 0))
+        more = saved(more.select("_key", "_block", "whole", "more", "words", "docs", "least", "rest", "place", "_n"), "draws")
+        part = self._parts(more)
+        some = part.where("kind > 0").groupBy("_key", "_block").agg(F.max(F.when(F.col("kind") == 1, F.col("o"))).alias("last"))
+        draws = more.join(some.withColumn("part", F.lit(True)), ["_key", "_block"], "left").withColumn("_once", F.col("more") | F.coalesce("part", F.lit(False)))
+        draws = draws.withColumn("_turn", F.expr("row_number() over (partition by _key, _once order by place)"))
+        self.draws = saved(draws.select("_key", "_block", "whole", "more", "place", "_turn", "_n", "last", "_once"), "draws")
+        self.also = part.where("kind = 2").select("_key", "_block", F.col("o").alias("_o"), F.lit(True).alias("_also"))
+        count = {r[0]: r[1] for r in self.draws.groupBy("_key").agg(F.sum(F.col("whole") + F.col("_once").cast("int"))).collect()}
         quota = deal([int(count[r[0]]) for r in sources], shards, seed)
         ends = np.cumsum(quota, axis=0).T.tolist()
         self.ends = spark.createDataFrame([(r[0], e) for r, e in zip(sources, ends)], "_key string, _ends array<bigint>")
@@ -136,28 +147,56 @@ class Mix:
         """Rows with their block, by the number of blocks of their source."""
         return rows.join(self.plan.select("_key", "_blocks"), "_key").withColumn("_block", self._block()).drop("_blocks")
 
-    def times(self) -> Column:
-        """How often a row is taken, beside the columns of draws."""
-        o = _hash(self.seed, F.lit("part"), "doc_id")
-        part = F.col("last").isNotNull() & ((o <= F.col("last")) | F.array_contains("also", o))
-        return F.col("whole") + F.when(F.col("more") | part, 1).otherwise(0)
+    def _parts(self, more: DataFrame) -> DataFrame:
+        """Documents of the last pass beyond the blocks that fit whole, as `_fill` gives them.
+
+        Each step looks at the next blocks of each source that hold a document below its room: first at one, whole, and then at
+        FILL documents or less, of which only those below the room are moved. It ends when no block left holds one.
+        """
+        spark, parts = more.sparkSession, []
+        taken = F.when(F.col("more"), F.col("words")).otherwise(0)
+        state = more.groupBy("_key").agg((F.first("rest") - F.sum(taken)).alias("room"), F.max(F.when(F.col("more"), F.col("place")).otherwise(0)).alias("at")).where("room >= 1").collect()
+        while state or not parts:
+            at = spark.createDataFrame([tuple(r) for r in state], "_key string, room double, at int")
+            ahead = more.join(F.broadcast(at) if len(state) <= 20_000 else at, "_key").where("place > at and least <= room")
+            ahead = ahead.withColumn("n", F.expr("sum(docs) over (partition by _key order by place rows unbounded preceding)"))
+            ahead = ahead.where((F.col("n") == F.col("docs")) | (F.col("n") <= (FILL if parts else 0))).select("_key", "_block", "place", "room")
+            docs = self._placed(self.rows).join(F.broadcast(ahead) if len(state) <= 5_000 else ahead, ["_key", "_block"])
+            docs = docs.groupBy("_key", "_block", "place", "room", _hash(self.seed, F.lit("part"), "doc_id").alias("o")).agg(F.sum("size").alias("size"))
+            if parts:
+                docs = docs.where("size <= room")
+            ends = ahead.groupBy("_key", "room").agg(F.max("place").alias("place")).withColumns({"_block": F.lit(-1), "o": F.lit(0).cast("bigint"), "size": F.lit(0).cast("bigint")})
+            docs = docs.unionByName(ends).withColumn("whole_blocks", F.lit(not parts))
+            parts.append(saved(docs.groupBy("_key").applyInPandas(_fill, "_key string, _block int, kind int, o bigint, room double, place int"), "parts"))
+            state = parts[-1].where("kind = 0 and room >= 1").select("_key", "room", "place").collect()
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def drawn(self, rows: DataFrame) -> DataFrame:
+        """Rows (with _key, doc_id) beside the columns of their block's draws and _times, how often each is taken."""
+        rows = self._placed(rows).join(small(self.draws, 64), ["_key", "_block"]).withColumn("_o", _hash(self.seed, F.lit("part"), "doc_id"))
+        rows = rows.join(small(self.also, 64), ["_key", "_block", "_o"], "left")
+        once = F.col("more") | F.coalesce(F.col("_o") <= F.col("last"), F.lit(False)) | F.col("_also").isNotNull()
+        return rows.withColumn("_times", F.col("whole") + F.when(once, 1).otherwise(0))
 
 
 def mix_plan(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
     """doc_id, size, source_size, target, taken, times of each row of docs (doc_id, text, source, ...)."""
     m = Mix(docs, **options)
-    rows = m._placed(m.rows).join(small(m.draws, 64), ["_key", "_block"]).join(m.plan.select("_key", "source_size", "target"), "_key")
-    return rows.withColumn("times", m.times()).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("bigint").alias("taken"), "times")
+    rows = m.drawn(m.rows).join(m.plan.select("_key", "source_size", "target"), "_key")
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("_times")).cast("bigint").alias("taken"), F.col("_times").alias("times"))
 
 
 def mixed(docs: DataFrame, shards: int = SHARDS, **options) -> DataFrame:  # noqa: ANN003
     """The mix itself: rows of docs, repeated as drawn, gathered by shard and shuffled within each."""
     m = Mix(docs, shards=shards, **options)
     own = [F.col(f"`{c}`") for c in docs.columns]
-    rows = m._placed(docs.withColumn("_key", _key())).join(small(m.draws, 64), ["_key", "_block"]).join(F.broadcast(m.ends) if m.ends.count() * shards <= 1_000_000 else m.ends, "_key")
+    rows = m.drawn(docs.withColumn("_key", _key())).join(F.broadcast(m.ends) if m.ends.count() * shards <= 1_000_000 else m.ends, "_key")
     # a block's draws: one in each whole pass, at places of that pass's own order, and one in the last
-    rows = rows.withColumn("_draw", F.explode(F.when(m.times() > 0, F.sequence(F.lit(1), m.times()))))
-    place = F.when(F.col("_draw") <= F.col("whole"), (F.col("_draw") - 1) * F.col("_n") + F.pmod(F.col("place") * 7919 + F.col("_draw"), F.col("_n"))).otherwise(F.col("whole") * F.col("_n") + F.col("place") - 1)
+    rows = rows.withColumn("_draw", F.explode(F.when(F.col("_times") > 0, F.sequence(F.lit(1), F.col("_times")))))
+    place = F.when(F.col("_draw") <= F.col("whole"), (F.col("_draw") - 1) * F.col("_n") + F.pmod(F.col("place") * 7919 + F.col("_draw"), F.col("_n"))).otherwise(F.col("whole") * F.col("_n") + F.col("_turn") - 1)
     rows = rows.withColumn("_shard", F.size(F.filter("_ends", lambda e: e <= place)))
     return rows.withColumn("_order", _hash(m.seed, F.lit("order"), "_shard", "_draw", "doc_id")).repartition("_shard").sortWithinPartitions("_shard", "_order").select(*own)
 
