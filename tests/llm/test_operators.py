@@ -139,6 +139,22 @@ def test_licenses(spark):
     assert licenses.license_matches(empty(spark)).count() == 0
 
 
+def test_license_repeats_and_changed_words():
+    index = licenses.Index(licenses.TEMPLATES, licenses.COVERAGE)
+    names = lambda text: [m["license"] for m in index.matches(text.encode())]
+    for name, text in licenses.TEMPLATES.items():
+        assert names(f"{text} {text}") == [name] * 2
+        assert names(" qqq zzz ".join([text] * 3)) == [name] * 3
+        w = text.split()
+        if name.endswith("notice"):
+            assert names(" ".join([text] * 1000)) == [name] * 1000
+            for i, x in enumerate(w):
+                if len(licenses.words(x.encode())[0]) == 1:
+                    assert names(" ".join(["a b c", *w[:i], "qqq", *w[i + 1 :], "d e"])) == [name], (name, x)
+        else:
+            assert names(" ".join("qqq" if i % 6 == 4 and x.isalpha() else x for i, x in enumerate(w))) == [name]
+
+
 def test_license_alignment():
     r = random.Random(7)
     for _ in range(60):

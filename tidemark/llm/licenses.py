@@ -1,9 +1,11 @@
 """License scans: winnowed fingerprints find candidate templates, banded alignment reports what is matched and where.
 
 Templates and texts are put in lower case (A-Z) and cut into words of 0-9, a-z and non-ASCII bytes. A template's fingerprints, the
-smallest of each GUARD consecutive hashes of GRAM words, make an inverted index; a text's fingerprints, chosen alike, are looked up, so any run of
-GRAM + GUARD - 1 words in common is seen. Hits on near diagonals make one candidate region, which is aligned locally with
-the template within a band around them. A match is reported if it covers enough of the template.
+smallest of each few consecutive hashes of a few words, make an inverted index in which all hashes of a text are looked up. How few follows from
+the coverage: a text that changes, leaves out or puts in as many words as the coverage lets go still has a run of words in common with the
+template, and words and hashes are at most GRAM and GUARD, and so few that each such run holds a fingerprint. Hits on diagonals within BAND make one
+candidate region, which is aligned locally with the template within a band around them, and again before and after what was found,
+until too few of the template's words are left. A match is reported if it covers enough of the template.
 
 Defined results: a null or wordless text matches nothing; each occurrence is reported; repeated rows are reported each; of templates that match
 overlapping words, the one with more matched words (then the first by id) is kept; an empty table gives an empty result; other columns are not
@@ -12,6 +14,8 @@ read. The index holds the templates only, whatever the input.
 
 from __future__ import annotations
 
+import bisect
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,10 +48,10 @@ def words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return span_hashes(a, s, e), s, e
 
 
-def fingerprints(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Winnowed hashes of GRAM words and their places; a shorter text or one with few grams has the smallest."""
-    g = grams(h, min(GRAM, h.size)) if h.size else h
-    at = np.unique(window_minima(g, min(GUARD, g.size))) if g.size else np.empty(0, np.int64)
+def fingerprints(h: np.ndarray, gram: int, guard: int) -> tuple[np.ndarray, np.ndarray]:
+    """Winnowed hashes of gram words and their places: any run of gram + guard - 1 words holds one."""
+    g = grams(h, gram)
+    at = np.unique(window_minima(g, guard))
     return g[at], at
 
 
@@ -78,42 +82,62 @@ class Index:
     """The inverted index of some templates."""
 
     def __init__(self, templates: dict[str, str], coverage: float) -> None:
-        self.coverage, self.names = coverage, sorted(templates)
+        self.names = sorted(templates)
         self.words = [words(templates[n].encode())[0] for n in self.names]
-        posts = [(int(f), k, int(at)) for k, h in enumerate(self.words) for f, at in zip(*fingerprints(h))]
-        posts.sort()
-        self.prints = np.array([p[0] for p in posts], np.uint64)
-        self.posts = np.array([p[1:] for p in posts], np.int64).reshape(-1, 2)
+        #: Words that a match has at least.
+        self.need = [max(1, math.ceil(coverage * h.size - 1e-9)) for h in self.words]
+        posts: dict[int, list[tuple[int, int, int]]] = {}
+        for k, (h, need) in enumerate(zip(self.words, self.need)):
+            if h.size:
+                # need words in one run more than there are words to lose
+                run = -(-need // (h.size - need + 1))
+                gram = min(GRAM, run)
+                posts.setdefault(gram, []).extend((int(f), k, int(at)) for f, at in zip(*fingerprints(h, gram, min(GUARD, run - gram + 1))))
+        self.posts = {gram: (np.array([p[0] for p in sorted(ps)], np.uint64), np.array([p[1:] for p in sorted(ps)], np.int64)) for gram, ps in posts.items()}
+
+    def occurrences(self, k: int, h: np.ndarray, shifts: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+        """Words matched, template, first and last place (exclusive) and template's words of the matches around some shifts; some come twice."""
+        x, need = self.words[k].tolist(), self.need[k]
+        own, band = set(x), max(BAND, len(x) - need)
+        distinct = len(own) - (len(x) - need)
+        shifts, i = sorted(set(shifts)), 0
+        while i < len(shifts):
+            j = bisect.bisect_right(shifts, shifts[i] + BAND)
+            low, high = shifts[i], shifts[j - 1]
+            parts = [(max(0, low - band), min(h.size, high + len(x) + band))]
+            while parts:
+                lo, hi = parts.pop()
+                y = h[lo:hi].tolist()
+                if len(y) < need or len(own.intersection(y)) < distinct:
+                    continue
+                n, first, last = align(x, y, (low + high) // 2 - lo, band + (high - low + 1) // 2)
+                if n >= need:
+                    yield n, k, lo + first, lo + last, len(x)
+                if n:
+                    parts += [(lo, lo + first), (lo + last, hi)]
+            i = j
 
     def matches(self, text: bytes) -> list[dict]:
         h, s, e = words(text)
-        f, at = fingerprints(h)
-        lo, hi = np.searchsorted(self.prints, f, "left"), np.searchsorted(self.prints, f, "right")
-        if not (hi > lo).any():
-            return []
         hits: dict[int, list[int]] = {}
-        for i in np.flatnonzero(hi > lo).tolist():
-            for k, place in self.posts[lo[i] : hi[i]].tolist():
-                hits.setdefault(k, []).append(int(at[i]) - place)
-        found = []
-        for k, shifts in hits.items():
-            x = self.words[k].tolist()
-            group: list[int] = []
-            for shift in [*sorted(shifts), None]:
-                if group and (shift is None or shift - group[-1] > BAND):
-                    begin = max(0, group[0] - BAND)
-                    y = h[begin : group[-1] + len(x) + BAND].tolist()
-                    n, first, last = align(x, y, (group[0] + group[-1]) // 2 - begin, BAND + (group[-1] - group[0] + 1) // 2)
-                    if n >= self.coverage * len(x):
-                        found.append((n, k, first + begin, last + begin, len(x)))
-                    group = []
-                if shift is not None:
-                    group.append(shift)
+        for gram, (prints, posts) in self.posts.items():
+            f = grams(h, gram)
+            lo = np.searchsorted(prints, f, "left")
+            at = np.flatnonzero(prints[np.minimum(lo, prints.size - 1)] == f)
+            hi = np.searchsorted(prints, f[at], "right")
+            for i, a, b in zip(at.tolist(), lo[at].tolist(), hi.tolist()):
+                for k, place in posts[a:b].tolist():
+                    hits.setdefault(k, []).append(i - place)
+        found = {r for k, shifts in hits.items() for r in self.occurrences(k, h, shifts)}
+        if not found:
+            return []
         chars = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
         kept: list[tuple] = []
-        for r in sorted(found, key=lambda r: (-r[0], r[1], r[2])):
-            if all(r[3] <= q[2] or r[2] >= q[3] for q in kept):
+        taken = np.zeros(h.size, bool)
+        for r in sorted(found, key=lambda r: (-r[0], r[1], r[2], r[3])):
+            if not taken[r[2] : r[3]].any():
                 kept.append(r)
+                taken[r[2] : r[3]] = True
         return [{"license": self.names[k], "matched": n, "coverage": n / size, "start": int(chars[s[i]]), "stop": int(chars[e[j - 1]])} for n, k, i, j, size in sorted(kept, key=lambda r: r[2])]
 
 
