@@ -102,6 +102,17 @@ def test_language_pool(spark):
     assert got.code_idx == 1 and 0 < got.probability < 1
 
 
+def test_match_profiles_cover_all_samples(spark, tmp_path):
+    """A speaker without a sample_idx divisible by 5 has a profile too."""
+    from tidemark.plans import voices
+
+    e = np.eye(4)
+    rows = [(i, e[int(i % 5 == 1)].tolist(), int(i % 5 == 1)) for i in range(1, 421) if i % 5 < 2]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.recording_id, r.profile_id, r.speaker_id, r.accepted) for r in voices.mt_match(spark, str(tmp_path)).collect()}
+    assert got == {(f"rec-{k}", f"profile-SPEAKER_{s}", f"SPEAKER_{s}", True) for k in range(7) for s in range(2)}
+
+
 def test_clouds():
     e = np.eye(192)
     same = clouds.cloud(np.stack([e[0]] * 3), np.full(3, 3.0), np.full(3, 3.0))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import repetition as P
+from tidemark.operators import aggregates as A
 from tidemark.operators import clouds as C
 from tidemark.sources import views as V
 from tidemark.sources.views import table
@@ -30,7 +31,8 @@ def agg_inliers(spark: SparkSession, d: str) -> DataFrame:
 
 def mt_match(spark: SparkSession, d: str) -> DataFrame:
     s = V.sample(spark, d)
-    p = s.where("sample_idx % 5 = 0").select("recording_id", F.concat(F.lit("profile-"), "speaker_id").alias("profile_id"), F.col("vector").alias("profile_vector"))
+    # a profile is the weighted mean of all samples of a speaker in a recording
+    p = A.weighted_mean_vector(s, ["recording_id", "speaker_id"]).select("recording_id", F.concat(F.lit("profile-"), "speaker_id").alias("profile_id"), F.col("prototype").alias("profile_vector")).where("profile_vector is not null")
     return C.matches(s, p).select("recording_id", "profile_id", "speaker_id", "accepted", *[F.round(c, 6).alias(c) for c in ("cosine", "support", "margin")])
 
 
