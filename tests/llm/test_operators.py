@@ -247,6 +247,25 @@ def test_mixing_fills_past_long_documents(spark):
         assert Counter(x.doc_id for x in mixing.mixed(table, blocks=8, shards=4, seed=seed).collect()) == Counter({x.doc_id: x.times for x in got if x.times})
 
 
+def test_mix_plan_counts_dealt_draws(spark, monkeypatch):
+    """Each block's draw lies in one shard, shards are of equal size, and the plan counts what the shards hold."""
+    table = docs(spark, [" ".join(["w"] * (1 + i % 9)) for i in range(700)])
+    m = mixing.Mix(table, blocks=8, shards=4)
+    rows = m._placed(mixing.dealt(m, m.rows).select("_row", "_key", "doc_id", "_shard", "_draw")).collect()
+    of = {}
+    for x in rows:
+        of.setdefault((x["_key"], x["_block"], x["_draw"]), set()).add(x["_shard"])
+    assert all(len(s) == 1 for s in of.values())
+    quota = Counter(s for (s,) in of.values())
+    assert set(quota) == {0, 1, 2, 3} and max(quota.values()) - min(quota.values()) <= 1
+    times = {x.doc_id: x.times for x in mixing.mix_plan(table, blocks=8, shards=4).collect()}
+    assert Counter(x["doc_id"] for x in rows) == Counter({i: n for i, n in times.items() if n})
+    every = mixing.dealt
+    monkeypatch.setattr(mixing, "dealt", lambda m, rows: every(m, rows).where("_shard > 0"))
+    times = {x.doc_id: x.times for x in mixing.mix_plan(table, blocks=8, shards=4).collect()}
+    assert Counter(x["doc_id"] for x in rows if x["_shard"]) == Counter({i: n for i, n in times.items() if n})
+
+
 def covered(units, window):
     c = Counter(u[i : i + window] for u in units for i in range(len(u) - window + 1))
     out = []

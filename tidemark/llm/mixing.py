@@ -106,9 +106,9 @@ class Mix:
     """The plan of one mix: sizes of all rows (saved), a row per source, and the draws of each block."""
 
     def __init__(self, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = 1) -> None:
-        spark, self.seed = docs.sparkSession, seed
+        spark, self.seed, self.shards = docs.sparkSession, seed, shards
         size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
-        self.rows = saved(docs.select("doc_id", _key().alias("_key"), size.alias("size")), "sizes")
+        self.rows = saved(docs.select("doc_id", _key().alias("_key"), size.alias("size"), F.monotonically_increasing_id().alias("_row")), "sizes")
         sources = sorted(self.rows.groupBy("_key").agg(F.sum("size"), F.count("*")).limit(MOST_SOURCES + 1).collect(), key=lambda r: (r[0] == "-", r[0].encode()))
         if len(sources) > MOST_SOURCES:
             raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -182,23 +182,30 @@ class Mix:
         return rows.withColumn("_times", F.col("whole") + F.when(once, 1).otherwise(0))
 
 
+def dealt(m: Mix, rows: DataFrame) -> DataFrame:
+    """Rows (with _key, doc_id) once for each draw, with _draw and _shard, gathered by shard and shuffled within each."""
+    few = len(m.targets) * m.shards <= 1_000_000
+    rows = m.drawn(rows).join(F.broadcast(m.ends) if few else m.ends, "_key")
+    # a block's draws: one in each whole pass, at places of that pass's own order, and one in the last
+    rows = rows.withColumn("_draw", F.explode(F.when(F.col("_times") > 0, F.sequence(F.lit(1), F.col("_times")))))
+    place = F.when(F.col("_draw") <= F.col("whole"), (F.col("_draw") - 1) * F.col("_n") + F.pmod(F.col("place") * 7919 + F.col("_draw"), F.col("_n"))).otherwise(F.col("whole") * F.col("_n") + F.col("_turn") - 1)
+    rows = rows.withColumn("_shard", F.size(F.filter("_ends", lambda e: e <= place)))
+    return rows.withColumn("_order", _hash(m.seed, F.lit("order"), "_shard", "_draw", "doc_id")).repartition("_shard").sortWithinPartitions("_shard", "_order")
+
+
 def mix_plan(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
-    """doc_id, size, source_size, target, taken, times of each row of docs (doc_id, text, source, ...)."""
+    """doc_id, size, source_size, target, taken, times of each row of docs (doc_id, text, source, ...), counted from the dealt draws."""
     m = Mix(docs, **options)
-    rows = m.drawn(m.rows).join(m.plan.select("_key", "source_size", "target"), "_key")
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("_times")).cast("bigint").alias("taken"), F.col("_times").alias("times"))
+    draws = saved(dealt(m, m.rows).select("_row", "_shard", "_draw"), "dealt")
+    rows = m.rows.join(draws.groupBy("_row").agg(F.count("*").cast("int").alias("n")), "_row", "left").join(m.plan.select("_key", "source_size", "target"), "_key")
+    rows = rows.withColumn("times", F.coalesce("n", F.lit(0)))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("bigint").alias("taken"), "times")
 
 
 def mixed(docs: DataFrame, shards: int = SHARDS, **options) -> DataFrame:  # noqa: ANN003
     """The mix itself: rows of docs, repeated as drawn, gathered by shard and shuffled within each."""
     m = Mix(docs, shards=shards, **options)
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    rows = m.drawn(docs.withColumn("_key", _key())).join(F.broadcast(m.ends) if m.ends.count() * shards <= 1_000_000 else m.ends, "_key")
-    # a block's draws: one in each whole pass, at places of that pass's own order, and one in the last
-    rows = rows.withColumn("_draw", F.explode(F.when(F.col("_times") > 0, F.sequence(F.lit(1), F.col("_times")))))
-    place = F.when(F.col("_draw") <= F.col("whole"), (F.col("_draw") - 1) * F.col("_n") + F.pmod(F.col("place") * 7919 + F.col("_draw"), F.col("_n"))).otherwise(F.col("whole") * F.col("_n") + F.col("_turn") - 1)
-    rows = rows.withColumn("_shard", F.size(F.filter("_ends", lambda e: e <= place)))
-    return rows.withColumn("_order", _hash(m.seed, F.lit("order"), "_shard", "_draw", "doc_id")).repartition("_shard").sortWithinPartitions("_shard", "_order").select(*own)
+    return dealt(m, docs.withColumn("_key", _key())).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
