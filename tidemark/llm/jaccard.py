@@ -25,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,10 @@ def shingle_set(text: bytes, width: int) -> np.ndarray:
     return distinct(grams(h, width)) if h.size >= width else mix(grams(h, h.size) + np.uint64(h.size))
 
 
+def _set_hash(x: np.ndarray) -> np.uint64:
+    return mix(x * np.uint64(0x94D049BB133111EB)).sum(dtype=np.uint64) + np.uint64(x.size)
+
+
 def _need(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
@@ -64,7 +69,7 @@ def _sets(docs: DataFrame, width: int, percent: int, whole: bool) -> DataFrame:
             ids, texts = b.column("doc_id"), as_bytes(b.column("text"))
             for lo in range(0, len(texts), 500):
                 sets = [shingle_set(t or b"", width) for t in texts[lo : lo + 500]]
-                keys = np.array([mix(x * np.uint64(0x94D049BB133111EB)).sum(dtype=np.uint64) + np.uint64(x.size) for x in sets], np.uint64)
+                keys = np.array([_set_hash(x) for x in sets], np.uint64)
                 cols = [ids.slice(lo, 500), pa.array([x.size for x in sets], pa.int64()), pa.array(signed(keys))]
                 if whole:
                     part = [signed(x) for x in sets]
@@ -187,11 +192,16 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFr
 
     component_id is the smallest doc_id of the documents reachable by links, the row's own included.
     """
+    return _groups(docs, width, percent, ["doc_id", "n_shingles"])
+
+
+def _groups(docs: DataFrame, width: int, percent: int, columns: list[str]) -> DataFrame:
+    """Columns of doc_id, n_shingles, s and label (null without words) for each row of docs, and component_id."""
     join = _Join(docs, width, percent)
     rows = join.docs.select("doc_id", "n", "s").join(small(join.labels(), 16), "s", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "s")))
-    rows = saved(rows.select("doc_id", F.col("n").alias("n_shingles"), "label"), "rows")
+    rows = saved(rows.withColumnRenamed("n", "n_shingles").select(*dict.fromkeys([*columns, "label"])), "rows")
     least = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("c")).where("c > 1").drop("c")
-    return rows.join(least, "label", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.join(least, "label", "left").select(*columns, F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def jaccard_links(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
@@ -201,21 +211,35 @@ def jaccard_links(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[D
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group, the one of smallest doc_id; rows without doc_id stay.
+    """docs with one document of each group, the one of smallest doc_id; rows without doc_id or without words stay.
 
-    The ids that go are measured: few are broadcast, many are joined by a shuffle.
+    Rows that share a doc_id are told apart by their sets: each goes only if its own group has another representative, the one of smallest
+    doc_id and then smallest set hash, or if it repeats a row of the same doc_id and set. The ids that go are measured: few are broadcast, many are
+    joined by a shuffle.
     """
-    groups = saved(jaccard_groups(docs, width, percent), "groups")
-    gone = saved(groups.where("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    gone = small(gone, 16)
-    kept = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    groups = saved(_groups(docs, width, percent, ["doc_id", "s", "label"]), "groups")
     twice = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice"))
     twice = saved(twice, "twice")
+    gone = saved(groups.where("label is not null and doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    gone = small(gone, 16)
     if twice.isEmpty():
-        return kept
+        return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
     twice = small(twice, 16)
-    more = kept.join(twice, kept["doc_id"] == twice["twice"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, kept["doc_id"] == twice["twice"], "left_anti").union(more)
+    first = groups.where("label is not null and doc_id is not null").groupBy("label").agg(F.min(F.struct("doc_id", "s")).alias("x"))
+    first = first.select(F.col("x.doc_id").alias("twice"), F.col("x.s").alias("_s")).join(twice, "twice", "left_semi")
+    first = small(saved(first, "first"), 24)
+
+    @F.pandas_udf("bigint")
+    def set_hash(texts: pd.Series) -> pd.Series:
+        sets = [shingle_set((x or "").encode(), width) for x in texts]
+        return pd.Series([int(_set_hash(x).astype(np.int64)) if x.size else None for x in sets], dtype="Int64")
+
+    clash = docs.join(twice, docs["doc_id"] == twice["twice"], "left_semi").withColumn("_set_hash", set_hash("text"))
+    clash = saved(clash, "clash")
+    kept = clash.where("_set_hash is not null").join(first, (clash["doc_id"] == first["twice"]) & (clash["_set_hash"] == first["_s"]), "left_semi").dropDuplicates(["doc_id", "_set_hash"])
+    more = clash.where("_set_hash is null").union(kept).drop("_set_hash")
+    single = docs.join(twice, docs["doc_id"] == twice["twice"], "left_anti")
+    return single.join(gone, single["doc_id"] == gone["gone"], "left_anti").union(more)
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
