@@ -97,12 +97,6 @@ def test_jaccard_edges(spark):
     assert sum(r.doc_id == 7 for r in kept) == 1
 
 
-def test_one_of_each_with_clashing_ids(spark):
-    rows = [(1, "a b c d e f"), (7, "a b c d e f"), (7, "k l m n o p"), (7, "k l m n o p"), (7, "q r s t u v"), (7, ""), (7, None), (8, "q r s t u v"), (9, "x y z")]
-    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
-    assert Counter((r.doc_id, r.text) for r in kept) == Counter([rows[i] for i in (0, 2, 4, 5, 6, 8)])
-
-
 def test_token_counts(spark):
     tokenizers = pytest.importorskip("public_tokenizers")
     import sentencepiece
