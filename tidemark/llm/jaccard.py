@@ -5,14 +5,16 @@ Texts with equal sets form a class; the work is on classes. It goes in two steps
 1. Screen. Every set is ordered by hash. With `l`-prefixes of `misses + l` shingles, two similar sets share `l` or more of
    them, so a class in whose prefix fewer shingles also stand in another class's prefix links with nothing.
 2. Join of what is left. Shingles are ordered rare first by their document frequency there; shingles of one class alone
-   lead and use up prefix places. Classes that share a prefix shingle are candidates, filtered by length, by position of the first
-   common shingle, and by a suffix filter (counts of the sets' shingles in ranges of hashes bound their overlap), then
-   verified once per pair on the whole sets.
+   lead and use up prefix places. Of each pair the smaller class is looked up by a short prefix, the larger one by a longer one. Classes that share a
+   prefix shingle are candidates, filtered by length, by position of the first common shingle, and by a suffix filter (counts of the sets'
+   shingles in ranges of hashes bound their overlap), then verified once per pair on the whole sets.
 
-Groups need no list of all pairs. First a star: classes with the same smallest hash (of four hash functions) are compared with one
-leader, which gathers most of a large group at the cost of four pairs a class at most. Then all pairs that share a prefix
-shingle but not yet a group are compared, outsiders of a shingle's largest group against the rest. No pair that could change a
-group is left out. `jaccard_links` lists all linking pairs of classes instead.
+Large groups need no list of all pairs. Classes that meet in prefix shingles of more than DIRECT classes make a family (families that share a class are
+one). A family's base is the set of shingles that most of its core hold, and each class is kept as its difference to the base. As
+`|A ^ B| = |A ^ base| + |B ^ base| - 2 |(A ^ base) & (B ^ base)|`, the same rare-first prefix filter runs on the differences: the class nearest to the base is
+linked with all that are near enough by their sizes alone, and any other link must have part of its differences in common, which prefixes of the
+differences show. Families within a family are taken apart in the same way, LEVELS deep. No pair that could change a group is left out.
+`jaccard_links` lists all linking pairs of classes instead.
 
 Defined results: null and wordless texts have an empty set and link with nothing; a text with fewer words than a shingle
 has its whole sequence as its one shingle; repeated rows fall in one class and all get a row; a null doc_id stays null and
@@ -34,7 +36,10 @@ from tidemark.llm.kernels import LOWER, as_bytes, distinct, grams, mix, signed,
 from tidemark.llm.tables import forget, release, saved, small
 
 BINS = 32
-STARS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
+#: Classes that a prefix shingle brings together directly; beyond, they make a family. Families within families, at most.
+DIRECT, LEVELS = 8, 6
+#: Shingles that a task looks at together, and how often one of them comes there before it is counted apart.
+TOGETHER, OFTEN = 2_000_000, 8
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -57,7 +62,7 @@ def _lists(parts: list[np.ndarray], kind: np.dtype = np.int64) -> pa.Array:
 
 
 def _sets(docs: DataFrame, width: int, percent: int, whole: bool) -> DataFrame:
-    """doc_id, n, s (the set's hash) and part: its screening prefix, or with whole all of it, its counts by hash range and its smallest hashes."""
+    """doc_id, n, s (the set's hash) and part: its screening prefix, or with whole all of it, and its counts by hash range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -67,16 +72,63 @@ def _sets(docs: DataFrame, width: int, percent: int, whole: bool) -> DataFrame:
                 keys = np.array([mix(x * np.uint64(0x94D049BB133111EB)).sum(dtype=np.uint64) + np.uint64(x.size) for x in sets], np.uint64)
                 cols = [ids.slice(lo, 500), pa.array([x.size for x in sets], pa.int64()), pa.array(signed(keys))]
                 if whole:
-                    part = [signed(x) for x in sets]
                     bins = _lists([np.bincount((x >> np.uint64(59)).astype(np.int64), minlength=BINS) for x in sets], np.int32)
-                    stars = _lists([signed(np.array([mix(x * k).min() for k in STARS], np.uint64)) if x.size else signed(x) for x in sets])
-                    yield pa.RecordBatch.from_arrays([*cols, _lists(part), bins, stars], ["doc_id", "n", "s", "part", "bins", "stars"])
+                    yield pa.RecordBatch.from_arrays([*cols, _lists([signed(x) for x in sets]), bins], ["doc_id", "n", "s", "part", "bins"])
                 else:
                     part = [signed(x[: (m := x.size - _need(x.size, percent)) + max(1, m // 2)]) for x in sets]
                     yield pa.RecordBatch.from_arrays([*cols, _lists(part)], ["doc_id", "n", "s", "part"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, s bigint, part array<bigint>" + ", bins array<int>, stars array<bigint>" * whole)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, s bigint, part array<bigint>" + ", bins array<int>" * whole)
+
+
+def _together(batches: Iterator[pa.RecordBatch], key: str, values: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and values of a task's lists, TOGETHER values or a little more at a time."""
+    keys, parts, n = [], [], 0
+    for b in batches:
+        x = b.column(values)
+        keys.append(np.repeat(b.column(key).to_numpy(), np.asarray(x.value_lengths())))
+        parts.append(np.asarray(x.flatten()))
+        n += parts[-1].size
+        if n >= TOGETHER:
+            yield np.concatenate(keys), np.concatenate(parts)
+            keys, parts, n = [], [], 0
+    if n:
+        yield np.concatenate(keys), np.concatenate(parts)
+
+
+def _rows(columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, columns[0].size, 200_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 200_000]) for c in columns], names)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """s, part -> (q, h, s, known): prefix shingles to be brought together by q; of those that meet within the task already, two rows to tell others and the known meetings."""
+    for s, h in _together(batches, "s", "part"):
+        order = np.lexsort((s, h))
+        s, h = s[order], h[order]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (s[1:] != s[:-1])])
+        s, h = s[new], h[new]
+        change = h[1:] != h[:-1]
+        first, last = np.concatenate([[True], change]), np.concatenate([change, [True]])
+        tell, known = first | last, ~(first & last)
+        yield from _rows([np.concatenate([h[tell], s[known]]), np.concatenate([h[tell], h[known]]), np.concatenate([s[tell], s[known]]), np.repeat([False, True], [tell.sum(), known.sum()])], ["q", "h", "s", "known"])
+
+
+def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """s, part -> (h, df) of the shingles that come OFTEN or more within a task, so that no shingle need gather all its classes."""
+    for _, h in _together(batches, "s", "part"):
+        h, n = np.unique(h, return_counts=True)
+        yield from _rows([h[n >= OFTEN], n[n >= OFTEN].astype(np.int64)], ["h", "df"])
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """g, x -> (g, e, c): how often each shingle comes in a family within a task."""
+    for g, e in _together(batches, "g", "x"):
+        order = np.lexsort((e, g))
+        g, e = g[order], e[order]
+        at = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (e[1:] != e[:-1])]))
+        yield from _rows([g[at], e[at], np.diff(np.append(at, g.size))], ["g", "e", "c"])
 
 
 def _ceil(x: Column, by: int) -> Column:
@@ -84,102 +136,143 @@ def _ceil(x: Column, by: int) -> Column:
 
 
 class _Join:
-    """The tables of one join."""
+    """The tables of one join.
+
+    A level's rows are classes as differences to the base of their family g: s, n, d (the difference's size), x (those of its shingles that come
+    twice or more in the family, rare first) and w. Two classes link if twice the shingles that their differences share, times 100 + percent, reach the sum of their w.
+    inner classes are linked with the one nearest to the base, whose w is low. At first the base is empty.
+    """
 
     def __init__(self, docs: DataFrame, width: int, percent: int) -> None:
-        self.percent = percent
+        self.percent, self.spark, self.kept = percent, docs.sparkSession, []
         wide = saved(_sets(docs, width, percent, whole=False), "prefixes")
         self.docs = saved(wide.select("doc_id", "n", "s"), "sets")
         classes = self.docs.where("n > 0").groupBy("s", "n").agg(F.min("doc_id").alias("doc_id"))
-        posts = wide.dropDuplicates(["s"]).select("s", F.explode("part").alias("h")).repartition("h")
-        shared = posts.groupBy("h").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo != hi").select("h")
-        counts = posts.join(shared, "h", "left_semi").groupBy("s").agg(F.count("*").alias("k"))
+        posts = wide.select("s", "part").mapInArrow(_meet, "q bigint, h bigint, s bigint, known boolean").repartition("q")
+        shared = posts.groupBy("q").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.max("known").alias("known")).where("lo != hi or known").select("q")
+        counts = posts.join(shared, "q", "left_semi").groupBy("s").agg(F.count_distinct("h").alias("k"))
         smaller = _ceil(F.col("n") * percent, 100)  # of the sets that a set of n can link with
         least = F.greatest(F.lit(1), F.floor((smaller - _ceil(smaller * percent, 100)) / 2))
         left = saved(classes.join(counts, "s").where(F.col("k") >= least).select("doc_id", "s"), "screened")
         forget(wide)
-        release(docs.sparkSession)
+        release(self.spark)
         ids = small(left.select(F.col("doc_id").alias("rep")).distinct(), 16)
         rows = docs.join(ids, docs["doc_id"].eqNullSafe(ids["rep"]), "left_semi")
         sets = saved(_sets(rows, width, percent, whole=True).drop("doc_id").join(small(left.select("s"), 16), "s", "left_semi").dropDuplicates(["s"]), "whole")
-        release(docs.sparkSession)
-        self.light = small(saved(sets.select("s", "n", "bins", "stars"), "light"), 240)
-        each = sets.select("s", F.explode("part").alias("h")).repartition("h")
-        often = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-        ranked = each.join(often, "h").groupBy("s").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("x")).join(self.light.select("s", "n"), "s").select("s", "n", F.col("x.h").alias("x"))
-        self.ranked = saved(ranked.where(F.size("x") * 100 >= F.col("n") * percent), "ranked")
-        forget(sets)
-        release(docs.sparkSession)
-        alone = F.col("n") - F.size("x")
-        length = F.greatest(F.lit(0), F.col("n") - _ceil(F.col("n") * percent, 100) + 1 - alone)
-        self.posts = saved(self.ranked.select("s", "n", alone.alias("alone"), F.posexplode(F.slice("x", F.lit(1), length.cast("int"))).alias("at", "h")).select("h", "s", "n", (F.col("at") + F.col("alone")).cast("int").alias("at")), "posts")
-
-    def near(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, na, pa, b, nb, pb), by shared shingle, those that link; pa and pb are places, or null for no positional filter."""
-        p = F.lit(self.percent)
-        pairs = pairs.where((p * F.greatest("na", "nb") <= 100 * F.least("na", "nb"))).groupBy("a", "b", "na", "nb").agg(F.min("pa").alias("pa"), F.min("pb").alias("pb"))
-        need = _ceil(p * (F.col("na") + F.col("nb")), 100 + self.percent)
-        pairs = pairs.where(F.least(F.col("na") - F.coalesce("pa", F.lit(0)), F.col("nb") - F.coalesce("pb", F.lit(0))) >= need).select("a", "b", "na", "nb")
-        apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, d: t + d)
-        pairs = pairs.join(self.light.select(F.col("s").alias("a"), F.col("bins").alias("x")), "a").join(self.light.select(F.col("s").alias("b"), F.col("bins").alias("y")), "b")
-        pairs = pairs.where(apart <= F.col("na") + F.col("nb") - 2 * need).select("a", "b", "na", "nb")
-        x = self.ranked.select("s", "x")
-        pairs = pairs.join(x.withColumnsRenamed({"s": "a"}), "a").join(x.withColumnsRenamed({"s": "b", "x": "y"}), "b")
-        pairs = pairs.select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).alias("both"))
-        return pairs.where(100 * F.col("both") >= p * (F.col("na") + F.col("nb") - F.col("both")))
+        forget(left)
+        release(self.spark)
+        self.light = self._save(sets.select("s", "bins"), "light")
+        often = saved(sets.select("s", "part").mapInArrow(_often, "h bigint, df bigint").groupBy("h").agg(F.sum("df").alias("df")), "often")
+        each, apart = sets.select("s", F.explode("part").alias("h")), small(often, 16)
+        rest = each.join(apart, "h", "left_anti").repartition("h")
+        found = rest.join(rest.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "h").select("s", "h", "df").union(each.join(apart, "h").select("s", "h", "df"))
+        ranked = found.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("x")).join(sets.select("s", "n"), "s").select("s", "n", F.col("x.h").alias("x"))
+        self.ranked = self._save(ranked.where(F.size("x") * 100 >= F.col("n") * percent), "ranked")
+        forget(sets, often)
+        release(self.spark)
+
+    def _save(self, df: DataFrame, name: str) -> DataFrame:
+        """As saved, until close."""
+        self.kept.append(saved(df, name))
+        return self.kept[-1]
+
+    def close(self) -> None:
+        forget(*self.kept)
+        self.kept.clear()
+        release(self.spark)
+
+    def _w(self) -> Column:
+        return (100 + self.percent) * F.col("d") - (100 - self.percent) * F.col("n")
+
+    def _need(self) -> Column:
+        """Shingles that the differences of a pair must share to link."""
+        return F.greatest(F.lit(1), _ceil(F.col("wa") + F.col("wb"), 2 * (100 + self.percent)))
+
+    def first(self) -> DataFrame:
+        level = self.ranked.select(F.lit(0).cast("bigint").alias("g"), "s", "n", F.col("n").alias("d"), "x").withColumn("w", self._w())
+        return level.withColumns({"low": 2 * self.percent * _ceil(F.col("n") * self.percent, 100), "inner": F.lit(False)})
+
+    def posts(self, level: DataFrame) -> DataFrame:
+        """(g, h, s, n, d, w, at) of prefix shingles; i: by which the class is found as the one of smaller w, o: by which it looks for such."""
+        alone = F.col("d") - F.size("x")
+        ahead = lambda w: F.greatest(F.lit(0), F.col("d") - F.greatest(F.lit(1), _ceil(F.col("w") + w, 2 * (100 + self.percent))) + 1 - alone).cast("int")
+        rows = level.withColumns({"_i": ahead(F.greatest(F.col("w"), 1 - F.col("low"))), "_o": F.when(F.col("inner"), 0).otherwise(ahead(F.col("low"))), "_alone": alone})
+        rows = rows.select("g", "s", "n", "d", "w", "_i", "_o", "_alone", F.posexplode(F.slice("x", F.lit(1), F.greatest("_i", "_o"))).alias("_at", "h"))
+        return rows.select("g", "h", "s", "n", "d", "w", (F.col("_at") + F.col("_alone")).alias("at"), (F.col("_at") < F.col("_i")).alias("i"), (F.col("_at") < F.col("_o")).alias("o"))
+
+    def near(self, posts: DataFrame, level: DataFrame, whole: bool) -> DataFrame:
+        """Links (a, b, both): pairs of posts that meet, but for pairs of one f, filtered and verified; whole: the base is empty."""
+        a, b = (posts.where(c).select("g", "h", *[F.col(k).alias(k + t) for k in ("s", "n", "d", "w", "at", "f")]) for c, t in (("i", "a"), ("o", "b")))
+        pairs = a.join(b, ["g", "h"]).where("(wa < wb or wa = wb and sa < sb) and (fa is null or fb is null or fa != fb)")
+        pairs = pairs.where(self.percent * F.greatest("na", "nb") <= 100 * F.least("na", "nb"))
+        pairs = pairs.groupBy("g", "sa", "sb", "na", "nb", "da", "db", "wa", "wb").agg(F.min("ata").alias("ata"), F.min("atb").alias("atb"))
+        pairs = pairs.where(F.least(F.col("da") - F.col("ata"), F.col("db") - F.col("atb")) >= self._need()).select("g", "sa", "sb", "na", "nb", "wa", "wb")
+        if whole:
+            apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, d: t + d)
+            light = small(self.light, 160)
+            pairs = pairs.join(light.select(F.col("s").alias("sa"), F.col("bins").alias("x")), "sa").join(light.select(F.col("s").alias("sb"), F.col("bins").alias("y")), "sb")
+            pairs = pairs.where(apart <= F.col("na") + F.col("nb") - 2 * self._need()).select("g", "sa", "sb", "na", "nb", "wa", "wb")
+        x = level.select("g", "s", "x")
+        pairs = pairs.join(x.withColumnsRenamed({"s": "sa"}), ["g", "sa"]).join(x.withColumnsRenamed({"s": "sb", "x": "y"}), ["g", "sb"])
+        return pairs.withColumn("both", F.size(F.array_intersect("x", "y"))).where(F.col("both") >= self._need()).select(F.col("sa").alias("a"), F.col("sb").alias("b"), "na", "nb", "both")
 
     def links(self) -> DataFrame:
         """All pairs of classes that link."""
-        x, y = (self.posts.select("h", *[F.col(c).alias(n) for c, n in zip(("s", "n", "at"), names)]) for names in (("a", "na", "pa"), ("b", "nb", "pb")))
-        return saved(self.near(x.join(y, "h").where("a < b")), "links")
-
-    def star(self) -> DataFrame:
-        """Links (u, v), u above v, of classes with the leaders of their smallest hashes."""
-        each = self.light.select("s", "n", F.explode(F.array_distinct("stars")).alias("h"))
-        first = each.groupBy("h").agg(F.min("s").alias("lo"), F.max(F.struct("s", "n")).alias("hi"), F.min(F.struct("s", "n")).alias("x")).where("lo != hi.s").select("h", F.col("x.s").alias("a"), F.col("x.n").alias("na"))
-        none = F.lit(None).cast("int")
-        pairs = each.join(first, "h").where("s != a").select("a", "na", none.alias("pa"), F.col("s").alias("b"), F.col("n").alias("nb"), none.alias("pb"))
-        return saved(self.near(pairs).select(F.col("b").alias("u"), F.col("a").alias("v")), "links")
-
-    def rest(self, label: DataFrame, last: bool, most: int) -> tuple[DataFrame, bool]:
-        """Links of pairs that share a prefix shingle and no label, all if last or they cost at most so much, else of one leader a shingle."""
-        posts = self.posts.join(small(label, 16), "s", "left").select("h", "s", "n", "at", F.coalesce("label", "s").alias("label")).repartition("h")
-        mixed = posts.groupBy("h", "label").agg(F.count("*").alias("c")).groupBy("h")
-        mixed = mixed.agg(F.max_by("label", F.struct("c", -F.col("label"))).alias("main"), F.count("*").alias("labels"), F.sum("c").alias("all"), F.max("c").alias("most")).where("labels > 1")
-        posts = saved(posts.join(mixed, "h"), "mixed")
-        work = posts.agg(F.sum(F.col("all") - F.col("most"))).first()[0] or 0
-        last = last or work <= most
-        out = posts.where("label != main").select("h", F.col("s").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("label").alias("la"))
-        if not last:
-            out = out.groupBy("h").agg(F.min(F.struct("a", "na", "pa", "la")).alias("x")).select("h", "x.*")
-        rest = posts.select("h", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("label").alias("lb"), "main")
-        pairs = out.join(rest, "h").where((F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b")) | F.lit(not last)))
-        pairs = pairs.where(self.percent * F.greatest("na", "nb") <= 100 * F.least("na", "nb"))
-        swap = F.col("a") > F.col("b")
-        pairs = pairs.select(*[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("na", "nb"), ("nb", "na"), ("pa", "pb"), ("pb", "pa"))])
-        return saved(self.near(pairs).select(F.col("b").alias("u"), F.col("a").alias("v")), "links"), last
-
-    def labels(self, most_rounds: int = 5) -> DataFrame:
+        level = self.first()
+        return saved(self.near(self.posts(level).withColumn("f", F.lit(None).cast("bigint")), level, True), "links")
+
+    def families(self, posts: DataFrame, hot: DataFrame) -> DataFrame:
+        """(s, f, core) of the classes of hot shingles; core: those that hold the family's most frequent one."""
+        key = F.xxhash64("g", "h")
+        mine = posts.join(hot, ["g", "h"]).select("s", F.struct(F.col("m"), key.alias("k")).alias("k"))
+        mine = self._save(mine.groupBy("s").agg(F.max("k").alias("top"), F.collect_set("k.k").alias("ks")), "hot-classes")
+        edges = mine.select(F.col("top.k").alias("u"), F.explode("ks").alias("v")).where("u != v").distinct()
+        groups = self._save(connected_components(edges), "hot-groups")
+        rows = mine.join(small(groups, 16), F.col("top.k") == F.col("id"), "left").select("s", "top", F.coalesce("component", "top.k").alias("f"))
+        tops = self._save(rows.groupBy("f").agg(F.max("top").alias("first")), "hot-tops")
+        return self._save(rows.join(small(tops, 32), "f").select("s", "f", (F.col("top") == F.col("first")).alias("core")), "families")
+
+    def apart(self, families: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The next level, of the classes in families; and the links (a, b) of each one's inner classes with the class nearest to its base."""
+        rows = self._save(self.ranked.join(small(families, 24), "s").select("s", "n", "x", F.col("f").alias("g"), "core"), "family")
+        size = small(self._save(rows.where("core").groupBy("g").agg(F.count("*").alias("m")), "family-sizes"), 16)
+        base = rows.where("core").select("g", "x").mapInArrow(_counts, "g bigint, e bigint, c bigint").groupBy("g", "e").agg(F.sum("c").alias("c"))
+        base = self._save(base.join(size, "g").where("2 * c > m").groupBy("g").agg(F.collect_list("e").alias("base")), "bases")
+        base = small(base, 32 + 8 * F.size("base"))
+        both = rows.join(base, "g", "left").withColumn("base", F.coalesce("base", F.array().cast("array<bigint>")))
+        both = both.select("g", "s", "n", (F.col("n") - F.size("x")).alias("alone"), F.concat(F.array_except("x", "base"), F.array_except("base", "x")).alias("y"))
+        both = self._save(both.withColumn("d", F.col("alone") + F.size("y")).withColumn("w", self._w()), "differences")
+        each = both.select("g", "s", F.explode("y").alias("e"))
+        often = each.groupBy("g", "e").agg(F.count("*").alias("df")).where("df > 1")
+        ranked = each.join(often, ["g", "e"]).groupBy("g", "s").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("x")).select("g", "s", F.col("x.e").alias("x"))
+        nearest = small(self._save(both.groupBy("g").agg(F.min(F.struct("w", "s")).alias("least")), "nearest"), 32)
+        level = both.select("g", "s", "n", "d", "w").join(nearest, "g").join(ranked, ["g", "s"], "left")
+        level = level.select("g", "s", "n", "d", F.coalesce("x", F.array().cast("array<bigint>")).alias("x"), "w", F.col("least.w").alias("low"), (F.col("w") + F.col("least.w") <= 0).alias("inner"), F.col("least.s").alias("nearest"))
+        level = self._save(level, "level")
+        return level, level.where("inner and s != nearest").select(F.col("s").alias("a"), F.col("nearest").alias("b"))
+
+    def labels(self) -> DataFrame:
         """(s, label) of the classes that link with others; label: the smallest s of the group."""
-        links = self.star()
-        n = self.light.count()
-        label = self.soon(links, n)
-        most = 4 * self.posts.count() + 100_000
-        for k in range(1, most_rounds + 1):
-            more, last = self.rest(label, k == most_rounds, most)
-            links = links.union(more)
-            release(self.docs.sparkSession)
+        level, links = self.first(), None
+        for k in range(LEVELS):
+            posts = self._save(self.posts(level), "posts")
+            hot = posts.groupBy("g", "h").agg(F.count_if("i").alias("i"), F.count_if("o").alias("o")).where(F.least("i", "o") > DIRECT)
+            hot = self._save(hot.select("g", "h", (F.col("i") + F.col("o")).alias("m")), "hot")
+            last = k == LEVELS - 1 or hot.isEmpty()
+            if last:
+                posts = posts.withColumn("f", F.lit(None).cast("bigint"))
+            else:
+                few = small(hot, 24)
+                families = self.families(posts, few)
+                posts = posts.join(few, ["g", "h"], "left_anti").join(small(families.select("s", "f"), 16), "s", "left")
+            found = self._save(self.near(posts, level, not k).select("a", "b"), "links")
+            links = found if links is None else links.union(found)
             if last:
                 break
-            label = self.soon(links.union(label.select(F.col("s").alias("u"), F.col("label").alias("v"))), n)
-        return saved(connected_components(links).select(F.col("id").alias("s"), F.col("component").alias("label")), "labels", n)
-
-    @staticmethod
-    def soon(links: DataFrame, n: int) -> DataFrame:
-        """A sound label for each class with a link to a smaller one: the smallest within two steps, which need not be the group's."""
-        once = saved(links.groupBy("u").agg(F.min("v").alias("v")), "labels", n)
-        twice = once.alias("x").join(small(once, 16).alias("y"), F.col("x.v") == F.col("y.u"), "left")
-        return saved(twice.select(F.col("x.u").alias("s"), F.coalesce("y.v", "x.v").alias("label")), "labels")
+            level, more = self.apart(families)
+            links = links.union(more)
+            release(self.spark)
+        return self._save(connected_components(links.withColumnsRenamed({"a": "u", "b": "v"})).select(F.col("id").alias("s"), F.col("component").alias("label")), "labels")
 
 
 def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -188,8 +281,10 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFr
     component_id is the smallest doc_id of the documents reachable by links, the row's own included.
     """
     join = _Join(docs, width, percent)
-    rows = join.docs.select("doc_id", "n", "s").join(small(join.labels(), 16), "s", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "s")))
+    rows = join.docs.join(small(join.labels(), 16), "s", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "s")))
     rows = saved(rows.select("doc_id", F.col("n").alias("n_shingles"), "label"), "rows")
+    join.close()
+    forget(join.docs)
     least = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("c")).where("c > 1").drop("c")
     return rows.join(least, "label", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -197,7 +292,9 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFr
 def jaccard_links(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """All links between different sets: (a, b, intersection, similarity) of set hashes, and membership (doc_id, s)."""
     join = _Join(docs, width, percent)
-    return join.links().select("a", "b", F.col("both").alias("intersection"), (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("similarity")), join.docs.select("doc_id", "s")
+    links = join.links()
+    join.close()
+    return links.select("a", "b", F.col("both").alias("intersection"), (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("similarity")), join.docs.select("doc_id", "s")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

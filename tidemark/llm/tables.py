@@ -6,7 +6,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes up to which a measured side may be broadcast; beyond either, the join shuffles.
@@ -53,7 +53,11 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """A saved table with the broadcast hint if rows times row_bytes stays under the bounds, else as it is."""
-    n = df.count()
-    return F.broadcast(df) if n <= BROADCAST_ROWS and n * row_bytes <= BROADCAST_BYTES else df
+def small(df: DataFrame, row_bytes: int | Column) -> DataFrame:
+    """A saved table with the broadcast hint if its rows and the sum of row_bytes stay under the bounds, else as it is; a Column measures rows that hold arrays."""
+    if isinstance(row_bytes, int):
+        n = df.count()
+        size = n * row_bytes
+    else:
+        n, size = df.agg(F.count("*"), F.coalesce(F.sum(row_bytes), F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
