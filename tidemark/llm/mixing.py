@@ -8,11 +8,12 @@ draws by source between its two halves by a multivariate hypergeometric draw, do
 its exact quota of every source. A shard draws the next blocks of each source's order, disjoint from those of other shards,
 and shuffles its documents locally.
 
-What the driver holds is one row per source (at most MOST_SOURCES) times the shards; blocks and documents stay in Spark.
+Blocks hold BLOCK documents at most on average and shards SHARD words, so that both grow in number with the input and not in size; beyond MOST_SHARDS shards, shards grow.
+What the driver holds is one row per source (at most MOST_SOURCES; more are refused) and its quotas by shard (at most MOST_QUOTAS numbers); blocks and documents stay in Spark.
 
 Defined results: a null text has size 0; a null source is a source, the last; a source of size 0 has target 0; a null
 doc_id hashes as such; rows with the same doc_id in one source are drawn together; an empty table gives an empty result;
-other columns are carried by `mixed` and not read by `mix_plan`. All draws come from hashes and seeds, so reruns agree.
+other columns, whatever their names, are carried by `mixed` and not read by `mix_plan`. All draws come from hashes and seeds, so reruns agree.
 """
 
 from __future__ import annotations
@@ -28,9 +29,10 @@ from tidemark.llm.tables import saved, small
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
-BLOCKS, SHARDS = 256, 64
-#: Documents in a block, at least; a source has BLOCKS blocks at most.
-LEAST_BLOCK = 32
+#: A source has a block for each LEAST_BLOCK documents up to BLOCKS blocks, and more as soon as blocks would hold over BLOCK documents.
+LEAST_BLOCK, BLOCKS, BLOCK = 32, 256, 20_000
+#: Words of a shard and the least number of shards; numbers above which shards grow instead.
+SHARD, SHARDS, MOST_SHARDS, MOST_QUOTAS = 500_000, 8, 100_000, 20_000_000
 MOST_SOURCES = 100_000
 #: Documents of a source that one task looks through for some that fit the room left; at least a block.
 FILL = 200_000
@@ -50,6 +52,11 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return out
 
 
+def shard_count(words: int, sources: int) -> int:
+    """Output shards of a mix of so many words."""
+    return int(min(max(SHARDS, -(-words // SHARD)), MOST_SHARDS, max(1, MOST_QUOTAS // max(1, sources))))
+
+
 def deal(draws: list[int], shards: int, seed: int) -> np.ndarray:
     """Draws by source, dealt to shards of equal size: an array (shards, sources) whose columns sum to draws."""
     out = np.zeros((shards, len(draws)), np.int64)
@@ -105,8 +112,8 @@ def _fill(docs: pd.DataFrame) -> pd.DataFrame:
 class Mix:
     """The plan of one mix: sizes of all rows (saved), a row per source, and the draws of each block."""
 
-    def __init__(self, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = 1) -> None:
-        spark, self.seed, self.shards = docs.sparkSession, seed, shards
+    def __init__(self, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, blocks: int | None = None, shards: int | None = None, seed: int = 1) -> None:
+        spark, self.seed = docs.sparkSession, seed
         size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
         self.rows = saved(docs.select("doc_id", _key().alias("_key"), size.alias("size"), F.monotonically_increasing_id().alias("_row")), "sizes")
         sources = sorted(self.rows.groupBy("_key").agg(F.sum("size"), F.count("*")).limit(MOST_SOURCES + 1).collect(), key=lambda r: (r[0] == "-", r[0].encode()))
@@ -114,16 +121,17 @@ class Mix:
             raise ValueError(f"more than {MOST_SOURCES} sources")
         sizes = [r[1] for r in sources]
         self.targets = targets(sizes, weights, most)
+        self.shards = shards or shard_count(sum(sizes), len(sizes))
         whole = [int(t // s) if s else 0 for t, s in zip(self.targets, sizes)]
         rest = [float(t - n * s) for t, n, s in zip(self.targets, whole, sizes)]
         plan = spark.createDataFrame(
-            [(r[0], r[1], float(t), n, x, min(blocks, max(1, r[2] // LEAST_BLOCK))) for r, t, n, x in zip(sources, self.targets, whole, rest)],
+            [(r[0], r[1], float(t), n, x, min(blocks or max(BLOCKS, r[2] // BLOCK), max(1, r[2] // LEAST_BLOCK))) for r, t, n, x in zip(sources, self.targets, whole, rest)],
             "_key string, source_size bigint, target double, whole int, rest double, _blocks int",
         )
         self.plan = F.broadcast(plan) if len(sources) <= 20_000 else plan
         words = self.rows.join(self.plan.select("_key", "_blocks"), "_key").groupBy("_key", self._block().alias("_block")).agg(F.sum("size").alias("words"), F.count("*").alias("docs"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
         order = _hash(seed, F.lit("more"), "_key", "_block")
-        # blocks of a source are at most `blocks`, so the window's groups are bounded
+        # a window's group has a row for each block of a source
         more = words.join(self.plan, "_key").withColumn("o", order).withColumn("_n", F.expr("count(*) over (partition by _key)"))
         run = "over (partition by _key order by o, _block"
         more = more.withColumn("place", F.expr(f"row_number() {run})")).withColumn("before", F.expr(f"sum(words) {run} rows unbounded preceding)") - F.col("words"))
@@ -133,12 +141,26 @@ class Mix:
         some = part.where("kind > 0").groupBy("_key", "_block").agg(F.max(F.when(F.col("kind") == 1, F.col("o"))).alias("last"))
         draws = more.join(some.withColumn("part", F.lit(True)), ["_key", "_block"], "left").withColumn("_once", F.col("more") | F.coalesce("part", F.lit(False)))
         draws = draws.withColumn("_turn", F.expr("row_number() over (partition by _key, _once order by place)"))
-        self.draws = saved(draws.select("_key", "_block", "whole", "more", "place", "_turn", "_n", "last", "_once"), "draws")
+        draws = saved(draws.select("_key", "_block", "whole", "more", "place", "_turn", "_n", "last", "_once"), "draws")
         self.also = part.where("kind = 2").select("_key", "_block", F.col("o").alias("_o"), F.lit(True).alias("_also"))
-        count = {r[0]: r[1] for r in self.draws.groupBy("_key").agg(F.sum(F.col("whole") + F.col("_once").cast("int"))).collect()}
-        quota = deal([int(count[r[0]]) for r in sources], shards, seed)
+        count = {r[0]: r[1] for r in draws.groupBy("_key").agg(F.sum(F.col("whole") + F.col("_once").cast("int"))).collect()}
+        quota = deal([int(count[r[0]]) for r in sources], self.shards, seed)
         ends = np.cumsum(quota, axis=0).T.tolist()
-        self.ends = spark.createDataFrame([(r[0], e) for r, e in zip(sources, ends)], "_key string, _ends array<bigint>")
+        ends = spark.createDataFrame([(r[0], e) for r, e in zip(sources, ends)], "_key string, _ends array<bigint>")
+        self.turns = saved(self._turns(draws, ends), "turns")
+
+    @staticmethod
+    def _turns(draws: DataFrame, ends: DataFrame) -> DataFrame:
+        """_key, _block, _draw, whole, more, last, _shard: a row for each draw of a block, in the shard whose quota holds the draw's place in the source's order.
+
+        A block has one draw in each whole pass, at places of that pass's own order, and one in the last. Draws and the ends of quotas are put in one order, and a draw's shard is the number of ends before it.
+        """
+        each = draws.withColumn("_draw", F.explode(F.sequence(F.lit(1), F.col("whole") + 1))).where("_draw <= whole or _once")
+        place = F.when(F.col("_draw") <= F.col("whole"), (F.col("_draw") - 1) * F.col("_n") + F.pmod(F.col("place") + F.col("_draw") * 7919, F.col("_n"))).otherwise(F.col("whole") * F.col("_n") + F.col("_turn") - 1)
+        each = each.select("_key", "_block", "_draw", "whole", "more", "last", place.alias("_at"), F.lit(1).alias("_kind"))
+        marks = ends.select("_key", F.explode("_ends").alias("_at"), F.lit(0).alias("_kind"))
+        both = each.unionByName(marks, allowMissingColumns=True)
+        return both.withColumn("_shard", F.expr("count_if(_kind = 0) over (partition by _key order by _at, _kind rows unbounded preceding)").cast("int")).where("_kind = 1").drop("_at", "_kind")
 
     def _block(self) -> Column:
         return F.pmod(_hash(self.seed, F.lit("block"), "doc_id"), F.col("_blocks")).cast("int")
@@ -175,22 +197,16 @@ class Mix:
         return out
 
     def drawn(self, rows: DataFrame) -> DataFrame:
-        """Rows (with _key, doc_id) beside the columns of their block's draws and _times, how often each is taken."""
-        rows = self._placed(rows).join(small(self.draws, 64), ["_key", "_block"]).withColumn("_o", _hash(self.seed, F.lit("part"), "doc_id"))
-        rows = rows.join(small(self.also, 64), ["_key", "_block", "_o"], "left")
+        """Rows (with _key, doc_id) once for each draw, with _draw and _shard."""
+        rows = self._placed(rows).withColumn("_o", _hash(self.seed, F.lit("part"), "doc_id"))
+        rows = rows.join(small(self.also, 64), ["_key", "_block", "_o"], "left").join(small(self.turns, 64), ["_key", "_block"])
         once = F.col("more") | F.coalesce(F.col("_o") <= F.col("last"), F.lit(False)) | F.col("_also").isNotNull()
-        return rows.withColumn("_times", F.col("whole") + F.when(once, 1).otherwise(0))
+        return rows.where((F.col("_draw") <= F.col("whole")) | once)
 
 
 def dealt(m: Mix, rows: DataFrame) -> DataFrame:
     """Rows (with _key, doc_id) once for each draw, with _draw and _shard, gathered by shard and shuffled within each."""
-    few = len(m.targets) * m.shards <= 1_000_000
-    rows = m.drawn(rows).join(F.broadcast(m.ends) if few else m.ends, "_key")
-    # a block's draws: one in each whole pass, at places of that pass's own order, and one in the last
-    rows = rows.withColumn("_draw", F.explode(F.when(F.col("_times") > 0, F.sequence(F.lit(1), F.col("_times")))))
-    place = F.when(F.col("_draw") <= F.col("whole"), (F.col("_draw") - 1) * F.col("_n") + F.pmod(F.col("place") * 7919 + F.col("_draw"), F.col("_n"))).otherwise(F.col("whole") * F.col("_n") + F.col("_turn") - 1)
-    rows = rows.withColumn("_shard", F.size(F.filter("_ends", lambda e: e <= place)))
-    return rows.withColumn("_order", _hash(m.seed, F.lit("order"), "_shard", "_draw", "doc_id")).repartition("_shard").sortWithinPartitions("_shard", "_order")
+    return m.drawn(rows).withColumn("_order", _hash(m.seed, F.lit("order"), "_shard", "_draw", "doc_id")).repartition("_shard").sortWithinPartitions("_shard", "_order")
 
 
 def mix_plan(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
@@ -202,10 +218,12 @@ def mix_plan(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("bigint").alias("taken"), "times")
 
 
-def mixed(docs: DataFrame, shards: int = SHARDS, **options) -> DataFrame:  # noqa: ANN003
+def mixed(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
     """The mix itself: rows of docs, repeated as drawn, gathered by shard and shuffled within each."""
-    m = Mix(docs, shards=shards, **options)
-    return dealt(m, docs.withColumn("_key", _key())).select(*[F.col(f"`{c}`") for c in docs.columns])
+    m = Mix(docs, **options)
+    # a row goes along as one value, so that no name of its columns can meet those of the plan
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", _key().alias("_key"))
+    return dealt(m, rows).select("_row.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
