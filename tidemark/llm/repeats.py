@@ -31,6 +31,8 @@ from tidemark.llm.tables import forget, release, saved, small
 KEY = ["k1", "k2"]
 #: Segments in a group before it is split, and segments that a task works on at a time.
 GROUP, CHUNK = 50_000, 20_000
+#: Keys of texts that a task remembers to drop copies before they are shuffled; with more it begins anew.
+SEEN = 500_000
 
 
 @dataclass(frozen=True)
@@ -78,6 +80,20 @@ def _scan(units: Units):  # noqa: ANN202
     return run
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's texts without copies of its earlier ones, as far back as SEEN texts."""
+    seen: set[tuple[int, int]] = set()
+    for b in batches:
+        keep = np.zeros(b.num_rows, bool)
+        for i, k in enumerate(zip(b.column("k1").to_pylist(), b.column("k2").to_pylist())):
+            if k not in seen:
+                keep[i] = True
+                seen.add(k)
+        if len(seen) > SEEN:
+            seen.clear()
+        yield b if keep.all() else b.filter(pa.array(keep))
+
+
 def _segments(units: Units):  # noqa: ANN202
     names = [*KEY, "h", "at", "t1", "t2", "left", "right"]
 
@@ -150,7 +166,10 @@ def _narrow(units: Units):  # noqa: ANN202
 
 
 def repeated(docs: DataFrame, units: Units, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
-    """docs (text, ...) with k1 and k2, the keys of their texts; and (k1, k2, spans): ranges (lo, hi) of starts of repeated windows."""
+    """docs (text, ...) with k1 and k2, the keys of their texts; and (k1, k2, spans): ranges (lo, hi) of starts of repeated windows.
+
+    Broadcasts are of measured size (arrays included); beyond it, texts are shuffled by their keys.
+    """
     spark = docs.sparkSession
     docs = docs.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(7), "text")})
     texts = docs.select(*KEY, "text").where("text is not null")
@@ -164,10 +183,13 @@ def repeated(docs: DataFrame, units: Units, group: int = GROUP) -> tuple[DataFra
     every = saved(each.where("copies > 1"), "copies")
     forget(sampled, often)
     release(spark)
-    light = small(wanted, 400)
-    one = texts.join(light.where("copies = 1"), KEY).select(*KEY, "text", "hs")
-    several = texts.join(light.where("copies > 1"), KEY).select(*KEY, "text", "hs").dropDuplicates(KEY)
-    segments = one.union(several).mapInArrow(_segments(units), "k1 bigint, k2 bigint, h bigint, at bigint, t1 int, t2 int, left binary, right binary")
+    light = small(wanted, 40 + 8 * F.size("hs"))
+    if light is wanted:  # too large to broadcast: texts move to their grams, of copies at most one from each task
+        chosen = texts.mapInArrow(_once, texts.schema).join(wanted, KEY).select(*KEY, "text", "hs").dropDuplicates(KEY)
+    else:
+        one = texts.join(light.where("copies = 1"), KEY).select(*KEY, "text", "hs")
+        chosen = one.union(texts.join(light.where("copies > 1"), KEY).select(*KEY, "text", "hs").dropDuplicates(KEY))
+    segments = chosen.mapInArrow(_segments(units), "k1 bigint, k2 bigint, h bigint, at bigint, t1 int, t2 int, left binary, right binary")
     name = [F.lit("."), F.col("left"), F.lit("."), F.col("right"), F.col("t1")]
     segments = saved(segments.withColumns({"q1": F.xxhash64(*name), "q2": F.xxhash64(F.lit(7), *name)}), "segments")
     release(spark)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes up to which a measured side may be broadcast; beyond either, the join shuffles.
-BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64 << 20
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 #: Narrow rows that a task takes where their number is known.
 TASK_ROWS = 200_000
 
