@@ -4,60 +4,63 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Least repeats of one word and of longer patterns, and the longest pattern.
+#: Least repeats of one word and of longer patterns, the longest pattern, and what counts as a word.
 LEAST_ONE, LEAST_MORE, LONGEST = 5, 3, 32
 _WORD = re.compile(r"\w+(?:[-'’]\w+)*")
+_MARKS = regex.compile(r"\p{P}*")
 
 
-def _words(text: str) -> tuple[list[str], list[int]]:
-    """Words in NFKC and case-folded, and where each ends with the punctuation that follows it."""
-    names, ends = [], []
-    for m in _WORD.finditer(text):
-        if name := unicodedata.normalize("NFKC", m.group()).casefold():
-            stop = m.end()
-            while stop < len(text) and unicodedata.category(text[stop])[0] == "P":
-                stop += 1
-            names.append(name)
-            ends.append(stop)
-    return names, ends
+@lru_cache(maxsize=1 << 16)
+def _name(word: str) -> str:
+    return unicodedata.normalize("NFKC", word).casefold()
 
 
-def _equal_ahead(ids: np.ndarray, n: int) -> np.ndarray:
-    """From each word on, how many words in a row equal the word n further on."""
-    same = ids[:-n] == ids[n:]
-    # distance to the next word that differs
-    stops = np.where(same, same.size, np.arange(same.size))
-    return np.minimum.accumulate(stops[::-1])[::-1] - np.arange(same.size)
+def _words(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each word, the same for words alike in NFKC and case-folded, and the place after the punctuation that follows it."""
+    spans = [m.span() for m in _WORD.finditer(text)]
+    ids, names = pd.factorize(np.array([_name(text[a:b]) for a, b in spans], object))
+    real = (names != "")[ids] if len(names) else np.zeros(0, bool)
+    return ids[real], np.array([_MARKS.match(text, b).end() for _, b in compress(spans, real)], np.int64)
+
+
+def _periods(ids: np.ndarray, n: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words from which a pattern of n words comes `least` times or more in a row, and how often."""
+    differ = np.flatnonzero(ids[:-n] != ids[n:])
+    ends = np.append(differ, ids.size - n)
+    starts = np.concatenate([[0], differ + 1])
+    long = ends - starts >= (least - 1) * n  # runs of words that equal the word n further on
+    starts, ends = starts[long], ends[long]
+    if not starts.size:
+        return starts, starts
+    at = np.concatenate([np.arange(a, b - (least - 1) * n + 1) for a, b in zip(starts, ends)])
+    return at, (np.repeat(ends, ends - starts - (least - 1) * n + 1) - at) // n + 1
 
 
 def fold_once(text: str) -> str:
-    names, ends = _words(text)
-    if len(names) < LEAST_ONE:
-        return text
-    _, ids = np.unique(np.array(names, object), return_inverse=True)
+    ids, ends = _words(text)
     # the shortest pattern at each word that repeats often enough, and its number of words in all repeats
-    size, reach = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-    for n in range(min(LONGEST, len(ids) // LEAST_MORE), 0, -1):
-        times = _equal_ahead(ids, n) // n + 1
-        often = np.flatnonzero(times >= (LEAST_ONE if n == 1 else LEAST_MORE))
-        size[often], reach[often] = n, times[often] * n
-    kept, at, i = [], 0, 0
+    size, reach = np.zeros(ids.size, np.int64), np.zeros(ids.size, np.int64)
+    for n in range(min(LONGEST, ids.size // LEAST_MORE), 0, -1):
+        at, times = _periods(ids, n, LEAST_ONE if n == 1 else LEAST_MORE)
+        size[at], reach[at] = n, times * n
+    # characters of repeats after the first go, from the leftmost repeat on
+    change, done = np.zeros(len(text) + 1, np.int64), 0
     for i in np.flatnonzero(size).tolist():
-        if i >= at:
-            kept.append((ends[i + size[i] - 1], ends[i + reach[i] - 1]))
-            at = i + reach[i]
-    out, cursor = [], 0
-    for a, b in kept:
-        out.append(text[cursor:a])
-        cursor = b
-    return "".join([*out, text[cursor:]])
+        if i >= done:
+            done = i + int(reach[i])
+            change[ends[i + size[i] - 1]] += 1
+            change[ends[done - 1]] -= 1
+    return "".join(compress(text, np.cumsum(change[:-1]) == 0)) if done else text
 
 
 def fold(text: str | None) -> str | None:

@@ -24,10 +24,11 @@ def usage(history: DataFrame) -> DataFrame:
     return history.groupBy("key_id").agg(F.sum(F.coalesce("duration_ms", F.lit(0))).alias("total_ms"), F.count("*").alias("request_count"), F.max("recorded").alias("last_used_at"))
 
 
-def load_round(segments: DataFrame, keys: Sequence[str] = ("processing_key",)) -> DataFrame:
-    """Requests, those that failed (no seconds), and least, mean and greatest seconds of the others."""
-    ok = F.col("seconds") > 1
-    return segments.groupBy(*keys).agg(F.count("*").alias("requests"), F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"), F.min(F.when(ok, F.col("seconds"))).alias("min_s"), F.bround(F.avg(F.when(ok, F.col("seconds"))), 2).alias("avg_s"), F.max(F.when(ok, F.col("seconds"))).alias("max_s"))
+def load_round(requests: DataFrame, keys: Sequence[str], seconds: str = "seconds", ok: Column | None = None, audio: Column | None = None, wall: Column | None = None) -> DataFrame:
+    """Requests, those that succeeded and failed; least, mean and greatest seconds of all; the mean of those that succeeded; audio seconds for a second of the round."""
+    ok = F.lit(True) if ok is None else ok
+    out = [F.count("*").alias("requests"), F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"), F.min(seconds).alias("min_s"), F.bround(F.avg(seconds), 2).alias("avg_s"), F.max(seconds).alias("max_s"), F.bround(F.avg(F.when(ok, F.col(seconds))), 2).alias("avg_ok_s")]
+    return requests.groupBy(*keys).agg(*out, *([rtf(audio, wall).alias("rtf")] if audio is not None and wall is not None else []))
 
 
 def pooled_language(scores: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -1,43 +1,76 @@
-"""Ordered folds whose next step depends on what has gathered so far: one array a recording, folded by Spark's aggregate function."""
+"""Ordered folds whose next step depends on what has gathered so far.
+
+Each runs in one pass over a key's sorted rows in a grouped function that carries a few numbers, so that its work is linear in the rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _added(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
 
 def quota(events: DataFrame, keys: Sequence[str], order: str, size: str, most_one: int, most_all: int) -> DataFrame:
-    """events with `admitted`: a file above most_one, or that would take its key above most_all, is turned away and takes no room."""
-    rows = events.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).alias("s")))).alias("x"))
+    """keys, order and `admitted` of events: a file above most_one, or that would take its key above most_all, is turned away and takes no room."""
+    rows = events.select(*keys, order, size)
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values([order, size])
+        used, admitted = 0, []
+        for n in g[size].tolist():
+            admitted.append(n <= most_one and used + n <= most_all)
+            used += n * admitted[-1]
+        return g.assign(admitted=admitted)
+
+    return rows.groupBy(*keys).applyInPandas(one, _added(rows, "admitted", T.BooleanType())).drop(size)
+
+
+def superchunks(df: DataFrame, most: int = 25_000, start: str = "start_ms", end: str = "end_ms") -> DataFrame:
+    """Greedy chunks of a recording's intervals in order: a chunk grows while an interval's end is at most so far from the chunk's own start, and ends where its last interval does."""
+    schema = f"recording_id string, chunk_idx bigint, {start} {df.schema[start].dataType.simpleString()}, {end} {df.schema[end].dataType.simpleString()}, regions bigint"
 
-    def step(a: Column, x: Column) -> Column:
-        ok = (x["s"] <= most_one) & (a["used"] + x["s"] <= most_all)
-        return F.struct((a["used"] + F.when(ok, x["s"]).otherwise(0)).alias("used"), F.concat(a["out"], F.array(F.struct(x["o"].alias("o"), ok.alias("ok")))).alias("out"))
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values([start, end])
+        chunks: list[list] = []
+        for a, b in zip(g[start].tolist(), g[end].tolist()):
+            if not chunks or b - chunks[-1][0] > most:
+                chunks.append([a, b, 0])
+            chunks[-1][1] = b
+            chunks[-1][2] += 1
+        out = pd.DataFrame(chunks, columns=[start, end, "regions"])
+        return out.assign(recording_id=g["recording_id"].iloc[0], chunk_idx=np.arange(len(out)))[["recording_id", "chunk_idx", start, end, "regions"]]
 
-    zero = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<struct<o:bigint,ok:boolean>>").alias("out"))
-    done = rows.select(*keys, F.explode(F.aggregate("x", zero, step, lambda a: a["out"])).alias("r"))
-    return done.select(*keys, F.col("r.o").alias(order), F.col("r.ok").alias("admitted"))
+    return df.select("recording_id", start, end).groupBy("recording_id").applyInPandas(one, schema)
 
 
 def detection_units(pieces: DataFrame, short: int = 1500, enough: int = 8000, span: int = 25_000) -> DataFrame:
     """pieces (recording_id, piece_idx, start_ms, end_ms) with `unit`: short pieces in a row share one while its speech is under `enough` and it spans at most `span`."""
-    rows = pieces.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "piece_idx"))).alias("x"))
-    kind = "array<struct<piece_idx:bigint,unit:bigint>>"
-
-    def step(a: Column, x: Column) -> Column:
-        length = x["end_ms"] - x["start_ms"]
-        joins = (length < short) & a["open"] & (a["speech"] < enough) & (x["end_ms"] - a["began"] <= span)
-        unit = F.when(joins, a["unit"]).otherwise(a["unit"] + 1)
-        return F.struct(
-            unit.alias("unit"), (length < short).alias("open"), F.when(joins, a["speech"] + length).otherwise(length).alias("speech"), F.when(joins, a["began"]).otherwise(x["start_ms"]).alias("began"),
-            F.concat(a["out"], F.array(F.struct(x["piece_idx"].alias("piece_idx"), unit.alias("unit")))).alias("out"),
-        )
-
-    zero = F.struct(F.lit(-1).cast("bigint").alias("unit"), F.lit(False).alias("open"), F.lit(0).cast("bigint").alias("speech"), F.lit(0).cast("bigint").alias("began"), F.array().cast(kind).alias("out"))
-    return rows.select("recording_id", F.explode(F.aggregate("x", zero, step, lambda a: a["out"])).alias("r")).select("recording_id", "r.piece_idx", "r.unit")
+    rows = pieces.select("recording_id", "piece_idx", "start_ms", "end_ms")
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["start_ms", "end_ms", "piece_idx"])
+        unit, speech, began, units = -1, 0, None, []
+        for a, b in zip(g["start_ms"].tolist(), g["end_ms"].tolist()):
+            brief = b - a < short
+            if not (brief and began is not None and speech < enough and b - began <= span):
+                unit, speech, start = unit + 1, 0, a
+            else:
+                start = began
+            speech += b - a
+            began = start if brief else None  # a long piece closes its unit
+            units.append(unit)
+        return g.assign(unit=units)
+
+    return rows.groupBy("recording_id").applyInPandas(one, _added(rows, "unit", T.LongType())).select("recording_id", "piece_idx", "unit")
 
 
 def budget(spans: DataFrame, keys: Sequence[str], rank: str, most: int, start: str = "start_ms", end: str = "end_ms") -> DataFrame:

@@ -1,6 +1,6 @@
-"""Interval algebra on (keys, start, end): gaps and islands, difference, coverage, windows and greedy chunks.
+"""Interval algebra on (keys, start, end): gaps and islands, difference, coverage and windows.
 
-Everything but the greedy chunks is one shuffle by the keys and window functions over it.
+Each is a shuffle by the keys and window functions over it; what meets within a recording is dealt to time buckets first.
 """
 
 from __future__ import annotations
@@ -33,24 +33,35 @@ def union(df: DataFrame, keys: Sequence[str] = KEYS, start: str = "start_ms", en
     return merged.drop("island")
 
 
-def subtract(df: DataFrame, without: DataFrame, keys: Sequence[str], within: Sequence[str], start: str = "start_ms", end: str = "end_ms") -> DataFrame:
-    """What is left of each interval (named by keys) outside the intervals of `without` that share the columns `within`."""
-    cut = union(without, within, start, end).select(*within, F.col(start).alias("_s"), F.col(end).alias("_e"))
-    on = [*within]
-    rows = df.join(cut, on, "left").where(F.col("_s").isNull() | ((F.col("_e") > F.col(start)) & (F.col("_s") < F.col(end))))
-    none = df.join(rows.select(*keys), list(keys), "left_anti").withColumns({"_s": F.lit(None).cast("bigint"), "_e": F.lit(None).cast("bigint")})
-    rows = rows.select(*df.columns, "_s", "_e").unionByName(none)
-    w = W.partitionBy(*keys).orderBy("_s")
-    # before each cut: from the end of the last; after the last: to the interval's end
-    left = rows.select(*df.columns, F.coalesce(F.lag("_e").over(w), F.col(start)).alias("_a"), F.coalesce("_s", end).alias("_b"))
-    tail = rows.groupBy(*df.columns).agg(F.max("_e").alias("_a")).where("_a is not null").select(*df.columns, "_a", F.col(end).alias("_b"))
-    return left.unionByName(tail).where("_b > _a").select(*[c for c in df.columns if c not in (start, end)], F.col("_a").alias(start), F.col("_b").alias(end))
+def _dealt(start: str, end: str, bucket: int) -> Column:
+    return F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor((F.col(end) - 1) / bucket)))
 
 
-def coverage(df: DataFrame, turns: DataFrame, keys: Sequence[str], within: Sequence[str] = KEYS, start: str = "start_ms", end: str = "end_ms") -> DataFrame:
+def meetings(df: DataFrame, other: DataFrame, keys: Sequence[str], within: Sequence[str], start: str, end: str, bucket: int) -> DataFrame:
+    """keys, start and end of df beside _s and _e of each interval of other that shares more than an end with it and the columns `within`; each pair in its first bucket."""
+    a = df.where(F.col(end) > F.col(start)).select(*dict.fromkeys([*keys, *within]), start, end).withColumn("_b", _dealt(start, end, bucket))
+    b = other.where(F.col(end) > F.col(start)).select(*within, F.col(start).alias("_s"), F.col(end).alias("_e")).withColumn("_b", _dealt("_s", "_e", bucket))
+    pairs = a.join(b, [*within, "_b"]).where((F.col("_e") > F.col(start)) & (F.col("_s") < F.col(end)))
+    return pairs.where(F.col("_b") == F.floor(F.greatest(start, "_s") / bucket)).select(*dict.fromkeys([*keys, *within]), start, end, "_s", "_e")
+
+
+def subtract(df: DataFrame, without: DataFrame, keys: Sequence[str], within: Sequence[str], start: str = "start_ms", end: str = "end_ms", bucket: int = 60_000) -> DataFrame:
+    """What is left of each interval (named by keys) outside the intervals of `without` that share the columns `within`.
+
+    An interval's cuts come to it as one sorted array, of the few that meet it; what is left lies between neighbouring cuts. One row each of df, so nothing is joined twice.
+    """
+    cuts = meetings(df, union(without, within, start, end), keys, within, start, end, bucket)
+    cuts = cuts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_s", "_e"))).alias("_cuts"))
+    edge = lambda x: F.array(F.col(x).cast("bigint"))
+    some = F.coalesce("_cuts", F.array().cast("array<struct<_s:bigint,_e:bigint>>"))
+    left = F.arrays_zip(F.concat(edge(start), some["_e"]).alias("a"), F.concat(some["_s"], edge(end)).alias("b"))
+    rows = df.where(F.col(end) > F.col(start)).join(cuts, list(keys), "left").withColumn("_x", F.explode(left)).where("_x.b > _x.a")
+    return rows.select(*[c for c in df.columns if c not in (start, end)], F.col("_x.a").alias(start), F.col("_x.b").alias(end))
+
+
+def coverage(df: DataFrame, turns: DataFrame, keys: Sequence[str], within: Sequence[str] = KEYS, start: str = "start_ms", end: str = "end_ms", bucket: int = 60_000) -> DataFrame:
     """For each turn (named by keys), the length of it that the intervals of df with the same `within` cover."""
-    other = df.select(*within, F.col(start).alias("_s"), F.col(end).alias("_e"))
-    clipped = turns.join(other, list(within)).select(*keys, F.greatest(start, "_s").alias("_s"), F.least(end, "_e").alias("_e"))
+    clipped = meetings(turns, df, keys, within, start, end, bucket).select(*keys, F.greatest(start, "_s").alias("_s"), F.least(end, "_e").alias("_e"))
     covered = union(clipped, keys, "_s", "_e").groupBy(*keys).agg(F.sum(F.col("_e") - F.col("_s")).alias("covered"))
     return turns.join(covered, list(keys), "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
 
@@ -72,24 +83,6 @@ def bridge(df: DataFrame, keys: Sequence[str] = KEYS, start: str = "start_s", en
     return union(df, keys, start, end, gap).where(F.col(end) - F.col(start) >= least)
 
 
-def superchunks(df: DataFrame, most: int = 25_000, start: str = "start_ms", end: str = "end_ms") -> DataFrame:
-    """Greedy chunks of a recording's intervals in order: a chunk grows while it is at most so long from its own start.
-
-    The next step depends on the chunk's start, so this is a fold over one recording's sorted intervals.
-    """
-    rows = df.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct(F.col(start).alias("s"), F.col(end).alias("e")))).alias("x"))
-    kind = "array<struct<s:bigint,e:bigint,n:bigint>>"
-
-    def step(a: Column, x: Column) -> Column:
-        last = F.element_at(a, -1)
-        one = F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(1).cast("bigint").alias("n")))
-        grown = F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"), (last["n"] + 1).alias("n")))
-        return F.when(F.size(a) == 0, one).when(x["e"] - last["s"] <= most, F.concat(F.slice(a, F.lit(1), F.size(a) - 1), grown)).otherwise(F.concat(a, one))
-
-    chunks = rows.select("recording_id", F.posexplode(F.aggregate("x", F.array().cast(kind), step)).alias("chunk_idx", "c"))
-    return chunks.select("recording_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), F.col("c.s").alias(start), F.col("c.e").alias(end), F.col("c.n").alias("regions"))
-
-
 def pad(df: DataFrame, by: int, length: Column | int, start: str = "start_ms", end: str = "end_ms") -> DataFrame:
     """Intervals widened on both sides, within 0 and length."""
     return df.withColumns({start: F.greatest(F.col(start) - by, F.lit(0)), end: F.least(F.col(end) + by, F.lit(length) if isinstance(length, int) else length)})

@@ -61,6 +61,14 @@ def sole_container(windows: DataFrame, turns: DataFrame, window: str = "window_i
 
 
 def owner(points: DataFrame, at: str, chunks: DataFrame, value: str) -> DataFrame:
-    """points with the value of the chunk whose bounds lo < at <= hi hold them (null bounds are open)."""
-    c = chunks.select("recording_id", "lo", "hi", value)
-    return points.join(c, "recording_id").where((F.col("lo").isNull() | (F.col("lo") < F.col(at))) & (F.col("hi").isNull() | (F.col(at) <= F.col("hi")))).drop("lo", "hi")
+    """points with the value of the chunk whose bounds lo < at <= hi hold them (null bounds are open); chunks follow each other, so that it is the last one with lo below.
+
+    One ordered pass over both tables; no point meets more than one chunk.
+    """
+    kind, low = chunks.schema[value].dataType, F.coalesce(F.col("lo").cast("double"), F.lit(float("-inf")))
+    mark = F.struct(F.col(value).alias("v"), F.col("hi").cast("double").alias("hi"), low.alias("lo"))
+    marks = chunks.select("recording_id", low.alias("_t"), F.lit(1).alias("_kind"), mark.alias("_x"), F.lit(None).cast(points.select(F.struct("*").alias("p")).schema["p"].dataType).alias("_p"))
+    moments = points.select("recording_id", F.col(at).cast("double").alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast(marks.schema["_x"].dataType).alias("_x"), F.struct("*").alias("_p"))
+    w = W.partitionBy("recording_id").orderBy("_t", "_kind").rowsBetween(W.unboundedPreceding, 0)
+    rows = marks.unionByName(moments).withColumn("_x", F.last("_x", ignorenulls=True).over(w)).where("_kind = 0 and _x is not null and (_x.hi is null or _t <= _x.hi)")
+    return rows.select("_p.*", F.col("_x.v").cast(kind).alias(value))

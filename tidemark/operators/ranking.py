@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators import joins as J
+
 
 def density(frames: DataFrame, voiced: float = 0.5, active: float = 0.5) -> DataFrame:
     """Frames with the share of voiced ones among five (missing ones at the ends count as unvoiced) and whether that makes them active."""
@@ -24,22 +26,18 @@ def runs(frames: DataFrame, least: int = 1, active: str = "active") -> DataFrame
     return r.where(F.col("frames") >= least).drop("run")
 
 
-def sentences(words: DataFrame, gap: float = 1.5) -> DataFrame:
-    """Words (t0, t1, word, speaker) as sentences: broken at a change of speaker, a gap above so many seconds, or after . ! ?"""
+def sentences(words: DataFrame, overlaps: DataFrame | None = None, gap: float = 1.5) -> DataFrame:
+    """Words (t0, t1, word, speaker) as sentences: broken at a change of speaker, a gap above so many seconds, or after . ! ?; with overlaps (start_ms, end_ms), `overlap` says whether one meets the sentence."""
     w = W.partitionBy("recording_id").orderBy("t0", "word_idx")
     new = F.lag("speaker").over(w).isNull() | (F.lag("speaker").over(w) != F.col("speaker")) | (F.col("t0") - F.lag("t1").over(w) > gap) | F.lag("word").over(w).rlike("[.!?]$")
     s = words.withColumn("sent_idx", F.sum(new.cast("int")).over(w))
+    order = F.struct("t0", "word_idx")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t0", "word_idx", "word"))), lambda x: x["word"]), " ")
-    return s.groupBy("recording_id", "sent_idx", "speaker").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.count("*").alias("words"), text.alias("text"))
-
-
-def nearest_anchor(items: DataFrame, anchor: str, order: str = "item_idx", at: str = "at") -> DataFrame:
-    """items with the anchor of the nearest item that has one; the earlier one if equally near."""
-    w = W.partitionBy("recording_id").orderBy(order)
-    a = F.when(F.col(anchor).isNotNull(), F.struct(F.col(at).alias("t"), F.col(anchor).alias("x")))
-    d = items.withColumn("_a", F.last(a, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("_b", F.first(a, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)))
-    back, ahead = F.col(at) - F.col("_a.t"), F.col("_b.t") - F.col(at)
-    return d.withColumn("smoothed", F.when(ahead.isNull() | (back <= ahead), F.col("_a.x")).otherwise(F.col("_b.x"))).drop("_a", "_b")
+    s = s.groupBy("recording_id", "sent_idx", "speaker").agg(F.min("t0").alias("t0"), F.max_by("t1", order).alias("t1"), F.count("*").alias("words"), text.alias("text"))
+    if overlaps is None:
+        return s
+    spans = s.withColumns({"start_ms": F.round(F.col("t0") * 1000).cast("bigint"), "end_ms": F.round(F.col("t1") * 1000).cast("bigint")})
+    return J.overlaps(spans, overlaps, "sent_idx").drop("start_ms", "end_ms").withColumnRenamed("has_overlap", "overlap")
 
 
 def newest(df: DataFrame, keys: Sequence[str], order: str, tie: str, n: int) -> DataFrame:

@@ -55,9 +55,9 @@ def ivl_lid_budget(spark: SparkSession, d: str) -> DataFrame:
     return D.budget(t, ["recording_id", "speaker_id"], "rank", 600_000).select("recording_id", "speaker_id", "turn_idx", "start_ms", "end_ms")
 
 
-@query("ivl_stitch", f"WITH {S['turn']}, p AS (SELECT *, sum(end_ms - start_ms) OVER (PARTITION BY recording_id, speaker_id ORDER BY start_ms, end_ms ROWS UNBOUNDED PRECEDING) AS b FROM turn WHERE end_ms - start_ms BETWEEN 1 AND 99999), w AS (SELECT *, unnest(range(CAST((b - (end_ms - start_ms)) // 3000 AS BIGINT), CAST((b - 1) // 3000 AS BIGINT) + 1)) AS win FROM p) SELECT recording_id, speaker_id, win AS \"window\", CAST(sum(least(b, (win + 1) * 3000) - greatest(b - (end_ms - start_ms), win * 3000)) AS BIGINT) AS length, count(*) AS sources FROM w GROUP BY ALL HAVING sum(least(b, (win + 1) * 3000) - greatest(b - (end_ms - start_ms), win * 3000)) >= 2000")
+@query("ivl_stitch", f"WITH {S['turn']}, p AS (SELECT *, sum(end_ms - start_ms) OVER (PARTITION BY recording_id, speaker_id ORDER BY start_ms, end_ms ROWS UNBOUNDED PRECEDING) AS b FROM turn WHERE end_ms > start_ms), w AS (SELECT *, unnest(range(CAST((b - (end_ms - start_ms)) // 3000 AS BIGINT), CAST((b - 1) // 3000 AS BIGINT) + 1)) AS win FROM p) SELECT recording_id, speaker_id, win AS \"window\", CAST(sum(least(b, (win + 1) * 3000) - greatest(b - (end_ms - start_ms), win * 3000)) AS BIGINT) AS length, count(*) AS sources FROM w GROUP BY ALL HAVING sum(least(b, (win + 1) * 3000) - greatest(b - (end_ms - start_ms), win * 3000)) >= 2000")
 def ivl_stitch(spark: SparkSession, d: str) -> DataFrame:
-    return D.stitch(V.turn(spark, d).where("end_ms - start_ms < 100000"), ["recording_id", "speaker_id"])
+    return D.stitch(V.turn(spark, d), ["recording_id", "speaker_id"])
 
 
 @query("flt_quality", f"WITH {S['frame']} SELECT recording_id, frame_idx, rms > pow(10, -2.5) AS loud, round(least(greatest(rms / 0.08, 0.4), 1.0) * CASE WHEN frame_idx % 3 = 0 THEN 0.6 ELSE 1.0 END, 9) AS quality FROM frame")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.operators import aggregates as A
+from tidemark.operators import languages as L
 from tidemark.operators import ranking as R
 from tidemark.sources import views as V
 from tidemark.sources.views import SQL as S
@@ -45,9 +46,10 @@ def agg_rtf(spark: SparkSession, d: str) -> DataFrame:
     return b.select("batch_id", A.rtf(F.col("audio"), F.col("n") - 1).alias("rtf"))
 
 
-@query("agg_load_round", f"WITH {S['segment']} SELECT processing_key, count(*) AS requests, count(*) FILTER (seconds > 1) AS ok, count(*) FILTER (NOT seconds > 1) AS failed, min(seconds) FILTER (seconds > 1) AS min_s, round_even(avg(seconds) FILTER (seconds > 1), 2) AS avg_s, max(seconds) FILTER (seconds > 1) AS max_s FROM segment GROUP BY ALL")
+@query("agg_load_round", f"WITH {S['segment']} SELECT processing_key, count(*) AS requests, count(*) FILTER (seconds > 1) AS ok, count(*) FILTER (NOT seconds > 1) AS failed, min(seconds) AS min_s, round_even(avg(seconds), 2) AS avg_s, max(seconds) AS max_s, round_even(avg(seconds) FILTER (seconds > 1), 2) AS avg_ok_s, round_even(sum(seconds) / count(DISTINCT batch_id), 3) AS rtf FROM segment GROUP BY ALL")
 def agg_load_round(spark: SparkSession, d: str) -> DataFrame:
-    return A.load_round(V.segment(spark, d))
+    """Segments as requests, of which those of a second fail; a batch takes a second."""
+    return A.load_round(V.segment(spark, d), ["processing_key"], ok=F.col("seconds") > 1, audio=F.sum("seconds"), wall=F.count_distinct("batch_id"))
 
 
 @query("agg_benchmark", f"WITH {S['segment']} SELECT processing_key, count(DISTINCT batch_id) AS batches, count(*) AS chunks, round_even(count(*) / count(DISTINCT batch_id), 3) AS chunks_per_batch, count(DISTINCT segment_idx) <= 1 AS matches FROM segment GROUP BY ALL")
@@ -88,20 +90,22 @@ def agg_pool_lid(spark: SparkSession, d: str) -> DataFrame:
     return A.pooled_language(_scores(spark, d), ["recording_id"]).withColumn("probability", F.round("probability", 6))
 
 
-@query("win_smooth_chunk", f"WITH {_MAJ} SELECT l.recording_id, l.item_idx, CASE WHEN l.seconds >= 1.0 AND l.probability >= 0.5 THEN l.code_idx ELSE coalesce(m.code_idx, 1) END AS code_idx FROM lid l LEFT JOIN mj m ON m.recording_id = l.recording_id")
+def _majority_sql(name: str, least: float, doubtful: bool = True) -> str:
+    """The code with most seconds of sure items, else (if doubtful) of those with enough speech."""
+    return (
+        f"{name}c AS (SELECT recording_id, code_idx, sum(seconds) FILTER (probability >= 0.5) AS sure_s, sum(seconds) AS all_s FROM lid WHERE code_idx IS NOT NULL AND seconds >= {least}{'' if doubtful else ' AND probability >= 0.5'} GROUP BY ALL), "
+        f"{name} AS (SELECT recording_id, code_idx FROM {name}c QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY sure_s IS NULL, coalesce(sure_s, all_s) DESC, code_idx) = 1)"
+    )
+
+
+@query("win_smooth_chunk", f"WITH {S['lid']}, {_majority_sql('mj', 1.0)} SELECT l.recording_id, l.item_idx, CASE WHEN l.seconds >= 1.0 AND l.probability >= 0.5 THEN l.code_idx ELSE coalesce(m.code_idx, 1) END AS code_idx FROM lid l LEFT JOIN mj m ON m.recording_id = l.recording_id")
 def win_smooth_chunk(spark: SparkSession, d: str) -> DataFrame:
-    items = V.lid(spark, d)
-    m = A.majority_language(items).select("recording_id", F.col("code_idx").alias("m"))
-    sure = (F.col("seconds") >= 1.0) & (F.col("probability") >= 0.5)
-    return items.join(m, "recording_id", "left").select("recording_id", "item_idx", F.when(sure, F.col("code_idx")).otherwise(F.coalesce("m", F.lit(1))).alias("code_idx"))
+    return L.smoothed_chunks(V.lid(spark, d)).select("recording_id", "item_idx", F.col("smoothed").alias("code_idx"))
 
 
-@query("win_speaker_lang", f"WITH {_MAJ} SELECT l.recording_id, l.item_idx, CASE WHEN l.seconds >= 1.0 AND l.probability >= 0.5 THEN 'detected' WHEN m.code_idx IS NOT NULL THEN 'majority' ELSE 'fallback' END AS source FROM lid l LEFT JOIN mj m ON m.recording_id = l.recording_id")
+@query("win_speaker_lang", f"WITH {S['lid']}, {_majority_sql('mj', 1.0, False)} SELECT l.recording_id, l.item_idx, CASE WHEN l.seconds >= 1.0 AND l.probability >= 0.5 THEN l.code_idx ELSE coalesce(m.code_idx, 1) END AS code_idx, CASE WHEN l.seconds >= 1.0 AND l.probability >= 0.5 THEN 'detected' WHEN m.code_idx IS NOT NULL THEN 'majority' ELSE 'fallback' END AS source FROM lid l LEFT JOIN mj m ON m.recording_id = l.recording_id")
 def win_speaker_lang(spark: SparkSession, d: str) -> DataFrame:
-    items = V.lid(spark, d)
-    m = A.majority_language(items).select("recording_id", F.col("code_idx").alias("m"))
-    source = F.when((F.col("seconds") >= 1.0) & (F.col("probability") >= 0.5), "detected").when(F.col("m").isNotNull(), "majority").otherwise("fallback")
-    return items.join(m, "recording_id", "left").select("recording_id", "item_idx", source.alias("source"))
+    return L.speaker_languages(V.lid(spark, d)).select("recording_id", "item_idx", F.col("resolved").alias("code_idx"), "source")
 
 
 @query("win_turn_lang", f"WITH {_MAJ} SELECT l.recording_id, l.item_idx, CASE WHEN l.code_idx IS NOT NULL AND l.seconds >= 1.5 AND l.probability >= 0.85 AND (m.code_idx IS NULL OR l.code_idx <> m.code_idx) THEN l.code_idx ELSE m.code_idx END AS code_idx FROM lid l LEFT JOIN mj m ON m.recording_id = l.recording_id")
@@ -111,13 +115,18 @@ def win_turn_lang(spark: SparkSession, d: str) -> DataFrame:
     return items.join(m, "recording_id", "left").select("recording_id", "item_idx", X.language_override(F.col("code_idx"), F.col("probability"), F.col("seconds"), F.col("m")).alias("code_idx"))
 
 
-_ANCHOR = f"{S['lid']}, an AS (SELECT *, CASE WHEN probability >= 0.85 THEN code_idx END AS anchor, CAST(item_idx AS DOUBLE) * 2 AS at FROM lid), pn AS (SELECT *, max(CASE WHEN anchor IS NOT NULL THEN item_idx END) OVER (PARTITION BY recording_id ORDER BY item_idx ROWS UNBOUNDED PRECEDING) AS pi, min(CASE WHEN anchor IS NOT NULL THEN item_idx END) OVER (PARTITION BY recording_id ORDER BY item_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ni FROM an)"
+_ANCHOR = (
+    f"{S['lid']}, {_majority_sql('mj', 1.5)}, sp AS (SELECT l.*, m.code_idx AS mj, item_idx * 11.0::DOUBLE AS s, item_idx * 11.0::DOUBLE + seconds AS e FROM lid l LEFT JOIN mj m ON m.recording_id = l.recording_id), "
+    "an AS (SELECT *, CASE WHEN seconds >= 1.5 AND probability >= 0.5 AND (code_idx = mj OR probability >= 0.85) THEN item_idx END AS a FROM sp), "
+    "pn AS (SELECT *, max(a) OVER (PARTITION BY recording_id ORDER BY item_idx ROWS UNBOUNDED PRECEDING) AS pi, min(a) OVER (PARTITION BY recording_id ORDER BY item_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ni FROM an)"
+)
 
 
-@query("win_nearest_anchor", f"WITH {_ANCHOR} SELECT p.recording_id, p.item_idx, CASE WHEN n.at IS NULL OR p.at - b.at <= n.at - p.at THEN b.anchor ELSE n.anchor END AS smoothed FROM pn p LEFT JOIN an b ON b.item_idx = p.pi LEFT JOIN an n ON n.item_idx = p.ni")
+@query("win_nearest_anchor", f"WITH {_ANCHOR} SELECT p.recording_id, p.item_idx, CASE WHEN p.a IS NOT NULL THEN p.code_idx WHEN p.pi IS NULL AND p.ni IS NULL THEN coalesce(p.mj, 1) WHEN p.ni IS NULL OR p.s - b.e <= n.s - p.e THEN b.code_idx ELSE n.code_idx END AS smoothed FROM pn p LEFT JOIN sp b ON b.item_idx = p.pi LEFT JOIN sp n ON n.item_idx = p.ni")
 def win_nearest_anchor(spark: SparkSession, d: str) -> DataFrame:
-    items = V.lid(spark, d).withColumns({"anchor": F.when(F.col("probability") >= 0.85, F.col("code_idx")), "at": F.col("item_idx").cast("double") * 2})
-    return R.nearest_anchor(items, "anchor").select("recording_id", "item_idx", "smoothed")
+    start = F.col("item_idx") * 11.0
+    items = V.lid(spark, d).withColumns({"start_s": start, "end_s": start + F.col("seconds")})
+    return L.smoothed_pieces(items).select("recording_id", "item_idx", "smoothed")
 
 
 @query("top_history", f"WITH {S['history']} SELECT history_id, mode, duration_ms FROM history ORDER BY recorded DESC, history_id DESC LIMIT 25")
@@ -153,10 +162,12 @@ def set_distinct_requests(spark: SparkSession, d: str) -> DataFrame:
     return V.segment(spark, d).groupBy("processing_key").agg(F.countDistinct("batch_id").alias("requests"))
 
 
-@query("set_unresolved", "SELECT vec_id AS profile_id FROM embeddings WHERE vec_id % 25 = 0 AND label NOT IN (SELECT label FROM embeddings WHERE vec_id % 50 = 1)")
+@query("set_unresolved", f"WITH {S['sample']} SELECT DISTINCT recording_id, speaker_id FROM sample WHERE (recording_id, speaker_id) NOT IN (SELECT (recording_id, speaker_id) FROM sample GROUP BY recording_id, speaker_id HAVING count(*) >= 25)")
 def set_unresolved(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings")
-    return e.where("vec_id % 25 = 0").join(e.where("vec_id % 50 = 1").select("label"), "label", "left_anti").select(F.col("vec_id").alias("profile_id"))
+    """Speakers of a recording that are not among those with samples enough to be accepted."""
+    s = V.sample(spark, d).select("recording_id", "speaker_id")
+    accepted = s.groupBy("recording_id", "speaker_id").agg(F.count("*").alias("n")).where("n >= 25").drop("n")
+    return s.distinct().join(accepted, ["recording_id", "speaker_id"], "left_anti")
 
 
 @query("set_union_labels", f"WITH {S['turn']}, {S['sample']} SELECT speaker_id FROM turn UNION SELECT speaker_id FROM sample")
@@ -194,11 +205,13 @@ def agg_voice_vector(spark: SparkSession, d: str) -> DataFrame:
     return p.select("recording_id", F.size("prototype").cast("bigint").alias("dim"), F.round(F.array_max("prototype"), 6).alias("largest"))
 
 
-_PROFILE = "pr AS (SELECT recording_id, 'profile-' || speaker_id AS profile_id, vector AS pv FROM sample WHERE sample_idx % 25 = 0)"
+_PROFILE = f"{_MEAN.removeprefix(S['sample'] + ', ')}, pr AS (SELECT recording_id, 'profile-' || speaker_id AS profile_id, list_transform(list(m ORDER BY i), lambda x: x / sqrt(sum(m * m))) AS pv FROM mn GROUP BY recording_id, speaker_id)"
 
 
 def _profiles(samples: DataFrame) -> DataFrame:
-    return samples.where("sample_idx % 25 = 0").select("recording_id", F.concat(F.lit("profile-"), "speaker_id").alias("profile_id"), F.col("vector").alias("profile_vector"))
+    """A profile of each recording's speaker: the mean of all its samples."""
+    p = A.weighted_mean_vector(samples, ["recording_id", "speaker_id"])
+    return p.select("recording_id", F.concat(F.lit("profile-"), "speaker_id").alias("profile_id"), F.col("prototype").alias("profile_vector"))
 
 
 @query("agg_support", f"WITH {S['sample']}, {_PROFILE}, b AS (SELECT s.recording_id, s.speaker_id, s.sample_idx, s.weight, p.profile_id, max(list_inner_product(s.vector, p.pv)) AS c FROM sample s JOIN pr p ON p.recording_id = s.recording_id GROUP BY ALL) SELECT recording_id, speaker_id, profile_id, round(sum(CASE WHEN c >= 0.5 THEN weight ELSE 0 END) / sum(weight), 6) AS support, round(max(c), 6) AS best FROM b GROUP BY ALL")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.operators import aggregates as A
+from tidemark.operators import folds as D
 from tidemark.operators import intervals as I
 from tidemark.operators import joins as J
 from tidemark.operators import ranking as R
@@ -133,11 +134,11 @@ def agg_gate_diag(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "ivl_superchunk",
     f"WITH RECURSIVE {S['turn']}, r AS (SELECT recording_id, start_ms, end_ms, row_number() OVER (PARTITION BY recording_id ORDER BY start_ms, end_ms) AS k FROM turn), "
-    "f AS (SELECT recording_id, k, start_ms AS s, end_ms AS e, 0 AS chunk_idx FROM r WHERE k = 1 UNION ALL SELECT r.recording_id, r.k, CASE WHEN r.end_ms - f.s <= 600000 THEN f.s ELSE r.start_ms END, CASE WHEN r.end_ms - f.s <= 600000 THEN greatest(f.e, r.end_ms) ELSE r.end_ms END, f.chunk_idx + CASE WHEN r.end_ms - f.s <= 600000 THEN 0 ELSE 1 END FROM f JOIN r ON r.recording_id = f.recording_id AND r.k = f.k + 1) "
-    "SELECT recording_id, CAST(chunk_idx AS BIGINT) AS chunk_idx, min(s) AS start_ms, max(e) AS end_ms, count(*) AS regions FROM f GROUP BY recording_id, chunk_idx",
+    "f AS (SELECT recording_id, k, start_ms AS s, end_ms AS e, 0 AS chunk_idx FROM r WHERE k = 1 UNION ALL SELECT r.recording_id, r.k, CASE WHEN r.end_ms - f.s <= 600000 THEN f.s ELSE r.start_ms END, r.end_ms, f.chunk_idx + CASE WHEN r.end_ms - f.s <= 600000 THEN 0 ELSE 1 END FROM f JOIN r ON r.recording_id = f.recording_id AND r.k = f.k + 1) "
+    "SELECT recording_id, CAST(chunk_idx AS BIGINT) AS chunk_idx, min(s) AS start_ms, max_by(e, k) AS end_ms, count(*) AS regions FROM f GROUP BY recording_id, chunk_idx",
 )
 def ivl_superchunk(spark: SparkSession, d: str) -> DataFrame:
-    return I.superchunks(V.turn(spark, d), 600_000)
+    return D.superchunks(V.turn(spark, d), 600_000)
 
 
 @query("ivl_fixed", f"WITH {S['turn']} SELECT recording_id, turn_idx, p AS piece, start_ms + p * 30000 AS start_ms, least(end_ms, start_ms + p * 30000 + 30000) AS end_ms FROM (SELECT *, unnest(range(0, CAST(ceil((end_ms - start_ms) / 30000) AS BIGINT))) AS p FROM turn WHERE end_ms > start_ms)")
@@ -189,6 +190,9 @@ _TALK = "talk AS (SELECT * FROM turn WHERE kind IN ('signup', 'purchase'))"
 _NEAR = f"{S['word']}, {_TALK}, m AS (SELECT w.recording_id, w.word_idx, CAST(round((w.t0 + w.t1) * 500) AS BIGINT) AS at, t.turn_idx, t.speaker_id, CASE WHEN t.start_ms <= CAST(round((w.t0 + w.t1) * 500) AS BIGINT) AND CAST(round((w.t0 + w.t1) * 500) AS BIGINT) <= t.end_ms THEN 0 ELSE 1 END AS outside, CASE WHEN CAST(round((w.t0 + w.t1) * 500) AS BIGINT) < t.start_ms THEN t.start_ms - CAST(round((w.t0 + w.t1) * 500) AS BIGINT) ELSE greatest(0, CAST(round((w.t0 + w.t1) * 500) AS BIGINT) - t.end_ms) END AS dist FROM word w LEFT JOIN talk t ON t.recording_id = w.recording_id), nearest AS (SELECT recording_id, word_idx, speaker_id FROM m QUALIFY row_number() OVER (PARTITION BY recording_id, word_idx ORDER BY outside, dist, turn_idx) = 1)"
 
 
+_OVERLAP = S["overlap"].removeprefix(S["turn"] + ", ")
+
+
 def _spoken(spark: SparkSession, d: str) -> DataFrame:
     w = V.word(spark, d).withColumn("at", F.round((F.col("t0") + F.col("t1")) * 500).cast("bigint"))
     return J.nearest(w, "at", "word_idx", V.turn(spark, d).where("kind in ('signup', 'purchase')"), "turn_idx", "speaker_id", "UNKNOWN")
@@ -201,10 +205,10 @@ def jn_word_turn(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "win_sentences",
-    f"WITH {_NEAR}, sp AS (SELECT w.*, coalesce(n.speaker_id, 'UNKNOWN') AS speaker FROM word w JOIN nearest n USING (recording_id, word_idx)), b AS (SELECT *, CASE WHEN lag(speaker) OVER v IS NULL OR lag(speaker) OVER v <> speaker OR t0 - lag(t1) OVER v > 1.5 OR regexp_matches(lag(word) OVER v, '[.!?]$') THEN 1 ELSE 0 END AS new FROM sp WINDOW v AS (PARTITION BY recording_id ORDER BY t0, word_idx)), s AS (SELECT *, sum(new) OVER (PARTITION BY recording_id ORDER BY t0, word_idx ROWS UNBOUNDED PRECEDING) AS i FROM b) SELECT recording_id, CAST(i AS BIGINT) AS sent_idx, speaker, min(t0) AS t0, max(t1) AS t1, count(*) AS words, string_agg(word, ' ' ORDER BY t0, word_idx) AS text FROM s GROUP BY ALL",
+    f"WITH {_NEAR}, {_OVERLAP}, sp AS (SELECT w.*, coalesce(n.speaker_id, 'UNKNOWN') AS speaker FROM word w JOIN nearest n USING (recording_id, word_idx)), b AS (SELECT *, CASE WHEN lag(speaker) OVER v IS NULL OR lag(speaker) OVER v <> speaker OR t0 - lag(t1) OVER v > 1.5 OR regexp_matches(lag(word) OVER v, '[.!?]$') THEN 1 ELSE 0 END AS new FROM sp WINDOW v AS (PARTITION BY recording_id ORDER BY t0, word_idx)), s AS (SELECT *, sum(new) OVER (PARTITION BY recording_id ORDER BY t0, word_idx ROWS UNBOUNDED PRECEDING) AS i FROM b), se AS (SELECT recording_id, CAST(i AS BIGINT) AS sent_idx, speaker, min(t0) AS t0, max(t1) AS t1, count(*) AS words, string_agg(word, ' ' ORDER BY t0, word_idx) AS text FROM s GROUP BY ALL) SELECT *, EXISTS (SELECT 1 FROM overlap o WHERE o.recording_id = se.recording_id AND o.start_ms < round(se.t1 * 1000) AND o.end_ms > round(se.t0 * 1000)) AS overlap FROM se",
 )
 def win_sentences(spark: SparkSession, d: str) -> DataFrame:
-    return R.sentences(_spoken(spark, d).withColumnRenamed("speaker_id", "speaker"))
+    return R.sentences(_spoken(spark, d).withColumnRenamed("speaker_id", "speaker"), V.overlap(spark, d))
 
 
 @query("agg_transcript", f"WITH {S['word']} SELECT recording_id, string_agg(trim(word), ' ' ORDER BY word_idx) AS transcript FROM word GROUP BY ALL")

@@ -20,13 +20,13 @@ def agg_cloud(spark: SparkSession, d: str) -> DataFrame:
 
 
 def agg_components(spark: SparkSession, d: str) -> DataFrame:
-    c = C.clouds(V.sample(spark, d).withColumn("speaker_id", F.lit("ALL")))
-    return c.select("recording_id", "status", F.round("purity", 6).alias("purity"), "candidates", "kept")
+    """The component of each sample among all of its recording."""
+    c = C.labelled(V.sample(spark, d).withColumn("speaker_id", F.lit("ALL")))
+    return c.select("recording_id", "sample_idx", "place", "component")
 
 
 def agg_inliers(spark: SparkSession, d: str) -> DataFrame:
-    c = C.clouds(V.sample(spark, d))
-    return c.select("recording_id", "speaker_id", F.explode("inliers").alias("sample_idx"))
+    return C.clouds(V.sample(spark, d)).select("recording_id", "speaker_id", F.explode("ids").alias("sample_idx"))
 
 
 def mt_match(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Domain tables derived from the driver's tables, in Spark; SQL holds the same derivations for DuckDB.
 
-A recording is one calendar day of `events`; turns, words and frames of it come from the day's events.
+A recording is one calendar day of thirty users of `events`; turns, words and frames of it come from their events. So it is the number of recordings that
+grows with the input, not their length; likewise for samples (250 consecutive vectors) and detected items (a source's share of 4,000 consecutive documents).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = F.col("ts").cast("timestamp")
     ms = F.unix_millis(ts) - F.unix_millis(F.date_trunc("day", ts))
-    return table(spark, sf_dir, "events").select(F.date_format(ts, "yyyy-MM-dd").alias("recording_id"), "event_id", ms.alias("ms"), "user_id", "event_type", "value")
+    return table(spark, sf_dir, "events").select(F.concat(F.date_format(ts, "yyyy-MM-dd"), F.lit("-"), F.floor(F.col("user_id") / 30).cast("string")).alias("recording_id"), "event_id", ms.alias("ms"), "user_id", "event_type", "value")
 
 
 def turn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +60,7 @@ def lid(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     known = F.when(F.col("doc_id") % 9 != 0, F.col("lang"))
     code = F.array_position(F.array(*map(F.lit, LANGUAGES)), known)
-    return d.select(F.col("source").alias("recording_id"), F.col("doc_id").alias("item_idx"), (0.5 + F.col("doc_id") % 40 * 0.25).alias("seconds"), known.alias("language"), F.when(known.isNotNull(), 0.3 + F.col("doc_id") % 70 / 100.0).alias("probability"), code.cast("bigint").alias("code_idx"))
+    return d.select(F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 4000).cast("string")).alias("recording_id"), F.col("doc_id").alias("item_idx"), (0.5 + F.col("doc_id") % 40 * 0.25).alias("seconds"), known.alias("language"), F.when(known.isNotNull(), 0.3 + F.col("doc_id") % 70 / 100.0).alias("probability"), code.cast("bigint").alias("code_idx"))
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,12 +85,12 @@ def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     quality = 0.4 + 0.6 * (F.col("vec_id") % 10) / 10
     rows = e.withColumn("b", boosted).withColumn("n", norm).withColumn("quality", quality)
     return rows.select(
-        F.concat(F.lit("rec-"), (F.col("vec_id") % 7).cast("string")).alias("recording_id"), F.concat(F.lit("SPEAKER_"), F.col("label").cast("string")).alias("speaker_id"), F.col("vec_id").alias("sample_idx"), (F.col("vec_id") * 3000).alias("start_ms"), (F.col("vec_id") * 3000 + 3000).alias("end_ms"),
+        F.concat(F.lit("rec-"), F.floor(F.col("vec_id") / 250).cast("string")).alias("recording_id"), F.concat(F.lit("SPEAKER_"), F.col("label").cast("string")).alias("speaker_id"), F.col("vec_id").alias("sample_idx"), (F.col("vec_id") * 3000).alias("start_ms"), (F.col("vec_id") * 3000 + 3000).alias("end_ms"),
         F.lit(3.0).alias("seconds"), "quality", F.greatest(F.col("quality") * 3.0, F.lit(1e-6)).alias("weight"), F.transform("b", lambda x: x / F.col("n")).alias("vector"),
     )
 
 
-_EV = "ev AS (SELECT strftime(ts, '%Y-%m-%d') AS recording_id, event_id, CAST(epoch_us(ts) // 1000 - epoch_us(date_trunc('day', ts)) // 1000 AS BIGINT) AS ms, user_id, event_type, value FROM events)"
+_EV = "ev AS (SELECT strftime(ts, '%Y-%m-%d') || '-' || CAST(user_id // 30 AS VARCHAR) AS recording_id, event_id, CAST(epoch_us(ts) // 1000 - epoch_us(date_trunc('day', ts)) // 1000 AS BIGINT) AS ms, user_id, event_type, value FROM events)"
 _TURN = f"{_EV}, turn AS (SELECT recording_id, event_id AS turn_idx, ms AS start_ms, ms + CAST(floor(value * 1000) AS BIGINT) AS end_ms, 'SPEAKER_' || CAST(user_id % 5 AS VARCHAR) AS speaker_id, event_type AS kind FROM ev)"
 _CODES = "[" + ", ".join(f"'{c}'" for c in LANGUAGES) + "]"
 
@@ -99,8 +100,8 @@ SQL = {
     "overlap": _TURN + ", ov AS (SELECT *, lead(start_ms) OVER w AS s, lead(end_ms) OVER w AS e FROM turn WHERE kind = 'error' WINDOW w AS (PARTITION BY recording_id ORDER BY start_ms, turn_idx)), overlap AS (SELECT recording_id, greatest(start_ms, s) AS start_ms, least(end_ms, e) AS end_ms FROM ov WHERE s IS NOT NULL AND least(end_ms, e) > greatest(start_ms, s))",
     "word": _TURN + ", word AS (SELECT recording_id, event_id AS word_idx, ms / 1000 AS t0, (ms + 400) / 1000 AS t1, event_type || CASE WHEN user_id % 3 = 0 THEN '.' ELSE '' END AS word FROM ev WHERE event_type IN ('click', 'view'))",
     "frame": f"{_EV}, frame AS (SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY ms, event_id) - 1 AS frame_idx, (user_id % 100) / 100.0 AS prob, value / 5000 AS rms FROM ev)",
-    "lid": f"lid0 AS (SELECT *, CASE WHEN doc_id % 9 <> 0 THEN lang END AS language FROM documents), lid AS (SELECT source AS recording_id, doc_id AS item_idx, 0.5::DOUBLE + (doc_id % 40) * 0.25::DOUBLE AS seconds, language, CASE WHEN language IS NOT NULL THEN 0.3::DOUBLE + (doc_id % 70) / 100.0::DOUBLE END AS probability, CAST(list_position({_CODES}, language) AS BIGINT) AS code_idx FROM lid0)",
+    "lid": f"lid0 AS (SELECT *, CASE WHEN doc_id % 9 <> 0 THEN lang END AS language FROM documents), lid AS (SELECT source || '-' || CAST(doc_id // 4000 AS VARCHAR) AS recording_id, doc_id AS item_idx, 0.5::DOUBLE + (doc_id % 40) * 0.25::DOUBLE AS seconds, language, CASE WHEN language IS NOT NULL THEN 0.3::DOUBLE + (doc_id % 70) / 100.0::DOUBLE END AS probability, CAST(list_position({_CODES}, language) AS BIGINT) AS code_idx FROM lid0)",
     "history": "history AS (SELECT o_orderkey AS history_id, o_orderdate AS recorded, CASE WHEN o_orderkey % 3 = 0 THEN 'diarization' ELSE 'transcript' END AS mode, o_custkey AS key_id, CASE WHEN o_orderstatus <> 'P' THEN CAST(floor(o_totalprice) AS BIGINT) END AS duration_ms, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey - 4 END AS retry_of FROM orders)",
     "segment": "segment AS (SELECT l_orderkey AS batch_id, CAST(l_linenumber AS BIGINT) AS segment_idx, l_quantity AS seconds, l_returnflag AS processing_key FROM lineitem)",
-    "sample": "s0 AS (SELECT *, list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) + CASE WHEN i - 1 = label THEN 1.5::DOUBLE ELSE 0.0::DOUBLE END) AS b, 0.4::DOUBLE + 0.6::DOUBLE * (vec_id % 10) / 10 AS quality FROM embeddings), sample AS (SELECT 'rec-' || CAST(vec_id % 7 AS VARCHAR) AS recording_id, 'SPEAKER_' || CAST(label AS VARCHAR) AS speaker_id, vec_id AS sample_idx, vec_id * 3000 AS start_ms, vec_id * 3000 + 3000 AS end_ms, 3.0::DOUBLE AS seconds, quality, greatest(quality * 3.0::DOUBLE, 1e-6::DOUBLE) AS weight, list_transform(b, lambda x: x / sqrt(list_sum(list_transform(b, lambda y: y * y)))) AS vector FROM s0)",
+    "sample": "s0 AS (SELECT *, list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) + CASE WHEN i - 1 = label THEN 1.5::DOUBLE ELSE 0.0::DOUBLE END) AS b, 0.4::DOUBLE + 0.6::DOUBLE * (vec_id % 10) / 10 AS quality FROM embeddings), sample AS (SELECT 'rec-' || CAST(vec_id // 250 AS VARCHAR) AS recording_id, 'SPEAKER_' || CAST(label AS VARCHAR) AS speaker_id, vec_id AS sample_idx, vec_id * 3000 AS start_ms, vec_id * 3000 + 3000 AS end_ms, 3.0::DOUBLE AS seconds, quality, greatest(quality * 3.0::DOUBLE, 1e-6::DOUBLE) AS weight, list_transform(b, lambda x: x / sqrt(list_sum(list_transform(b, lambda y: y * y)))) AS vector FROM s0)",
 }
