@@ -168,7 +168,7 @@ def _narrow(units: Units):  # noqa: ANN202
 def repeated(docs: DataFrame, units: Units, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """docs (text, ...) with k1 and k2, the keys of their texts; and (k1, k2, spans): ranges (lo, hi) of starts of repeated windows.
 
-    Broadcasts are of measured size (arrays included); beyond it, texts are shuffled by their keys.
+    Texts are shuffled by their keys to the grams that they hold, never the grams of all texts to every task.
     """
     spark = docs.sparkSession
     docs = docs.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(7), "text")})
@@ -183,12 +183,8 @@ def repeated(docs: DataFrame, units: Units, group: int = GROUP) -> tuple[DataFra
     every = saved(each.where("copies > 1"), "copies")
     forget(sampled, often)
     release(spark)
-    light = small(wanted, 40 + 8 * F.size("hs"))
-    if light is wanted:  # too large to broadcast: texts move to their grams, of copies at most one from each task
-        chosen = texts.mapInArrow(_once, texts.schema).join(wanted, KEY).select(*KEY, "text", "hs").dropDuplicates(KEY)
-    else:
-        one = texts.join(light.where("copies = 1"), KEY).select(*KEY, "text", "hs")
-        chosen = one.union(texts.join(light.where("copies > 1"), KEY).select(*KEY, "text", "hs").dropDuplicates(KEY))
+    # texts move to their grams by key, at any size; of copies at most one from each task
+    chosen = texts.mapInArrow(_once, texts.schema).join(wanted, KEY).select(*KEY, "text", "hs").dropDuplicates(KEY)
     segments = chosen.mapInArrow(_segments(units), "k1 bigint, k2 bigint, h bigint, at bigint, t1 int, t2 int, left binary, right binary")
     name = [F.lit("."), F.col("left"), F.lit("."), F.col("right"), F.col("t1")]
     segments = saved(segments.withColumns({"q1": F.xxhash64(*name), "q2": F.xxhash64(F.lit(7), *name)}), "segments")

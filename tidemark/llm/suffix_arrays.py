@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.kernels import as_bytes, byte_grams
 from tidemark.llm.repeats import KEY, Units, classes, covered, ranges, repeated, twice
-from tidemark.llm.tables import small
 
 WINDOW, TRIGGER = 400, 32
 
@@ -95,7 +94,7 @@ def _apply(window: int):  # noqa: ANN202
 def without_repeated_bytes(docs: DataFrame, window: int = WINDOW, trigger: int = TRIGGER) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes left) of each row of docs (doc_id, text, ...)."""
     keyed, spans = repeated(docs.select("doc_id", "text"), byte_units(window, trigger))
-    rows = keyed.join(small(spans, 40 + 16 * F.size("spans")), KEY, "left").select("doc_id", "text", "spans")
+    rows = keyed.join(spans, KEY, "left").select("doc_id", "text", "spans")
     return rows.mapInArrow(_apply(window), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 

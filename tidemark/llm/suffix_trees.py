@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.kernels import as_bytes, grams, span_hashes, word_spans
 from tidemark.llm.repeats import KEY, Units, classes, covered, ranges, repeated, twice
-from tidemark.llm.tables import small
 
 WINDOW, GRAM = 35, 8
 
@@ -132,7 +131,7 @@ def _apply(window: int):  # noqa: ANN202
 def without_repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by blanks) of each row of docs (doc_id, text, ...)."""
     keyed, spans = repeated(docs.select("doc_id", "text"), word_units(window, gram))
-    rows = keyed.join(small(spans, 40 + 16 * F.size("spans")), KEY, "left").select("doc_id", "text", "spans")
+    rows = keyed.join(spans, KEY, "left").select("doc_id", "text", "spans")
     rows = rows.mapInArrow(_apply(window), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words bigint, n_removed bigint, kept binary")
     return rows.withColumn("kept", F.col("kept").cast("string"))
 
