@@ -6,27 +6,29 @@ it matches whole words only; matches are mapped back to word numbers and to char
 
 Defined results: a null or wordless text has no words and is clean; a null or wordless item has no window; an item
 without item_id can hit but isn't listed; repeated rows of items count once by item_id; repeated documents are judged
-row by row; empty tables give empty or clean results; extra columns are not read.
+row by row; empty tables give empty or clean results; extra columns are carried by `decontaminated` and else not read; item_id and doc_id may be of any type.
+The benchmark passes through the driver, a block at a time, and each block's texts go to the tasks with its scan.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.llm.kernels import LOWER, NOT_ALNUM, as_bytes, word_spans
+from tidemark.llm.tables import fresh
 
 WINDOW = 13
-#: Bytes of benchmark text in one automaton; a larger benchmark is scanned for in several blocks.
-BLOCK_BYTES = 16 << 20
+#: Bytes of windows in one automaton, which takes some 40 bytes of memory for each; a larger benchmark is scanned for in several blocks.
+BLOCK_BYTES = 4 << 20
 _NORMAL = bytes(32 if i < 128 and NOT_ALNUM[LOWER[i]] else LOWER[i] for i in range(256))
-#: What a scan adds to the columns of the texts.
+#: What a scan for spans adds to the columns of the texts.
 ADDED = ("_n_words", "_spans")
 
 
@@ -35,7 +37,7 @@ def normal_words(text: bytes) -> list[bytes]:
     return text.translate(_NORMAL).split()
 
 
-def item_windows(items: list[tuple[int | None, str | None]], window: int) -> dict[bytes, list[int | None]]:
+def item_windows(items: list[tuple], window: int) -> dict[bytes, list]:
     """Each window's bytes, with the items that hold it."""
     found: dict[bytes, set] = {}
     for item, text in items:
@@ -45,92 +47,117 @@ def item_windows(items: list[tuple[int | None, str | None]], window: int) -> dic
     return {k: sorted(v, key=lambda x: (x is None, x)) for k, v in found.items()}
 
 
-def _scan(windows: dict[bytes, list[int | None]], earlier: bool):  # noqa: ANN202
+def _scan(items: list[tuple], window: int, kind: pa.DataType, names: tuple[str, str, str | None], earlier: bool):  # noqa: ANN202
+    """A pass over texts with one automaton: adds the number of words and, by names, the hit words as ranges and the items, or (without a name for items) every occurrence."""
+    number, found, who = names
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
         machine = ahocorasick.Automaton()
-        for w, items in windows.items():
-            machine.add_word(w.decode("latin-1"), (len(w), items))
+        for w, ids in item_windows(items, window).items():
+            machine.add_word(w.decode("latin-1"), (len(w), ids))
         machine.make_automaton()
-        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int32()), ("n_words", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())]))
         for b in batches:
-            counts, spans = [], []
-            old = b.column("_spans").to_pylist() if earlier else None
+            counts, out, listed = [], [], []
+            before = [b.column(c).to_pylist() if earlier else [[]] * b.num_rows for c in names[1:] if c]
             for i, text in enumerate(as_bytes(b.column("text"))):
                 words = normal_words(text or b"")
                 joined = b" %b " % b" ".join(words)
                 counts.append(len(words))
-                hits = [(end - size + 1, size, items) for end, (size, items) in machine.iter(joined.decode("latin-1"))] if words and windows else []
-                rows = list(old[i]) if earlier else []
+                hits = [(end - size + 1, size, ids) for end, (size, ids) in machine.iter(joined.decode("latin-1"))] if words and len(machine) else []
+                own = list(before[0][i])
                 if hits:
-                    number = np.cumsum(np.frombuffer(joined, np.uint8) == 32)
-                    raw = np.frombuffer(text, np.uint8)
-                    s, e = word_spans(np.frombuffer(text.translate(_NORMAL), np.uint8), _BLANK)
-                    chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-                    for at, size, items in hits:
-                        first, last = int(number[at]) - 1, int(number[at + size - 1]) - 2
-                        rows += [{"item_id": x, "first_word": first, "n_words": last - first + 1, "start": int(chars[s[first]]), "stop": int(chars[e[last]])} for x in items]
-                spans.append(rows)
-            own = [c for c in b.schema.names if c not in ADDED]
-            yield pa.RecordBatch.from_arrays([*map(b.column, own), pa.array(counts, pa.int64()), pa.array(spans, kind)], [*own, *ADDED])
+                    place = np.cumsum(np.frombuffer(joined, np.uint8) == 32)
+                    spans = [(int(place[at]) - 1, int(place[at + size - 1]) - 1, ids) for at, size, ids in hits]
+                    own = _ranges(own, spans, len(words)) if who else own + list(_occurrences(text, spans))
+                out.append(own)
+                if who:  # a window's items once, however often it comes
+                    listed.append(sorted({str(x) for ids in {id(h[2]): h[2] for h in hits}.values() for x in ids if x is not None} | set(before[1][i])))
+            keep = [c for c in b.schema.names if c not in names]
+            added = [pa.array(counts, pa.int64()), pa.array(out, pa.list_(_RANGE if who else _span(kind))), *([pa.array(listed, pa.list_(pa.string()))] if who else [])]
+            yield pa.RecordBatch.from_arrays([*map(b.column, keep), *added], [*keep, *filter(None, names)])
 
     return run
 
 
+_RANGE = pa.struct([("first_word", pa.int32()), ("n_words", pa.int32())])
+
+
+def _span(kind: pa.DataType) -> pa.DataType:
+    return pa.struct([("item_id", kind), ("first_word", pa.int32()), ("n_words", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
+
+
+def _ranges(before: list[dict], spans: list[tuple], n: int) -> list[dict]:
+    """Hit words of n as maximal ranges."""
+    edge = np.zeros(n + 2, np.int64)
+    for lo, hi in [*((r["first_word"], r["first_word"] + r["n_words"]) for r in before), *((s[0], s[1]) for s in spans)]:
+        edge[lo + 1] += 1
+        edge[hi + 1] -= 1
+    step = np.diff((np.cumsum(edge) > 0).astype(np.int8))
+    return [{"first_word": int(lo), "n_words": int(hi - lo)} for lo, hi in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1))]
+
+
+def _occurrences(text: bytes, spans: list[tuple]) -> Iterator[dict]:
+    """Every occurrence of a window of each item, with its place in characters of the text as it was."""
+    s, e = word_spans(np.frombuffer(text.translate(_NORMAL), np.uint8), _BLANK)
+    chars = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
+    for first, stop, ids in spans:
+        for x in ids:
+            yield {"item_id": x, "first_word": first, "n_words": stop - first, "start": int(chars[s[first]]), "stop": int(chars[e[stop - 1]])}
+
+
 _BLANK = np.zeros(256, bool)
 _BLANK[32] = True
 
 
-def contamination_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs (doc_id, text, ...) with _n_words and _spans: one entry for each occurrence of a window of each item.
+def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, names: tuple[str, str, str | None]) -> DataFrame:
+    """docs with the columns of names, by one scan for each block of the benchmark. No shuffle of texts.
 
-    The benchmark's own size is measured first; above block_bytes it is cut into blocks of items by hash, and the texts
-    are scanned once for each block. No shuffle of texts.
+    The benchmark's own size is measured first; if its windows take more than block_bytes, it is cut into blocks of items by hash.
     """
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-int(total) // block_bytes))
-    fields = [f for f in docs.schema.fields if f.name not in ADDED]
-    span = T.StructType([T.StructField("item_id", T.LongType()), *[T.StructField(c, T.IntegerType()) for c in ("first_word", "n_words", "start", "stop")]])
-    schema = T.StructType([*fields, T.StructField(ADDED[0], T.LongType()), T.StructField(ADDED[1], T.ArrayType(span))])
-    out = docs.select(*[f"`{f.name}`" for f in fields])
+    items = benchmark.select("item_id", "text")
+    # each word stands in up to `window` windows
+    total = window * int(items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    n = max(1, -(-total // block_bytes))
+    fields = [f for f in docs.schema.fields if f.name not in names]
+    kind = items.schema["item_id"].dataType
+    pair = [T.StructField(c, T.IntegerType()) for c in ("first_word", "n_words")]
+    what = T.StructType(pair) if names[2] else T.StructType([T.StructField("item_id", kind), *pair, *[T.StructField(c, T.IntegerType()) for c in ("start", "stop")]])
+    added = [T.StructField(names[0], T.LongType()), T.StructField(names[1], T.ArrayType(what)), *([T.StructField(names[2], T.ArrayType(T.StringType()))] if names[2] else [])]
+    out = docs.select(*[F.col(f"`{f.name}`") for f in fields])
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        out = out.mapInArrow(_scan(item_windows([tuple(r) for r in rows], window), k > 0), schema)
+        out = out.mapInArrow(_scan([tuple(r) for r in rows], window, to_arrow_type(kind), names, k > 0), T.StructType([*fields, *added]))
     return out
 
 
-def _digest(spans: list[dict]) -> tuple[int, int, str]:
-    hit: set[int] = set()
-    for s in spans:
-        hit.update(range(s["first_word"], s["first_word"] + s["n_words"]))
-    items = sorted({str(s["item_id"]) for s in spans if s["item_id"] is not None})
-    return len(hit), len(items), hashlib.sha256(",".join(items).encode()).hexdigest()
+def contamination_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs (doc_id, text, ...) with _n_words and _spans: one entry for each occurrence of a window of each item. Columns of docs by these names give way."""
+    return _scanned(docs, benchmark, window, block_bytes, (*ADDED, None))
 
 
-def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    none = _digest([])
-    for b in batches:
-        rows = [_digest(x) if x else none for x in b.column("_spans").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("_n_words"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows])],
-            ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"],
-        )
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of docs."""
+    found = _scanned(docs.select("doc_id", "text"), benchmark, window, block_bytes, ("n_words", "hits", "items"))
+    names = F.array_join(F.array_sort("items"), ",")
+    found = found.select("doc_id", "n_words", _n_hit("hits").alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(names, 256).alias("items_sha256"))
+    return found.withColumn("contaminated", _contaminated(F.col("n_hit"), F.col("n_words")))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:  # noqa: ANN003
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of docs."""
-    found = contamination_spans(docs.select("doc_id", "text"), benchmark, **options).select("doc_id", *ADDED)
-    return found.mapInArrow(_verdicts, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string").withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+def _n_hit(hits: str) -> Column:
+    return F.aggregate(F.col(f"`{hits}`"), F.lit(0).cast("bigint"), lambda a, x: a + x["n_words"])
+
+
+def _contaminated(n_hit: Column, n_words: Column) -> Column:
+    return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:  # noqa: ANN003
-    """The rows of docs that are not contaminated, with the columns of docs."""
-    found = contamination_spans(docs, benchmark, **options)
-    words = F.aggregate("_spans", F.array().cast("array<int>"), lambda a, x: F.array_union(a, F.sequence(x["first_word"], x["first_word"] + x["n_words"] - 1)))
-    n_hit = F.when(F.size("_spans") > 0, F.size(words)).otherwise(0)
-    return found.where(~((n_hit > 0) & (20 * n_hit >= F.col("_n_words")))).drop(*ADDED)
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs that are not contaminated, with the columns of docs, whatever their names."""
+    names = tuple(fresh(n, docs) for n in ("n_words", "hits", "items"))
+    found = _scanned(docs, benchmark, window, block_bytes, names)
+    return found.where(~_contaminated(_n_hit(names[1]), F.col(f"`{names[0]}`"))).drop(*names)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

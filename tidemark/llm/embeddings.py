@@ -12,7 +12,7 @@ number of vectors however large a group is.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of different
 lengths do not link; a null vec_id has null for component_id and links with nothing; rows that repeat a vec_id with equal
-vectors are copies of each other under one id; an empty table gives an empty result; other columns are not read.
+vectors are copies of each other under one id; an empty table gives an empty result; other columns are not read; vec_id may be of any type.
 """
 
 from __future__ import annotations
@@ -98,10 +98,13 @@ def _links(cosine: float):  # noqa: ANN202
 
 def embedding_groups(vectors: DataFrame, cosine: float = 0.95, recall: float = RECALL, seed: int = 1, cell: int = CELL) -> DataFrame:
     """vec_id, n_links, component_id, kept of each row of vectors (vec_id, embedding, ...)."""
-    v = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").alias("v"))
+    v = vectors.select("vec_id", F.col("embedding").alias("v"))
+    number = isinstance(vectors.schema["vec_id"].dataType, T.IntegralType)
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     good = v.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(sound)
-    nodes = saved(good.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")).withColumn("dim", F.size("v")), "vectors")
+    nodes = good.groupBy("v").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")).withColumn("dim", F.size("v"))
+    # ids that are no integers go by a hash until components are known
+    nodes = saved(nodes.withColumn("id", F.col("first").cast("bigint") if number else F.xxhash64("first")), "vectors")
     bits, tables = shape(nodes.count(), cosine, recall)
     rows = saved(nodes.mapInArrow(_hash(bits, tables, seed), T.StructType([*nodes.schema.fields, T.StructField("hashes", T.ArrayType(T.LongType()))])), "hashes")
     places = rows.select("id", "dim", F.posexplode("hashes").alias("t", "h"))
@@ -116,7 +119,11 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.95, recall: float = R
     found = saved(found, "found")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     groups = connected_components(found.where("id != least").select(F.col("id").alias("u"), F.col("least").alias("v")))
-    known = nodes.join(small(groups, 16), "id", "left").join(links, "id", "left").select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    known = nodes.join(small(groups, 16), "id", "left").join(links, "id", "left").select("v", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    if not number:
+        least = known.groupBy("component_id").agg(F.min("first").alias("least"))
+        known = known.join(least, "component_id").drop("component_id").withColumnRenamed("least", "component_id")
+    known = known.drop("first")
     out = v.join(known, v["v"] == known["v"], "left").select("vec_id", F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("bigint").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 

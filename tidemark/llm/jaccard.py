@@ -286,7 +286,8 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFr
     join.close()
     forget(join.docs)
     least = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("c")).where("c > 1").drop("c")
-    return rows.join(least, "label", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # where the groups are few, a large one need not meet in one task
+    return rows.join(small(saved(least, "least"), 32), "label", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def jaccard_links(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,8 @@ the row length), `n_tokens`, and by segment `doc_ids`, `starts` (the segment's o
 (cumulative lengths, from 0) and `resets` (places where position numbers begin again at 0).
 
 Defined results: a null or empty text has no ids and no segment; repeated rows are packed each; a null doc_id stays null in
-doc_ids; an empty table gives no rows; other columns are not read.
+doc_ids, which have the type of doc_id; an empty table gives no rows; other columns are not read. Which segments share a row follows from how the input is
+dealt to tasks: other partitions give other rows of the same ids.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 ROW = 2048
 #: Tokens of segments shorter than a row that a task gathers before it packs them.
@@ -115,7 +115,7 @@ def _pack(content: bytes, path: str, pattern: str | None, kind: str, row: int, b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids = sentencepiece_ids(content, np.dtype(kind)) if path.endswith(".model") else rank_file_ids(content, pattern, np.dtype(kind))
         held: list[tuple] = []
-        held_tokens = 0
+        held_tokens, doc_type = 0, pa.int64()
 
         def out(rows: list[list[tuple]]) -> pa.RecordBatch:
             ids = []
@@ -127,7 +127,7 @@ def _pack(content: bytes, path: str, pattern: str | None, kind: str, row: int, b
             ends = [np.cumsum([0] + [s[2].size for s in r]).tolist() for r in rows]
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids, pa.binary()), pa.array([e[-1] for e in ends], pa.int32()), pa.array([[s[0] for s in r] for r in rows], pa.list_(pa.int64())),
+                    pa.array(ids, pa.binary()), pa.array([e[-1] for e in ends], pa.int32()), pa.array([[s[0] for s in r] for r in rows], pa.list_(doc_type)),
                     pa.array([[s[1] for s in r] for r in rows], pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array([e[:-1] for e in ends], pa.list_(pa.int32())),
                 ],
                 ["ids", "n_tokens", "doc_ids", "starts", "cu_seqlens", "resets"],
@@ -141,6 +141,7 @@ def _pack(content: bytes, path: str, pattern: str | None, kind: str, row: int, b
 
         for b in batches:
             full: list[list[tuple]] = []
+            doc_type = b.column("doc_id").type
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
                 x = to_ids(t) if (t := text.as_py()) else ()
                 for at in range(0, len(x), row):
@@ -169,7 +170,7 @@ def packed_rows(docs: DataFrame, path: str, vocabulary: int, pattern: str | None
     with open(path, "rb") as f:
         content = f.read()
     run = _pack(content, path, pattern, "<u2" if vocabulary <= 1 << 16 else "<u4", row, buffer, pad)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "ids binary, n_tokens int, doc_ids array<bigint>, starts array<int>, cu_seqlens array<int>, resets array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"ids binary, n_tokens int, doc_ids array<{docs.schema['doc_id'].dataType.simpleString()}>, starts array<int>, cu_seqlens array<int>, resets array<int>")
 
 
 def write_packed(docs: DataFrame, path: str, folder: str, vocabulary: int, **options) -> None:  # noqa: ANN003

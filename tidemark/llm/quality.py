@@ -12,7 +12,7 @@ rows are at most MOST_LABELLED (a sample by hash); everything else runs over all
 
 Defined results: a null or empty text has log weight 0; rows with the same doc_id draw the same noise; a document with
 several labels is toxic if one says so and good only if all do; null labels count as missing; without good or bad
-labels all ratios are 0 or all documents are kept; ties at the last place are all kept; other columns are carried.
+labels all ratios are 0 or all documents are kept; ties at the last place are all kept; other columns, whatever their names, are carried.
 """
 
 from __future__ import annotations
@@ -21,12 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.kernels import LOWER, WHITE, Spans, as_bytes, distinct, grams, mix
-from tidemark.llm.tables import saved
+from tidemark.llm.tables import fresh, saved
 
 BUCKETS = 1 << 18
 MOST_LABELLED = 40_000
@@ -137,22 +137,21 @@ def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
     return float(w[i] if not i else (w[i] + w[i - 1]) / 2)
 
 
-def weighted(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """docs with _log_weight; the ratios (1 MB, whatever the input) go with the function."""
+def weighted(docs: DataFrame, ratios: np.ndarray, name: str = "_log_weight") -> DataFrame:
+    """docs with their log weights as name; the ratios (1 MB, whatever the input) go with the function."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             w = [log_weight(t, ratios) if t else 0.0 for t in as_bytes(b.column("text"))]
-            own = [c for c in b.schema.names if c != "_log_weight"]
-            yield pa.RecordBatch.from_arrays([*map(b.column, own), pa.array(w, pa.float64())], [*own, "_log_weight"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(w, pa.float64())], [*b.schema.names, name])
 
-    own = [f for f in docs.schema.fields if f.name != "_log_weight"]
-    return docs.select(*[f"`{f.name}`" for f in own]).mapInArrow(run, T.StructType([*own, T.StructField("_log_weight", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
-def _key(seed: int, noise: float):  # noqa: ANN202
+def _key(seed: int, noise: float, name: str = "_log_weight") -> Column:
+    """The log weight plus Gumbel noise."""
     u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    return F.col("_log_weight") - noise * F.log(-F.log(u))
+    return F.col(f"`{name}`") - noise * F.log(-F.log(u))
 
 
 def kth_largest(keys: DataFrame, k: int, bins: int = 4096) -> float:
@@ -188,8 +187,8 @@ class Resampling:
         self.ratios = log_ratios(document_counts(near.where("_good"), buckets), document_counts(docs, buckets))
         known = weighted(near, self.ratios).select("_log_weight", "_good").toPandas()
         self.cut = best_cut(known["_log_weight"].to_numpy(), known["_good"].to_numpy(bool))
-        self.key = _key(seed, noise)
-        self.rows = saved(weighted(docs.select("doc_id", "text"), self.ratios).select("doc_id", F.col("_log_weight").alias("log_weight"), self.key.alias("key")), "weights")
+        self.seed, self.noise = seed, noise
+        self.rows = saved(weighted(docs.select("doc_id", "text"), self.ratios).select("doc_id", F.col("_log_weight").alias("log_weight"), _key(seed, noise).alias("key")), "weights")
         self.k = self.rows.where(F.col("log_weight") >= self.cut).count()
         self.least = kth_largest(self.rows, self.k)
 
@@ -203,7 +202,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def resampled(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:  # noqa: ANN003
     """The rows of docs that are chosen, with the columns of docs; texts are weighed again rather than joined."""
     r = Resampling(docs, labels, **options)
-    return weighted(docs, r.ratios).where(r.key >= r.least).drop("_log_weight")
+    name = fresh("_log_weight", docs)
+    return weighted(docs, r.ratios, name).where(_key(r.seed, r.noise, name) >= r.least).drop(name)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

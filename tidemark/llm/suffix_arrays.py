@@ -100,4 +100,5 @@ def without_repeated_bytes(docs: DataFrame, window: int = WINDOW, trigger: int =
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = without_repeated_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    n_kept, kept = F.col("n_bytes") - F.col("n_removed"), F.make_valid_utf8(F.col("kept").cast("string"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), n_kept.alias("n_kept"), (F.col("n_removed") > 0).alias("repeats"), kept.alias("kept"))

@@ -138,7 +138,7 @@ def without_repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GR
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = without_repeated_words(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_words") - F.col("n_removed")).alias("n_kept"), (F.col("n_removed") > 0).alias("repeats"), "kept")
 
 
 OP10_SQL = r"""
@@ -146,8 +146,11 @@ WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0
 p AS (SELECT doc_id, i, md5(array_to_string(w[i:i+34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 33, 1))) AS i FROM w)),
 hot AS (SELECT h FROM p GROUP BY h HAVING count(*) > 1),
 gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM p SEMI JOIN hot USING (h)),
-g AS (SELECT doc_id, count(*) AS n, list(j) AS js FROM gone GROUP BY doc_id)
-SELECT w.doc_id, len(w.w) AS n_words, coalesce(g.n, 0) AS n_removed,
-  sha256(array_to_string(CASE WHEN g.n IS NULL THEN w.w ELSE coalesce((SELECT list(x.v ORDER BY x.k) FROM (SELECT unnest(w.w) AS v, generate_subscripts(w.w, 1) AS k) x WHERE NOT list_contains(g.js, x.k)), []) END, ' ')) AS kept_sha256
-FROM w LEFT JOIN g ON g.doc_id = w.doc_id
+g AS (SELECT doc_id, count(*) AS n, list(j) AS js FROM gone GROUP BY doc_id),
+out AS (
+  SELECT w.doc_id, len(w.w) AS n_words, coalesce(g.n, 0) AS n_removed,
+    array_to_string(CASE WHEN g.n IS NULL THEN w.w ELSE coalesce((SELECT list(x.v ORDER BY x.k) FROM (SELECT unnest(w.w) AS v, generate_subscripts(w.w, 1) AS k) x WHERE NOT list_contains(g.js, x.k)), []) END, ' ') AS kept
+  FROM w LEFT JOIN g ON g.doc_id = w.doc_id
+)
+SELECT doc_id, n_words, n_removed, sha256(kept) AS kept_sha256, n_words - n_removed AS n_kept, n_removed > 0 AS repeats, kept FROM out
 """

@@ -61,3 +61,11 @@ def small(df: DataFrame, row_bytes: int | Column) -> DataFrame:
     else:
         n, size = df.agg(F.count("*"), F.coalesce(F.sum(row_bytes), F.lit(0))).first()
     return F.broadcast(df) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name that df has not, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
