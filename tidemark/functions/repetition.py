@@ -26,11 +26,11 @@ def _name(word: str) -> str:
 
 
 def _words(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """A number for each word, the same for words alike in NFKC and case-folded, and the place after the punctuation that follows it."""
-    spans = [m.span() for m in _WORD.finditer(text)]
-    ids, names = pd.factorize(np.array([_name(text[a:b]) for a, b in spans], object))
+    """A number for each word, the same for words alike in NFKC and case-folded, and the place where it ends."""
+    found = [(m.group(), m.end()) for m in _WORD.finditer(text)]
+    ids, names = pd.factorize(np.array([_name(w) for w, _ in found], object))
     real = (names != "")[ids] if len(names) else np.zeros(0, bool)
-    return ids[real], np.array([_MARKS.match(text, b).end() for _, b in compress(spans, real)], np.int64)
+    return ids[real], np.array([b for _, b in found], np.int64)[real]
 
 
 def _periods(ids: np.ndarray, n: int, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,13 +53,13 @@ def fold_once(text: str) -> str:
     for n in range(min(LONGEST, ids.size // LEAST_MORE), 0, -1):
         at, times = _periods(ids, n, LEAST_ONE if n == 1 else LEAST_MORE)
         size[at], reach[at] = n, times * n
-    # characters of repeats after the first go, from the leftmost repeat on
+    # characters of repeats after the first go, from the leftmost repeat on; the marks after a word go or stay with it
     change, done = np.zeros(len(text) + 1, np.int64), 0
     for i in np.flatnonzero(size).tolist():
         if i >= done:
             done = i + int(reach[i])
-            change[ends[i + size[i] - 1]] += 1
-            change[ends[done - 1]] -= 1
+            for k, step in ((i + size[i] - 1, 1), (done - 1, -1)):
+                change[_MARKS.match(text, int(ends[k])).end()] += step
     return "".join(compress(text, np.cumsum(change[:-1]) == 0)) if done else text
 
 
