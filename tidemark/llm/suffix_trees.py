@@ -3,9 +3,9 @@
 Suffixes are told apart by a prefix, at first the gram of words at an anchor, and each group of suffixes that share it is
 small enough for one task; a group that isn't takes longer prefixes (see `repeats`). In a group the suffixes at anchors are sorted, with the
 number of words that neighbours have in common: a suffix tree in array form, whose nodes of some depth are the runs of suffixes
-that agree so far. The tree of the suffixes that start one word earlier follows from it by induction: they agree if their
-first words do and the suffixes after these do. A node of `window` words or more with two leaves is a repeat; the
-windows at its leaves are removed. `maximal_repeats` lists a group's deepest such nodes.
+that agree so far. The tree of the suffixes that start one word earlier follows from it by induction: sorted by that word and else as before, neighbours agree
+in one word more than they did. `maximal_repeats` lists a tree's internal nodes of `window` words or more; the windows at the leaves of such a node are
+repeats and removed.
 
 Defined results: a null or wordless text has 0 words and nothing to remove; texts of fewer words than a window keep all;
 copies and repeated rows lose all that windows cover; matches never cross texts; rows may lack a doc_id; an empty table gives an
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.kernels import as_bytes, grams, span_hashes, word_spans
-from tidemark.llm.repeats import KEY, Units, classes, covered, ranges, repeated, twice
+from tidemark.llm.repeats import KEY, Units, covered, ranges, repeated
 
 WINDOW, GRAM = 35, 8
 
@@ -66,17 +66,47 @@ def suffix_tree(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, common
 
 
+def _least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The least of values[lo + 1 : hi + 1] for each pair lo < hi, from minima over powers of two."""
+    out, step, level = np.empty(lo.size, values.dtype), 1, values
+    size = hi - lo
+    while True:
+        now = (size >= step) & (size < 2 * step)
+        out[now] = np.minimum(level[lo[now] + 1], level[hi[now] + 1 - step])
+        if 2 * step > (size.max() if size.size else 0):
+            return out
+        level = np.minimum(level[:-step], level[step:])
+        step *= 2
+
+
+def longer(order: np.ndarray, common: np.ndarray, word: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tree of the suffixes one word longer at the front, from the tree of the suffixes and each one's new word: sorted by that word and, as before, by what follows."""
+    at = np.argsort(word[order], kind="stable")
+    new = order[at]
+    out = np.full(order.size, -1, common.dtype)
+    out[1:] = np.where(word[new[1:]] == word[new[:-1]], 0, -1)
+    same = np.flatnonzero(out[1:] == 0)
+    out[1:] = np.where(out[1:] == 0, 1, 0)
+    out[same + 1] += _least(common, at[same], at[same + 1])
+    return new, np.minimum(out, most)
+
+
 def maximal_repeats(order: np.ndarray, common: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
-    """The tree's internal nodes at least so deep: (depth in words, leaves), deeper nodes before those that hold them."""
-    out, stack = [], []
-    for i in range(1, len(order) + 1):
-        d, start = int(common[i]) if i < len(order) else -1, i - 1
-        while stack and stack[-1][0] > d:
-            deep, start = stack.pop()
-            if deep >= depth:
+    """The tree's internal nodes at least so deep: (depth in words, leaves), deeper nodes before those that hold them.
+
+    Such nodes lie within runs of leaves that agree so far with the one before; only these are walked.
+    """
+    edge = np.diff(np.concatenate([[0], common >= depth, [0]]).astype(np.int8))
+    out = []
+    for first, last in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
+        stack: list[tuple[int, int]] = []
+        for i, d in enumerate([*common[first:last].tolist(), -1], first):
+            start = i - 1
+            while stack and stack[-1][0] > d:
+                deep, start = stack.pop()
                 out.append((deep, order[start:i]))
-        if not stack or stack[-1][0] < d:
-            stack.append((d, start))
+            if not stack or stack[-1][0] < d:
+                stack.append((d, start))
     return out
 
 
@@ -84,16 +114,19 @@ def _repeats(window: int):  # noqa: ANN202
     def repeats(left: list[bytes], right: list[bytes], t1: np.ndarray, t2: np.ndarray, copies: np.ndarray, ta: np.ndarray, tb: np.ndarray) -> list[list[tuple[int, int]]]:
         before = _matrix(left, int(t2.max()), backwards=True)
         tree = suffix_tree(_matrix(right, window, backwards=False))
-        node = np.zeros(len(left), np.int64)  # of the words between the window's start and the anchor
         t1, last = np.maximum(t1, ta), np.minimum(t2, tb)
         marks = []
         for t in range(int(last.max()) + 1):
             if t:
-                _, word = np.unique(before[:, t - 1], return_inverse=True)
-                _, node = np.unique(node * (len(left) + 1) + word, return_inverse=True)
-            who = np.flatnonzero((t1 <= t) & (t <= last))
-            if who.size:
-                marks.append((t, who[twice(node[who] * (len(left) + 1) + classes(*tree, window - t)[who], copies[who])]))
+                tree = longer(*tree, before[:, t - 1], window)
+            # leaves of deep nodes whose windows start here; a leaf that stands for several copies is a node by itself
+            own = (t1 <= t) & (t <= last)
+            found = own & (copies > 1)
+            for _, leaves in maximal_repeats(*tree, window):
+                leaves = leaves[own[leaves]]
+                found[leaves] |= leaves.size > 1
+            if found.any():
+                marks.append((t, np.flatnonzero(found)))
         return ranges(marks, len(left))
 
     return repeats
