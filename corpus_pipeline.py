@@ -3,6 +3,8 @@
 Quality resampling drops the documents that the classifier rejects (toxic or of low quality by the `labels`); of each group of
 near copies (five words, similarity 0.8) one document stays; documents contaminated by `benchmark` go; sources are mixed to
 their target weights, which repeats some documents and leaves out others; what is left is packed as token ids.
+
+All stages but the last return the columns of documents, whatever their names and order; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,22 +22,27 @@ from tidemark.llm.tables import saved
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the resampling chooses. Null and empty texts weigh nothing and count as the best; rows with one doc_id draw the same noise; ties stay together."""
     return resampled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group, that of the smallest doc_id. Wordless texts link with nothing and stay; repeated rows leave one; rows without doc_id stay."""
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth of the words are hit. Wordless texts are clean; repeated rows are judged each."""
     return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix draws them, at most three times. A null source is a source; wordless texts have no size and come with their block or not; rows with one doc_id are drawn together."""
     return mixed(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of 2,048 token ids; null and empty texts have none, repeated documents are packed each."""
     import public_tokenizers
 
     return packed_rows(docs, public_tokenizers.path("piece_bpe_32k.model"), 32_000)
