@@ -80,12 +80,12 @@ def budget(spans: DataFrame, keys: Sequence[str], rank: str, most: int, start: s
     return spans.withColumn("_left", most - used).where("_left > 0").withColumn(end, F.least(F.col(end), F.col(start) + F.col("_left"))).drop("_left")
 
 
-def stitch(parts: DataFrame, keys: Sequence[str], size: int = 3000, least: int = 2000, start: str = "start_ms", end: str = "end_ms") -> DataFrame:
+def stitch(parts: DataFrame, keys: Sequence[str], size: int = 3000, least: int = 2000, start: str = "start_ms", end: str = "end_ms", ties: Sequence[str] = ()) -> DataFrame:
     """Windows cut from short parts laid end to end: window, its length, and its number of source spans.
 
     A part's place on the common axis is a running sum; a window meets the parts whose places it overlaps. A last window shorter than least is dropped.
     """
-    w = W.partitionBy(*keys).orderBy(start, end)
+    w = W.partitionBy(*keys).orderBy(start, end, *ties).rowsBetween(W.unboundedPreceding, 0)
     length = F.col(end) - F.col(start)
     on = parts.where(length > 0).withColumn("_b", F.sum(length).over(w)).withColumn("_a", F.col("_b") - length)
     cut = on.withColumn("window", F.explode(F.sequence(F.floor(F.col("_a") / size), F.floor((F.col("_b") - 1) / size))))
