@@ -197,7 +197,7 @@ def test_embedding_recall(spark):
     pairs = np.concatenate([x, 0.951 * x + np.sqrt(1 - 0.951**2) * y])
     table = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(pairs)], "vec_id bigint, embedding array<double>")
     got = embeddings.embedding_groups(table).where("n_links = 1").count()
-    assert got >= 0.95 * 3000
+    assert got >= 0.98 * 3000
 
 
 def test_targets():
