@@ -143,8 +143,8 @@ def test_representatives():
             z = (i + 0x9E3779B97F4A7C15) % 2**64
             z = (z ^ (z >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
             z = (z ^ (z >> 27)) * 0x94D049BB133111EB % 2**64
-            slot = len(held) if len(held) < 16 else (z ^ (z >> 31)) % (i + 1)
-            if slot == len(held):
+            slot = (z ^ (z >> 31)) % (i + 1)
+            if len(held) < 16:
                 held.append(i)
             elif slot < 16:
                 held[slot] = i

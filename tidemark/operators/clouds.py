@@ -139,21 +139,16 @@ def best_assignment(score: np.ndarray) -> np.ndarray:
 
 
 def losses(score: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """By how much the best total falls if a row may not have its column: the cheapest way to move it on, along shortest paths of moves between columns."""
-    n, m = score.shape
-    move = np.full((m, m), np.inf)
-    np.fill_diagonal(move, 0.0)
-    for r, c in enumerate(columns):
-        move[c] = np.minimum(move[c], score[r, c] - score[r])
-    for k in range(m):
-        move = np.minimum(move, move[:, k : k + 1] + move[k : k + 1])
-    free = np.setdiff1d(np.arange(m), columns)
-    out = np.empty(n)
-    for r, c in enumerate(columns):
-        step = score[r, c] - score[r]
-        step[c] = np.inf
-        out[r] = (step[:, None] + move[:, np.append(free, c)]).min()
-    return out
+    """By how much the best total falls if a row may not have its column."""
+    rows = np.arange(len(score))
+    mine = columns[:, None] == np.arange(score.shape[1])
+
+    def total(allowed: np.ndarray) -> float:
+        s = np.where(allowed, score, IMPOSSIBLE)
+        return s[rows, best_assignment(s)].sum()
+
+    best = score[rows, columns].sum()
+    return np.array([best - total(~mine | (rows != r)[:, None]) for r in rows])
 
 
 def match(score: np.ndarray, valid: np.ndarray) -> list[tuple[int, int, float]]:
