@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.decontaminate import OP8_SQL, op8_decontamination
 from tidemark.llm.embeddings import OP4_SQL, op4_embedding_duplicates
+from tidemark.llm.encoding import op11_encoding
 from tidemark.llm.jaccard import OP1_SQL, op1_jaccard_join
 from tidemark.llm.licenses import op3_license_scan
 from tidemark.llm.mixing import op5_mixing
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_packed_rows": op9_packed_rows,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_encoding": op11_encoding,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_jaccard_join": OP1_SQL, "op4_embedding_duplicates": OP4_SQL, "op8_decontamination": OP8_SQL, "op10_substring_dedup": OP10_SQL}
