@@ -32,9 +32,9 @@ from pyspark.sql import types as T
 from tidemark.llm.tables import fresh
 
 #: Units and pairs that a task remembers before it starts anew, and the longest unit that it remembers.
-REMEMBERED, SHORT = 500_000, 64
-#: Ids of a batch of results.
-BATCH = 1 << 20
+REMEMBERED, SHORT = 200_000, 64
+#: Rows that are taken at once, and ids of a batch of results.
+ROWS, BATCH = 500, 1 << 20
 BLANK = "▁"
 NONE = float("inf")
 
@@ -211,6 +211,12 @@ def _decoder(model: bytes) -> Decoder:
     return Decoder(Vocabulary(model))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 def _content(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -225,7 +231,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(model).encode
-        for b in batches:
+        for b in _slices(batches):
             texts, began = b.column("text").to_pylist(), 0
             while began < b.num_rows:
                 parts, ends = [], [0]
@@ -248,7 +254,7 @@ def decoded(tokens: DataFrame, path: str, into: str = "decoded") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = _decoder(model).decode
-        for b in batches:
+        for b in _slices(batches):
             ids = b.column("ids")
             flat, ends = ids.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())])
             texts = [decode(flat[ends[k] : ends[k + 1]].tolist()) for k in range(b.num_rows)]
