@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.clusters import OP13_SQL, op13_clusters
+from tidemark.llm.conversations import OP12_SQL, op12_conversation_trie
 from tidemark.llm.decontaminate import OP8_SQL, op8_decontamination
 from tidemark.llm.embeddings import OP4_SQL, op4_embedding_duplicates
 from tidemark.llm.encoding import op11_encoding
@@ -30,6 +32,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packed_rows": op9_packed_rows,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_encoding": op11_encoding,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_clusters": op13_clusters,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_jaccard_join": OP1_SQL, "op4_embedding_duplicates": OP4_SQL, "op8_decontamination": OP8_SQL, "op10_substring_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_jaccard_join": OP1_SQL,
+    "op4_embedding_duplicates": OP4_SQL,
+    "op8_decontamination": OP8_SQL,
+    "op10_substring_dedup": OP10_SQL,
+    "op12_conversation_trie": OP12_SQL,
+    "op13_clusters": OP13_SQL,
+}
