@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.aggregates import dot
+from tidemark.operators.aggregates import dot, weighted_mean_vector
 
 #: Fixed values.
 SAME, SHARE, RATIO, COMPONENTS = 0.45, 0.60, 1.5, 256
@@ -106,6 +106,17 @@ def clouds(samples: DataFrame, room: int = COMPONENTS) -> DataFrame:
     return samples.select(*WHO, *[c.split()[0] for c in OWN]).groupBy(*WHO).applyInPandas(one, CLOUD)
 
 
+def plain_clouds(samples: DataFrame) -> DataFrame:
+    """WHO, status, purity, candidates, kept, discarded, prototype and the ids of the inliers, of speakers taken to be one voice each: the weighted mean of all samples, and those near it. No grouped function."""
+    near = samples.join(weighted_mean_vector(samples, WHO), WHO).withColumn("near", dot(F.col("vector"), F.col("prototype")) >= SAME)
+    c = near.groupBy(*WHO).agg(
+        (F.coalesce(F.sum(F.when(F.col("near"), F.col("weight"))), F.lit(0.0)) / F.sum("weight")).alias("purity"), F.count("*").alias("candidates"), F.count_if("near").alias("kept"), F.sum(F.when(F.col("near"), F.col("seconds"))).alias("kept_s"),
+        F.min("prototype").alias("prototype"), F.sort_array(F.collect_list(F.when(F.col("near"), F.col("sample_idx")))).alias("ids"),
+    )
+    status = F.when(F.col("purity") < SHARE, "mixed_cluster").when((F.col("kept") >= 2) & (F.col("kept_s") >= 4), "ready").otherwise("low_support")
+    return c.select(*WHO, status.alias("status"), "purity", "candidates", "kept", (F.col("candidates") - F.col("kept")).alias("discarded"), "prototype", "ids")
+
+
 def best_assignment(score: np.ndarray) -> np.ndarray:
     """The column of each row in an assignment of greatest total (rows at most columns): shortest augmenting paths with potentials."""
     n, m = score.shape
@@ -170,12 +181,14 @@ def match(score: np.ndarray, valid: np.ndarray) -> list[tuple[int, int, float]]:
         allowed[shaky, columns[shaky]] = False
 
 
-def tentative(score: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (profile, speaker) among those left over, from a cosine of TENTATIVE on; shown, not accepted."""
+def tentative(score: np.ndarray) -> list[tuple[int, int, float]]:
+    """Pairs (profile, speaker, loss) among those left over, from a cosine of TENTATIVE on; shown, not accepted."""
     n, m = score.shape
     alone = np.where(np.eye(n, dtype=bool), TENTATIVE - 1e-6, IMPOSSIBLE)
-    columns = best_assignment(np.concatenate([np.where(score >= TENTATIVE, score, IMPOSSIBLE), alone], axis=1))
-    return [(i, int(j)) for i, j in enumerate(columns) if j < m]
+    wide = np.concatenate([np.where(score >= TENTATIVE, score, IMPOSSIBLE), alone], axis=1)
+    columns = best_assignment(wide)
+    lost = losses(wide, columns)
+    return [(i, int(j), float(lost[i])) for i, j in enumerate(columns) if j < m]
 
 
 def valid_edge() -> Column:
@@ -192,7 +205,7 @@ def _assigned(edges: pd.DataFrame) -> pd.DataFrame:
     pairs = [(i, j, loss, True) for i, j, loss in match(score.to_numpy(), valid)]
     left, free = (np.setdiff1d(np.arange(size), [p[k] for p in pairs]) for k, size in enumerate(score.shape))
     if left.size and free.size:
-        pairs += [(left[i], free[j], None, False) for i, j in tentative(score.to_numpy()[np.ix_(left, free)])]
+        pairs += [(left[i], free[j], loss, False) for i, j, loss in tentative(score.to_numpy()[np.ix_(left, free)])]
     rows = [(edges["recording_id"].iloc[0], score.index[i], score.columns[j], score.iat[i, j], held.iat[i, j], loss, ok) for i, j, loss, ok in pairs]
     return pd.DataFrame(rows, columns=[x.split()[0] for x in MATCHED.split(", ")])
 

@@ -80,32 +80,6 @@ def flt_eligible(spark: SparkSession, d: str) -> DataFrame:
     return J.overlaps(sole, V.overlap(spark, d), "window_idx").where("not has_overlap").select("recording_id", "window_idx")
 
 
-_VOTE = f"{S['sample']}, v AS (SELECT recording_id, sample_idx // 5 AS turn_idx, speaker_id, weight, 'SPEAKER_' || CAST((sample_idx * 7) % 3 AS VARCHAR) AS target FROM sample)"
-
-
-@query("agg_votes", f"WITH {_VOTE} SELECT recording_id, turn_idx, count(*) AS windows, count(DISTINCT target) = 1 AS unanimous, round(max(s) / sum(s), 6) AS share FROM (SELECT recording_id, turn_idx, target, sum(weight) AS s FROM v GROUP BY ALL) GROUP BY recording_id, turn_idx".replace("count(*) AS windows", "CAST(sum(n) AS BIGINT) AS windows").replace("sum(weight) AS s FROM", "sum(weight) AS s, count(*) AS n FROM"))
-def agg_votes(spark: SparkSession, d: str) -> DataFrame:
-    """Weight of each target for a turn; a second target vetoes."""
-    v = V.sample(spark, d).select("recording_id", F.floor(F.col("sample_idx") / 5).alias("turn_idx"), "weight", F.concat(F.lit("SPEAKER_"), (F.col("sample_idx") * 7 % 3).cast("string")).alias("target"))
-    each = v.groupBy("recording_id", "turn_idx", "target").agg(F.sum("weight").alias("s"), F.count("*").alias("n"))
-    return each.groupBy("recording_id", "turn_idx").agg(F.sum("n").alias("windows"), (F.count("*") == 1).alias("unanimous"), F.round(F.max("s") / F.sum("s"), 6).alias("share"))
-
-
-@query("prj_kind", f"WITH {S['turn']}, l AS (SELECT DISTINCT recording_id, speaker_id FROM turn) SELECT l.recording_id, l.speaker_id, CASE WHEN k.label IS NOT NULL THEN 'known' WHEN l.speaker_id = 'SPEAKER_4' THEN 'unresolved' ELSE 'unknown' END AS kind FROM l LEFT JOIN (SELECT DISTINCT label FROM embeddings WHERE label < 2) k ON l.speaker_id = 'SPEAKER_' || CAST(k.label AS VARCHAR)")
-def prj_kind(spark: SparkSession, d: str) -> DataFrame:
-    labels = V.turn(spark, d).select("recording_id", "speaker_id").distinct()
-    known = V.table(spark, d, "embeddings").where("label < 2").select(F.concat(F.lit("SPEAKER_"), F.col("label").cast("string")).alias("speaker_id"), F.lit(True).alias("known")).distinct()
-    kind = F.when(F.col("known"), "known").when(F.col("speaker_id") == "SPEAKER_4", "unresolved").otherwise("unknown")
-    return labels.join(known, "speaker_id", "left").select("recording_id", "speaker_id", kind.alias("kind"))
-
-
-@query("agg_speaker_counts", f"WITH {S['turn']}, c AS (SELECT recording_id, count(DISTINCT speaker_id) AS detected, count(DISTINCT speaker_id) FILTER (speaker_id IN ('SPEAKER_0', 'SPEAKER_1')) AS known FROM turn GROUP BY ALL) SELECT recording_id, detected, known, detected - known AS unknown, detected <> 5 AS mismatch FROM c")
-def agg_speaker_counts(spark: SparkSession, d: str) -> DataFrame:
-    known = F.when(F.col("speaker_id").isin("SPEAKER_0", "SPEAKER_1"), F.col("speaker_id"))
-    c = V.turn(spark, d).groupBy("recording_id").agg(F.countDistinct("speaker_id").alias("detected"), F.countDistinct(known).alias("known"))
-    return c.withColumns({"unknown": F.col("detected") - F.col("known"), "mismatch": F.col("detected") != 5})
-
-
 @query("vf_plan", f"WITH {S['turn']} SELECT recording_id, turn_idx, start_ms + t AS start_ms, end_ms - t AS end_ms FROM (SELECT *, CASE WHEN end_ms - start_ms >= 1200 THEN 250 ELSE 0 END AS t FROM turn) WHERE end_ms - start_ms - 2 * t >= 150")
 def vf_plan(spark: SparkSession, d: str) -> DataFrame:
     """Sentences trimmed at both ends where they are long enough; very short ones dropped."""
@@ -162,10 +136,3 @@ def set_equal_speakers(spark: SparkSession, d: str) -> DataFrame:
     """Whether a recording has the same speakers after ghosts are gone."""
     t = V.turn(spark, d).groupBy("recording_id").agg(F.array_sort(F.collect_set("speaker_id")).alias("a"), F.array_sort(F.collect_set(F.when(F.col("end_ms") - F.col("start_ms") >= 150, F.col("speaker_id")))).alias("b"))
     return t.select("recording_id", (F.col("a") == F.col("b")).alias("same"))
-
-
-@query("ivl_region_pieces", f"WITH {S['turn']}, g AS (SELECT *, CAST(greatest(1, ceil((end_ms - start_ms) / 28000)) AS BIGINT) AS n FROM turn WHERE end_ms > start_ms) SELECT recording_id, turn_idx, count(*) AS pieces, max(b - a) AS longest FROM (SELECT recording_id, turn_idx, start_ms + CAST(floor((end_ms - start_ms) * p / n) AS BIGINT) AS a, start_ms + CAST(floor((end_ms - start_ms) * (p + 1) / n) AS BIGINT) AS b FROM (SELECT *, unnest(range(0, n)) AS p FROM g)) GROUP BY ALL")
-def ivl_region_pieces(spark: SparkSession, d: str) -> DataFrame:
-    """Turns cut evenly with two seconds of room below 30 s for moving the cuts."""
-    p = I.equal(V.turn(spark, d), 28_000)
-    return p.groupBy("recording_id", "turn_idx").agg(F.count("*").alias("pieces"), F.max(F.col("end_ms") - F.col("start_ms")).alias("longest"))

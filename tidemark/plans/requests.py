@@ -48,26 +48,6 @@ def jn_scatter(spark: SparkSession, d: str) -> DataFrame:
     return R.batches(items, ["recording_id", "code_idx"], "item_idx", 16).select("recording_id", "item_idx", "code_idx", "batch", F.col("place").cast("bigint").alias("place"))
 
 
-@query(
-    "agg_rollback",
-    f"WITH {S['turn']}, l AS (SELECT recording_id, min(turn_idx) % 6 AS k FROM turn GROUP BY ALL), t AS (SELECT turn.*, k, start_ms + CASE WHEN k = 0 AND turn_idx % 5 = 0 THEN 1 ELSE 0 END AS ns, CASE WHEN k = 1 AND speaker_id = 'SPEAKER_0' THEN 'SPEAKER_1' WHEN k = 2 AND turn_idx % 2 = 0 THEN 'SPEAKER_' || CAST((CAST(substr(speaker_id, 9) AS INT) + 1) % 5 AS VARCHAR) WHEN k >= 3 AND turn_idx % 40 = 0 THEN 'SPEAKER_' || CAST((CAST(substr(speaker_id, 9) AS INT) + 1) % 5 AS VARCHAR) ELSE speaker_id END AS n FROM turn JOIN l USING (recording_id)), "
-    "a AS (SELECT recording_id, any_value(k) AS k, bool_or(start_ms <> ns) AS bent, list_sort(list(DISTINCT speaker_id)) <> list_sort(list(DISTINCT n)) AS others, sum(end_ms - start_ms) AS all_ms, coalesce(sum(end_ms - start_ms) FILTER (speaker_id <> n), 0) AS moved FROM t GROUP BY recording_id), "
-    "h AS (SELECT DISTINCT t.recording_id FROM t JOIN turn o ON o.recording_id = t.recording_id AND o.speaker_id = t.n AND t.n <> t.speaker_id AND o.end_ms > t.ns AND o.start_ms < t.end_ms AND o.end_ms > o.start_ms AND t.end_ms > t.ns) "
-    "SELECT a.recording_id, CASE WHEN bent THEN 'timeline_invariant_violation' WHEN others THEN 'speaker_count_changed' WHEN all_ms <= 0 OR moved > all_ms * 0.1::DOUBLE THEN 'reassigned_speech_exceeds_10_percent' WHEN h.recording_id IS NOT NULL THEN 'overlap_invariant_violation' WHEN k = 4 THEN 'seed_core_lost' WHEN k = 5 THEN 'ready_cloud_became_mixed_cluster' END AS reason FROM a LEFT JOIN h ON h.recording_id = a.recording_id",
-)
-def agg_rollback(spark: SparkSession, d: str) -> DataFrame:
-    """Refinements that break each invariant in turn, by the recording."""
-    t = V.turn(spark, d)
-    k = t.groupBy("recording_id").agg((F.min("turn_idx") % 6).alias("k"))
-    t = t.join(k, "recording_id")
-    after = F.concat(F.lit("SPEAKER_"), ((F.substring("speaker_id", 9, 9).cast("int") + 1) % 5).cast("string"))
-    name = F.when((F.col("k") == 1) & (F.col("speaker_id") == "SPEAKER_0"), "SPEAKER_1").when((F.col("k") == 2) & (F.col("turn_idx") % 2 == 0) | (F.col("k") >= 3) & (F.col("turn_idx") % 40 == 0), after).otherwise(F.col("speaker_id"))
-    t = t.withColumns({"new_start_ms": F.col("start_ms") + ((F.col("k") == 0) & (F.col("turn_idx") % 5 == 0)).cast("int"), "new_end_ms": F.col("end_ms"), "new_speaker_id": name})
-    seeds = k.select("recording_id", F.when(F.col("k") == 4, 2).otherwise(3).alias("kept"), F.lit(9.0).alias("kept_s"))
-    clouds = k.select("recording_id", F.lit("ready").alias("status"), F.when(F.col("k") == 5, "mixed_cluster").otherwise("ready").alias("new_status"))
-    return R.rollback_reasons(t, V.turn(spark, d), seeds, clouds)
-
-
 @query("top_changes", f"WITH {S['turn']}, c AS (SELECT recording_id, turn_idx, row_number() OVER (PARTITION BY recording_id ORDER BY turn_idx) AS k, count(*) OVER (PARTITION BY recording_id) AS n FROM turn WHERE turn_idx % 3 = 0) SELECT recording_id, turn_idx, n > 20 AS truncated FROM c WHERE k <= 20")
 def top_changes(spark: SparkSession, d: str) -> DataFrame:
     return R.first_changes(V.turn(spark, d).where("turn_idx % 3 = 0").select("recording_id", "turn_idx"), ["recording_id"], "turn_idx", 20)

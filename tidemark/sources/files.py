@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.audio import resampled
+
 RATE = 16_000
 MOST_REQUEST_BYTES = 16 << 20
 
 
 def decode_wav(content: bytes, rate: int = RATE) -> np.ndarray:
-    """Mono float32 samples at a rate: channels averaged, amplitude as it is, linear resampling."""
+    """Mono float32 samples at a rate: channels averaged, amplitude as it is, resampled by a windowed sinc."""
     with wave.open(io.BytesIO(content)) as f:
         width, channels, own = f.getsampwidth(), f.getnchannels(), f.getframerate()
         raw = f.readframes(f.getnframes())
@@ -26,10 +28,7 @@ def decode_wav(content: bytes, rate: int = RATE) -> np.ndarray:
     x = np.frombuffer(raw, {1: np.uint8, 2: "<i2", 4: "<i4"}[width]).astype(np.float32)
     x = (x - 128) / 128 if width == 1 else x / float(1 << (8 * width - 1))
     x = x.reshape(-1, channels).mean(axis=1)
-    if own != rate and x.size:
-        n = round(x.size * rate / own)
-        x = np.interp(np.arange(n) * (own / rate), np.arange(x.size), x)
-    return x.astype(np.float32)
+    return resampled(x, own, rate)
 
 
 def read_audio(spark: SparkSession, path: str, rate: int = RATE) -> DataFrame:
