@@ -60,7 +60,7 @@ def test_memory_is_bounded(monkeypatch, words, library):
     encoder = encoding.Encoder(words)
     for text in made(words, 4, 100):
         assert np.frombuffer(encoder.encode(text), np.int32).tolist() == library.encode(text)
-        assert max(len(encoder.known), len(encoder.parts), len(encoder.fits)) <= 5
+        assert max(len(m) + len(m.old) for m in (encoder.known, encoder.parts, encoder.fits)) <= 5
 
 
 def test_decoder(words, library):

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from tidemark.llm.tables import fresh
 
 #: Units and pairs that a task remembers before it starts anew, and the longest unit that it remembers.
-REMEMBERED, SHORT = 200_000, 64
+REMEMBERED, SHORT = 240_000, 64
 #: Rows that are taken at once, and ids of a batch of results.
 ROWS, BATCH = 500, 1 << 20
 BLANK = "▁"
@@ -40,16 +40,17 @@ NONE = float("inf")
 
 
 class _Memory(dict):
-    """Results of a function, made on first use and forgotten all at once when they are many."""
+    """Results of a function, made on first use. When half of what may be remembered is new, what was not used since then is forgotten."""
 
     def __init__(self, make: Callable) -> None:
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key):  # noqa: ANN001, ANN204
-        out = self.make(key)
+        out = self.old[key] if key in self.old else self.make(key)
         if len(key) <= SHORT:
-            if len(self) >= REMEMBERED:
+            if len(self) >= REMEMBERED // 2:
+                self.old = dict(self)
                 self.clear()
             self[key] = out
         return out
