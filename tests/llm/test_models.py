@@ -2,9 +2,11 @@
 
 import math
 import random
+import struct
 from collections import Counter
 
 import pytest
+import xxhash
 
 from tidemark.llm import licenses, quality
 
@@ -48,43 +50,62 @@ def test_licenses_against_common_subsequences():
     assert planted > 60 and not missed
 
 
-def loops(texts, labels, seed_keys):
-    """The model of quality_scores by dictionaries: log weights, the cut, and who is kept by given keys."""
+def drawn(doc_id, seed=1):
+    """The Gumbel noise of a doc_id: a 64-bit hash of the seed and the id as a number between 0 and 1."""
+    h = xxhash.xxh64_intdigest(struct.pack("<q", doc_id), seed=xxhash.xxh64_intdigest(struct.pack("<i", seed), seed=42))
+    return -math.log(-math.log((h % 2**52 + 0.5) / 2**52))
+
+
+def loops(texts, labels, noise):
+    """The model of quality_scores by dictionaries: log weights, keys, and who is kept."""
     half = quality.BUCKETS // 2
     places = {i: [(h % half, (h >> 32) % half + half) for h in sorted({int(x) for x in quality.features((t or "").encode())})] for i, t in texts.items()}
-    raw, target = Counter(), Counter()
     good = {i for i, (q, t) in labels.items() if q == 1 and t == 0}
-    for i, ps in places.items():
-        for p in ps:
-            raw.update(p)
-            if i in good:
-                target.update(p)
-
-    def ratio(b):
-        expected = raw[b] * len(good) / len(texts)
-        x = math.log((target[b] + 1) / (expected + 1))
-        return x if abs(target[b] - expected) > quality.SIGMAS * math.sqrt(expected + 1) and abs(x) > math.log(quality.FACTOR) else 0.0
-
-    weights = {}
-    for i, ps in places.items():
+
+    def weight(i, raw, target, n_raw, n_target):
+        def ratio(b):
+            expected = raw[b] * n_target / n_raw
+            z = (abs(target[b] - expected) / math.sqrt(expected + 1)) ** 8
+            return math.log((target[b] + 1) / (expected + 1)) * z / (z + 3.0**8)
+
         w = 0.0
-        for a, b in ps:
+        for a, b in places[i]:
             x, y = ratio(a), ratio(b)
             if x * y > 0:
                 w += min(x, y, key=abs)
-        weights[i] = w
-    known = sorted({weights[i] for i in labels})
+        return w
+
+    def counts(ids):
+        c = Counter()
+        for i in ids:
+            for p in places[i]:
+                c.update(p)
+        return c
+
+    raw, target = counts(places), counts(good)
+    weights = {i: weight(i, raw, target, len(texts), len(good)) for i in texts}
+    held = {}
+    for i in labels:
+        own = counts([i])
+        less = raw.copy()
+        less.subtract(own)
+        rest = target.copy()
+        rest.subtract(own if i in good else Counter())
+        held[i] = weight(i, less, rest, len(texts) - 1, len(good) - (i in good))
+    known = sorted(set(held.values()))
     cuts = [known[0], *((a + b) / 2 for a, b in zip(known, known[1:]))]
     bad = set(labels) - good
-    score = lambda c: sum(weights[i] < c for i in bad) / len(bad) - sum(weights[i] < c for i in good) / len(good)
+    score = lambda c: sum(held[i] < c for i in bad) / len(bad) - sum(held[i] < c for i in good) / len(good)
     best = max(score(c) for c in cuts)
     cut = next(c for c in cuts if score(c) > best - 1e-12)
     k = sum(w >= cut for w in weights.values())
-    least = sorted(seed_keys.values(), reverse=True)[k - 1]
-    return weights, {i for i, x in seed_keys.items() if x >= least}
+    keys = {i: w + noise * drawn(i) for i, w in weights.items()}
+    least = sorted(keys.values(), reverse=True)[k - 1]
+    return weights, keys, {i for i, x in keys.items() if x >= least}, {i for i, w in weights.items() if w >= cut}
 
 
-def test_quality_against_loops(spark):
+@pytest.mark.parametrize("noise", [quality.NOISE, 2.0])
+def test_quality_against_loops(spark, noise):
     r = random.Random(7)
     texts, labels = {}, {}
     for i in range(400):
@@ -98,7 +119,9 @@ def test_quality_against_loops(spark):
     texts |= {400: None, 401: "", 402: texts[0]}
     table = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
     marks = spark.createDataFrame([(i, *x) for i, x in labels.items()], "doc_id bigint, quality int, toxic int")
-    got = {x.doc_id: x for x in quality.quality_scores(table, marks).collect()}
-    weights, kept = loops(texts, labels, {i: x.key for i, x in got.items()})
+    got = {x.doc_id: x for x in quality.quality_scores(table, marks, noise=noise).collect()}
+    weights, keys, kept, above = loops(texts, labels, noise)
     assert {i: x.log_weight for i, x in got.items()} == pytest.approx(weights, abs=1e-4)
+    assert {i: x.key for i, x in got.items()} == pytest.approx(keys, abs=1e-4)
     assert {i for i, x in got.items() if x.kept} == kept and 0 < len(kept) < len(texts) and min(weights.values()) < 0
+    assert len(kept) == len(above) and (noise < 1 or kept != above)  # the draw decides near the cut

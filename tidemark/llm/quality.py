@@ -1,13 +1,16 @@
 """Quality classifier by importance resampling: hashed n-gram models of target and raw text, Gumbel top-k.
 
-Tokens (runs of letters, digits and non-ASCII bytes; runs of other visible bytes) pairs of neighbouring tokens and the heads of words are hashed
-into buckets, each into one of either half of a table; of its two ratios the weaker counts, so that a chance meeting in one bucket is harmless. The raw model counts, in every bucket, the documents of the whole corpus that hold each of its tokens; the target model does so for documents
-labelled good. A bucket's log ratio is kept where the two counts differ beyond chance and by more than a factor, else it
-is 0, so that rare words carry no noise. A document's log weight sums the ratios of its distinct tokens and pairs. Its key is
-the log weight plus Gumbel noise (drawn from a hash of doc_id), and the k documents of largest key are chosen: a
+Tokens (runs of letters, digits and non-ASCII bytes; runs of other visible bytes), pairs of neighbouring tokens and the heads of words are hashed
+into buckets, each into one of either half of a table, as into two models; of the two ratios the more cautious one counts, so that a chance meeting in one bucket is harmless.
+A model says how probable it is that a document holds a bucket: the raw model by counts over the whole corpus, the target model by counts over documents
+labelled good. The log ratio of the two, smoothed by one document, is shrunk by how surely the counts differ: by z**8 / (z**8 + SURE**8), where z is
+their difference in standard deviations. So a ratio of rare words is small and never cut off, and it grows with the evidence at every size of the corpus.
+A document's log weight sums the ratios of its distinct buckets' n-grams (repeats within a document would let one line outweigh the rest). Its key is
+the log weight plus Gumbel noise (drawn from a hash of doc_id) of scale NOISE, and the k documents of largest key are chosen: a
 sample without replacement in proportion to the weights, sharpened by the noise's scale.
 
-k counts the documents whose log weight reaches a cut; the cut is the one that separates best among the labelled rows. The labelled
+k counts the documents whose log weight reaches a cut; the cut is the one that separates best among the labelled rows, each weighed by models from
+which its own counts are taken away, since a row that a model was made of always looks like it. The labelled
 rows are at most MOST_LABELLED (a sample by hash); everything else runs over all rows.
 
 Defined results: a null or empty text has log weight 0; rows with the same doc_id draw the same noise; a document with
@@ -30,9 +33,10 @@ from tidemark.llm.tables import fresh, saved
 
 BUCKETS = 1 << 18
 MOST_LABELLED = 40_000
-#: A ratio counts if the counts differ by so many standard deviations and by this factor.
-SIGMAS, FACTOR = 4.0, 1.6
-NOISE = 0.05
+#: Standard deviations at which a ratio counts half, and how steeply its share rises.
+SURE, STEEP = 3.0, 8
+#: The scale of the Gumbel noise.
+NOISE = 0.25
 #: Bytes of the heads of words that are features of their own.
 HEADS = (4, 5, 6)
 #: Bytes of a text that are hashed at a time.
@@ -81,10 +85,14 @@ def places(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return (h % half).astype(np.int64), ((h >> np.uint64(32)) % half + half).astype(np.int64)
 
 
-def log_weight(text: bytes, ratios: np.ndarray) -> float:
-    """The sum over a text's distinct features of the weaker of their two ratios; 0 where these differ in sign."""
-    h = features(text)
-    x, y = (ratios[p] for p in places(h, len(ratios)))
+def ratio(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """The log ratio of counts in target documents to those expected by the raw model, shrunk by how surely they differ."""
+    z = (np.abs(seen - expected) / np.sqrt(expected + 1)) ** STEEP
+    return np.log((seen + 1) / (expected + 1)) * z / (z + SURE**STEEP)
+
+
+def _sum(h: np.ndarray, x: np.ndarray, y: np.ndarray) -> float:
+    """The sum over distinct hashes of the weaker of two ratios; 0 where these differ in sign."""
     some = np.flatnonzero(x * y > 0)
     if not some.size:
         return 0.0
@@ -93,6 +101,22 @@ def log_weight(text: bytes, ratios: np.ndarray) -> float:
     return float(np.where(np.abs(x) < np.abs(y), x, y).sum(dtype=np.float64))
 
 
+def log_weight(text: bytes, ratios: np.ndarray) -> float:
+    """The sum over a text's distinct features of the weaker of their two ratios."""
+    h = features(text)
+    return _sum(h, *(ratios[p] for p in places(h, len(ratios))))
+
+
+def held_out_weight(text: bytes, good: bool, target: np.ndarray, raw: np.ndarray) -> float:
+    """The log weight of a document by models from which its own counts are taken away."""
+    h = distinct(features(text))
+    share = (target[-1] - good) / max(1, raw[-1] - 1)
+    # a document counts once for each of its hashes, also where two of them share a bucket
+    at = [np.unique(p, return_inverse=True, return_counts=True) for p in places(h, len(raw) - 1)]
+    own = [n[back] for _, back, n in at]
+    return _sum(h, *(ratio(np.maximum(target[p] - good * n, 0), np.maximum(raw[p] - n, 0) * share) for p, n in zip(places(h, len(raw) - 1), own)))
+
+
 def _counts(buckets: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = np.zeros(buckets + 1, np.int64)
@@ -116,13 +140,10 @@ def document_counts(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
 
 
 def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """By bucket, the log ratio of its share in target documents to that in all, where it is beyond chance."""
+    """By bucket, the shrunk log ratio of its share in target documents to that in all."""
     if not target[-1] or not raw[-1]:
         return np.zeros(len(raw) - 1, np.float32)
-    seen, expected = target[:-1], raw[:-1] * target[-1] / raw[-1]
-    ratio = np.log((seen + 1) / (expected + 1))
-    sure = (np.abs(seen - expected) > SIGMAS * np.sqrt(expected + 1)) & (np.abs(ratio) > np.log(FACTOR))
-    return np.where(sure, ratio, 0).astype(np.float32)
+    return ratio(target[:-1], raw[:-1] * target[-1] / raw[-1]).astype(np.float32)
 
 
 def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
@@ -148,6 +169,18 @@ def weighted(docs: DataFrame, ratios: np.ndarray, name: str = "_log_weight") ->
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
+def held_out(rows: DataFrame, target: np.ndarray, raw: np.ndarray) -> DataFrame:
+    """log_weight, good of labelled rows (text, _good), each without its own counts; the counts (4 MB, whatever the input) go with the function."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = b.column("_good").to_pylist()
+            w = [held_out_weight(t, g, target, raw) if t and target[-1] > g else 0.0 for t, g in zip(as_bytes(b.column("text")), good)]
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.float64()), pa.array(good)], ["log_weight", "good"])
+
+    return rows.select("text", "_good").mapInArrow(run, "log_weight double, good boolean")
+
+
 def _key(seed: int, noise: float, name: str = "_log_weight") -> Column:
     """The log weight plus Gumbel noise."""
     u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
@@ -184,9 +217,10 @@ class Resampling:
         marks = marks.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most_labelled)
         marks = F.broadcast(saved(marks.select(F.col("doc_id").alias("_id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("_good")), "labelled"))
         near = saved(docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_good"), "labelled-texts")
-        self.ratios = log_ratios(document_counts(near.where("_good"), buckets), document_counts(docs, buckets))
-        known = weighted(near, self.ratios).select("_log_weight", "_good").toPandas()
-        self.cut = best_cut(known["_log_weight"].to_numpy(), known["_good"].to_numpy(bool))
+        target, raw = document_counts(near.where("_good"), buckets), document_counts(docs, buckets)
+        self.ratios = log_ratios(target, raw)
+        known = held_out(near, target, raw).toPandas()
+        self.cut = best_cut(known["log_weight"].to_numpy(), known["good"].to_numpy(bool))
         self.seed, self.noise = seed, noise
         self.rows = saved(weighted(docs.select("doc_id", "text"), self.ratios).select("doc_id", F.col("_log_weight").alias("log_weight"), _key(seed, noise).alias("key")), "weights")
         self.k = self.rows.where(F.col("log_weight") >= self.cut).count()
