@@ -126,3 +126,15 @@ def test_empty_tables(spark):
     bench, marks = spark.createDataFrame([], "item_id bigint, text string"), spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     for out in (mixing.mixed(none), decontaminate.decontaminated(none, bench), quality.resampled(none, marks), jaccard.one_of_each(none)):
         assert out.columns == none.columns and out.count() == 0
+
+
+def test_near_duplicates_of_clashing_ids(spark):
+    """Rows that share a doc_id are judged each by its text: what is linked with nothing stays, of linked and of equal rows one does."""
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(30)) for k in "abcd")
+    rows = [(1, a, "x"), (2, a + " more", "x"), (2, b, "x"), (3, c, "x"), (3, d, "x"), (3, d, "y"), (4, None, "x"), (4, "", "x"), (None, a, "x"), (5, b, "x"), (6, d.upper(), "x")]
+    for n in (1, 4):
+        table = spark.createDataFrame(rows, "doc_id bigint, text string, _set string").repartition(n)
+        kept = jaccard.one_of_each(table)
+        assert kept.columns == table.columns
+        got = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
+        assert got == sorted([(1, a), (2, b), (3, c), (3, d), (4, ""), (4, ""), (0, a)])

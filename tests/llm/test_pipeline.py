@@ -22,7 +22,7 @@ def test_stages(spark, tmp_path):
     for i in range(5, 60, 10):
         texts[i + 1] = texts[i] + " more"
     texts[70] = item + " " + texts[70]
-    rows = [(i, t, "en", f"s{i % 4}", len(t)) for i, t in enumerate(texts)] + [(500, None, "en", None, 0), (501, "", "en", "s1", 0)]
+    rows = [(i, t, "en", f"s{i % 4}", len(t)) for i, t in enumerate(texts)] + [(600, None, "en", None, 0), (601, "", "en", "s1", 0)]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, int("awful" in t)) for i, t in enumerate(texts) if i % 3 == 0 or i % 5 == 0], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -36,7 +36,7 @@ def test_stages(spark, tmp_path):
         kept[name] = {x.doc_id: x.text for x in docs.collect()}
         if name == "mixing":
             times = Counter(x.doc_id for x in docs.select("doc_id").collect())
-    assert set(kept["quality"]) == {i for i, t in enumerate(texts) if "awful" not in t} | {500, 501}
+    assert set(kept["quality"]) == {i for i, t in enumerate(texts) if "awful" not in t} | {600, 601}
     ids = sorted(kept["quality"])
     sets = [shingles(kept["quality"][i], 5) for i in ids]
     links = [(a, b) for a, b in itertools.combinations(range(len(ids)), 2) if sets[a] and sets[b] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]

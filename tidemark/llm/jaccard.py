@@ -30,10 +30,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.components import connected_components
 from tidemark.llm.kernels import LOWER, as_bytes, distinct, grams, mix, signed, span_hashes, word_spans
-from tidemark.llm.tables import forget, release, saved, small
+from tidemark.llm.tables import forget, fresh, release, saved, small
 
 BINS = 32
 #: Classes that a prefix shingle brings together directly; beyond, they make a family. Families within families, at most.
@@ -61,6 +62,22 @@ def _lists(parts: list[np.ndarray], kind: np.dtype = np.int64) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
+def _names(sets: list[np.ndarray]) -> np.ndarray:
+    """A hash of each set."""
+    return signed(np.array([mix(x * np.uint64(0x94D049BB133111EB)).sum(dtype=np.uint64) + np.uint64(x.size) for x in sets], np.uint64))
+
+
+def with_sets(docs: DataFrame, name: str, width: int) -> DataFrame:
+    """docs with the hash of each row's set as `name`, null where it is empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t or b"", width) for t in as_bytes(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_names(sets), mask=np.array([not x.size for x in sets], bool))], [*b.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+
+
 def _sets(docs: DataFrame, width: int, percent: int, whole: bool) -> DataFrame:
     """doc_id, n, s (the set's hash) and part: its screening prefix, or with whole all of it, and its counts by hash range."""
 
@@ -69,8 +86,7 @@ def _sets(docs: DataFrame, width: int, percent: int, whole: bool) -> DataFrame:
             ids, texts = b.column("doc_id"), as_bytes(b.column("text"))
             for lo in range(0, len(texts), 500):
                 sets = [shingle_set(t or b"", width) for t in texts[lo : lo + 500]]
-                keys = np.array([mix(x * np.uint64(0x94D049BB133111EB)).sum(dtype=np.uint64) + np.uint64(x.size) for x in sets], np.uint64)
-                cols = [ids.slice(lo, 500), pa.array([x.size for x in sets], pa.int64()), pa.array(signed(keys))]
+                cols = [ids.slice(lo, 500), pa.array([x.size for x in sets], pa.int64()), pa.array(_names(sets))]
                 if whole:
                     bins = _lists([np.bincount((x >> np.uint64(59)).astype(np.int64), minlength=BINS) for x in sets], np.int32)
                     yield pa.RecordBatch.from_arrays([*cols, _lists([signed(x) for x in sets]), bins], ["doc_id", "n", "s", "part", "bins"])
@@ -275,16 +291,22 @@ class _Join:
         return self._save(connected_components(links.withColumnsRenamed({"a": "u", "b": "v"})).select(F.col("id").alias("s"), F.col("component").alias("label")), "labels")
 
 
+def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, s, n_shingles, label (of its group; null without shingles) of each row of docs, saved."""
+    join = _Join(docs, width, percent)
+    rows = join.docs.join(small(join.labels(), 16), "s", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "s")))
+    rows = saved(rows.select("doc_id", "s", F.col("n").alias("n_shingles"), "label"), "rows")
+    join.close()
+    forget(join.docs)
+    return rows
+
+
 def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs (doc_id, text, ...); percent: the least Jaccard similarity.
 
     component_id is the smallest doc_id of the documents reachable by links, the row's own included.
     """
-    join = _Join(docs, width, percent)
-    rows = join.docs.join(small(join.labels(), 16), "s", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "s")))
-    rows = saved(rows.select("doc_id", F.col("n").alias("n_shingles"), "label"), "rows")
-    join.close()
-    forget(join.docs)
+    rows = _labelled(docs, width, percent)
     least = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("c")).where("c > 1").drop("c")
     # where the groups are few, a large one need not meet in one task
     return rows.join(small(saved(least, "least"), 32), "label", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -299,21 +321,30 @@ def jaccard_links(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[D
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group, the one of smallest doc_id; rows without doc_id stay.
+    """docs with one document of each group, the one of smallest doc_id (of several with that id, the one of the smallest set hash, and of equal rows one); rows without doc_id stay.
 
-    The ids that go are measured: few are broadcast, many are joined by a shuffle.
+    A row is known by doc_id and its set of shingles, so that different texts under one doc_id go each by its own group; rows without shingles link with nothing, and
+    stay as they are. What goes is measured: few are broadcast, many are joined by a shuffle.
     """
-    groups = saved(jaccard_groups(docs, width, percent), "groups")
-    gone = saved(groups.where("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    gone = small(gone, 16)
-    kept = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
-    twice = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice"))
-    twice = saved(twice, "twice")
-    if twice.isEmpty():
-        return kept
-    twice = small(twice, 16)
-    more = kept.join(twice, kept["doc_id"] == twice["twice"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, kept["doc_id"] == twice["twice"], "left_anti").union(more)
+    rows = _labelled(docs, width, percent).where("doc_id is not null and label is not null")
+    least = rows.groupBy("label").agg(F.min(F.struct("doc_id", "s")).alias("first"), F.count("*").alias("c")).where("c > 1")
+    members = rows.join(small(saved(least, "least"), 40), "label")
+    ids = saved(rows.groupBy("doc_id").agg(F.countDistinct("s").alias("sets"), F.count("*").alias("c")).where("c > 1").select("doc_id", "sets"), "ids")
+    gone = saved(members.where("doc_id != first.doc_id or s != first.s").select("doc_id", "s").distinct(), "gone")
+    if ids.isEmpty():  # a doc_id names one row
+        gone = small(saved(gone.select(F.col("doc_id").alias("gone")), "gone"), 16)
+        return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    # rows that share a doc_id: their sets are made again, in rows of those ids only
+    mark = fresh("_set", docs)
+    twice = small(saved(ids.select(F.col("doc_id").alias("twice")), "twice"), 16)
+    single = gone.join(twice, gone["doc_id"] == twice["twice"], "left_anti").select(F.col("doc_id").alias("gone"))
+    single = small(saved(single, "gone"), 16)
+    once = docs.join(twice, docs["doc_id"] == twice["twice"], "left_anti").join(single, docs["doc_id"] == single["gone"], "left_anti")
+    several = with_sets(docs.join(twice, docs["doc_id"] == twice["twice"], "left_semi"), mark, width)
+    pair = gone.select(F.col("doc_id").alias("gone"), F.col("s").alias("gone_set"))
+    several = several.join(pair, (several["doc_id"] == pair["gone"]) & (several[mark] == pair["gone_set"]), "left_anti")
+    bare = several.where(F.col(mark).isNull()).drop(mark)
+    return once.unionByName(several.where(F.col(mark).isNotNull()).dropDuplicates(["doc_id", mark]).drop(mark)).unionByName(bare)
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
