@@ -19,10 +19,15 @@ def clamped_overlaps(overlaps: DataFrame, length: Column) -> DataFrame:
     return rows.withColumns({"start_ms": F.greatest(F.col("start_ms"), F.lit(0)), "end_ms": F.least(F.col("end_ms"), length)})
 
 
-def valid_payloads(turns: DataFrame, key: str = "recording_id") -> DataFrame:
-    """key, turns, violations, valid: a payload with one bad turn is bad as a whole."""
-    bad = F.col("start_ms").isNull() | F.col("end_ms").isNull() | (F.col("start_ms") < 0) | (F.col("end_ms") <= F.col("start_ms")) | F.col("speaker_id").isNull() | (F.trim("speaker_id") == "")
-    rows = turns.groupBy(key).agg(F.count("*").alias("turns"), F.count_if(F.coalesce(bad, F.lit(True))).alias("violations"))
+def valid_payloads(turns: DataFrame, overlaps: DataFrame | None = None, key: str = "recording_id") -> DataFrame:
+    """key, turns, violations, valid: a payload with one bad turn or overlap is bad as a whole. An overlap (start_ms, end_ms, speaker_ids) needs two different speakers or more."""
+    bounds = F.col("start_ms").isNull() | F.col("end_ms").isNull() | (F.col("start_ms") < 0) | (F.col("end_ms") <= F.col("start_ms"))
+    bad = F.coalesce(bounds | F.col("speaker_id").isNull() | (F.trim("speaker_id") == ""), F.lit(True))
+    rows = turns.select(key, F.lit(1).alias("turn"), bad.alias("bad"))
+    if overlaps is not None:
+        names = F.array_distinct(F.filter(F.transform("speaker_ids", lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
+        rows = rows.union(overlaps.select(key, F.lit(0), F.coalesce(bounds | (F.size(names) < 2), F.lit(True))))
+    rows = rows.groupBy(key).agg(F.sum("turn").alias("turns"), F.count_if("bad").alias("violations"))
     return rows.withColumn("valid", F.col("violations") == 0)
 
 

@@ -1,18 +1,44 @@
 """Ordered folds whose next step depends on what has gathered so far.
 
-Each runs in one pass over a key's sorted rows in a grouped function that carries a few numbers, so that its work is linear in the rows.
+Rows are dealt out by their keys and sorted there; a task streams through all keys that it holds and carries a few numbers, which it forgets where the key changes. So work is linear in
+the rows, costs nothing for a key, and no key's history is held at once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+#: What a fold is given of a key's rows, one after the other and None at the end, and the rows that it gives back each time.
+Step = Callable[[tuple | None], list[tuple]]
+
+
+def folded(rows: DataFrame, keys: Sequence[str], order: Sequence[str], schema: T.StructType, fold: Callable[[], Step]) -> DataFrame:
+    """What a new fold for each key gives for the key's rows in order."""
+    at, arrow = [rows.columns.index(k) for k in keys], to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, step, out = None, None, []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                own = tuple(row[i] for i in at)
+                if step is None or own != key:
+                    out += step(None) if step else []
+                    key, step = own, fold()
+                out += step(row)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+                out = []
+        if step and (out := step(None)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def _added(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
@@ -23,43 +49,58 @@ def quota(events: DataFrame, keys: Sequence[str], order: str, size: str, most_on
     """keys, order and `admitted` of events: a file above most_one, or that would take its key above most_all, is turned away and takes no room."""
     rows = events.select(*keys, order, size)
 
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([order, size])
-        used, admitted = 0, []
-        for n in g[size].tolist():
-            admitted.append(n <= most_one and used + n <= most_all)
-            used += n * admitted[-1]
-        return g.assign(admitted=admitted)
+    def fold() -> Step:
+        used = 0
+
+        def step(row: tuple | None) -> list[tuple]:
+            nonlocal used
+            if row is None:
+                return []
+            admitted = row[-1] <= most_one and used + row[-1] <= most_all
+            used += row[-1] * admitted
+            return [(*row, admitted)]
 
-    return rows.groupBy(*keys).applyInPandas(one, _added(rows, "admitted", T.BooleanType())).drop(size)
+        return step
+
+    return folded(rows, keys, [order, size], _added(rows, "admitted", T.BooleanType()), fold).drop(size)
 
 
 def superchunks(df: DataFrame, most: int = 25_000, start: str = "start_ms", end: str = "end_ms") -> DataFrame:
     """Greedy chunks of a recording's intervals in order: a chunk grows while an interval's end is at most so far from the chunk's own start, and ends where its last interval does."""
-    schema = f"recording_id string, chunk_idx bigint, {start} {df.schema[start].dataType.simpleString()}, {end} {df.schema[end].dataType.simpleString()}, regions bigint"
+    rows = df.select("recording_id", start, end)
+    number = lambda name: T.StructField(name, T.LongType())
+    schema = T.StructType([rows.schema["recording_id"], number("chunk_idx"), rows.schema[start], rows.schema[end], number("regions")])
+
+    def fold() -> Step:
+        done, chunk = 0, None
+
+        def step(row: tuple | None) -> list[tuple]:
+            nonlocal done, chunk
+            out = []
+            if chunk and (row is None or row[2] - chunk[2] > most):
+                out, done, chunk = [tuple(chunk)], done + 1, None
+            if row is not None:
+                who, a, b = row
+                chunk = [who, done, chunk[2] if chunk else a, b, chunk[4] + 1 if chunk else 1]
+            return out
 
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([start, end])
-        chunks: list[list] = []
-        for a, b in zip(g[start].tolist(), g[end].tolist()):
-            if not chunks or b - chunks[-1][0] > most:
-                chunks.append([a, b, 0])
-            chunks[-1][1] = b
-            chunks[-1][2] += 1
-        out = pd.DataFrame(chunks, columns=[start, end, "regions"])
-        return out.assign(recording_id=g["recording_id"].iloc[0], chunk_idx=np.arange(len(out)))[["recording_id", "chunk_idx", start, end, "regions"]]
+        return step
 
-    return df.select("recording_id", start, end).groupBy("recording_id").applyInPandas(one, schema)
+    return folded(rows, ["recording_id"], [start, end], schema, fold)
 
 
 def detection_units(pieces: DataFrame, short: int = 1500, enough: int = 8000, span: int = 25_000) -> DataFrame:
     """pieces (recording_id, piece_idx, start_ms, end_ms) with `unit`: short pieces in a row share one while its speech is under `enough` and it spans at most `span`."""
     rows = pieces.select("recording_id", "piece_idx", "start_ms", "end_ms")
 
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["start_ms", "end_ms", "piece_idx"])
-        unit, speech, began, units = -1, 0, None, []
-        for a, b in zip(g["start_ms"].tolist(), g["end_ms"].tolist()):
+    def fold() -> Step:
+        unit, speech, began = -1, 0, None
+
+        def step(row: tuple | None) -> list[tuple]:
+            nonlocal unit, speech, began
+            if row is None:
+                return []
+            who, piece, a, b = row
             brief = b - a < short
             if not (brief and began is not None and speech < enough and b - began <= span):
                 unit, speech, start = unit + 1, 0, a
@@ -67,10 +108,12 @@ def detection_units(pieces: DataFrame, short: int = 1500, enough: int = 8000, sp
                 start = began
             speech += b - a
             began = start if brief else None  # a long piece closes its unit
-            units.append(unit)
-        return g.assign(unit=units)
+            return [(who, piece, unit)]
+
+        return step
 
-    return rows.groupBy("recording_id").applyInPandas(one, _added(rows, "unit", T.LongType())).select("recording_id", "piece_idx", "unit")
+    schema = T.StructType([rows.schema["recording_id"], rows.schema["piece_idx"], T.StructField("unit", T.LongType())])
+    return folded(rows, ["recording_id"], ["start_ms", "end_ms", "piece_idx"], schema, fold)
 
 
 def budget(spans: DataFrame, keys: Sequence[str], rank: str, most: int, start: str = "start_ms", end: str = "end_ms") -> DataFrame:

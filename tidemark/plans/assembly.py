@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import aggregates as A
@@ -37,10 +37,20 @@ def src_dia_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return Y.clamped_overlaps(t, F.lit(80_000_000))
 
 
-@query("src_dia_validate", f"WITH {S['turn']}, p AS (SELECT recording_id, start_ms, end_ms, CASE WHEN turn_idx % 40 = 0 THEN ' ' ELSE speaker_id END AS speaker_id FROM turn) SELECT recording_id, count(*) AS turns, count(*) FILTER (start_ms < 0 OR end_ms <= start_ms OR trim(speaker_id) = '') AS violations, count(*) FILTER (start_ms < 0 OR end_ms <= start_ms OR trim(speaker_id) = '') = 0 AS valid FROM p GROUP BY ALL")
+@query(
+    "src_dia_validate",
+    f"""WITH {S['turn']}, p AS (SELECT recording_id, start_ms, end_ms, CASE WHEN turn_idx % 40 = 0 THEN ' ' ELSE speaker_id END AS speaker_id FROM turn),
+o AS (SELECT *, lead(start_ms) OVER w AS s, lead(end_ms) OVER w AS e, lead(speaker_id) OVER w AS other FROM turn WINDOW w AS (PARTITION BY recording_id ORDER BY start_ms, turn_idx)),
+b AS (SELECT recording_id, 1 AS turn, start_ms < 0 OR end_ms <= start_ms OR trim(speaker_id) = '' AS bad FROM p UNION ALL SELECT recording_id, 0, s >= least(end_ms, e) OR other = speaker_id FROM o WHERE s < end_ms)
+SELECT recording_id, CAST(sum(turn) AS BIGINT) AS turns, count(*) FILTER (bad) AS violations, count(*) FILTER (bad) = 0 AS valid FROM b GROUP BY ALL""",
+)
 def src_dia_validate(spark: SparkSession, d: str) -> DataFrame:
-    """Recordings as payloads; every fortieth turn names no speaker."""
-    return Y.valid_payloads(V.turn(spark, d).withColumn("speaker_id", F.when(F.col("turn_idx") % 40 == 0, " ").otherwise(F.col("speaker_id"))))
+    """Recordings as payloads; every fortieth turn names no speaker, and where a turn meets the next one they overlap, some by one speaker."""
+    t = V.turn(spark, d)
+    w = Window.partitionBy("recording_id").orderBy("start_ms", "turn_idx")
+    o = t.withColumns({"s": F.lead("start_ms").over(w), "e": F.lead("end_ms").over(w), "other": F.lead("speaker_id").over(w)}).where("s < end_ms")
+    o = o.select("recording_id", F.col("s").alias("start_ms"), F.least("end_ms", "e").alias("end_ms"), F.array("speaker_id", "other").alias("speaker_ids"))
+    return Y.valid_payloads(t.withColumn("speaker_id", F.when(F.col("turn_idx") % 40 == 0, " ").otherwise(F.col("speaker_id"))), o)
 
 
 @query(

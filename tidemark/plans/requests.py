@@ -11,6 +11,7 @@ from tidemark.operators import folds as D
 from tidemark.operators import requests as R
 from tidemark.sources import views as V
 from tidemark.sources.views import SQL as S
+from tidemark.streaming import blobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -48,9 +49,9 @@ def jn_scatter(spark: SparkSession, d: str) -> DataFrame:
     return R.batches(items, ["recording_id", "code_idx"], "item_idx", 16).select("recording_id", "item_idx", "code_idx", "batch", F.col("place").cast("bigint").alias("place"))
 
 
-@query("top_changes", f"WITH {S['turn']}, c AS (SELECT recording_id, turn_idx, row_number() OVER (PARTITION BY recording_id ORDER BY turn_idx) AS k, count(*) OVER (PARTITION BY recording_id) AS n FROM turn WHERE turn_idx % 3 = 0) SELECT recording_id, turn_idx, n > 20 AS truncated FROM c WHERE k <= 20")
+@query("top_changes", f"WITH {S['turn']}, c AS (SELECT recording_id, turn_idx, row_number() OVER (PARTITION BY recording_id ORDER BY turn_idx) AS k, count(*) OVER (PARTITION BY recording_id) AS n FROM turn) SELECT recording_id, turn_idx, n > 20 AS truncated FROM c WHERE k <= 20")
 def top_changes(spark: SparkSession, d: str) -> DataFrame:
-    return R.first_changes(V.turn(spark, d).where("turn_idx % 3 = 0").select("recording_id", "turn_idx"), ["recording_id"], "turn_idx", 20)
+    return R.first_changes(V.turn(spark, d).select("recording_id", "turn_idx"), ["recording_id"], "turn_idx", 20)
 
 
 @query("top_load_cycle", "WITH f AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS n FROM documents), r AS (SELECT unnest(range(0, 2 * n + 7)) AS request FROM (SELECT count(*) AS n FROM documents)) SELECT requests, count(*) AS files FROM (SELECT f.doc_id, count(*) AS requests FROM r JOIN f ON r.request % f.n = f.k GROUP BY ALL) GROUP BY ALL")
@@ -61,12 +62,18 @@ def top_load_cycle(spark: SparkSession, d: str) -> DataFrame:
     return plan.groupBy("doc_id").agg(F.count("*").alias("requests")).groupBy("requests").agg(F.count("*").alias("files"))
 
 
-@query("jn_history_blob", f"WITH {S['history']} SELECT h.history_id, h.mode, c.c_custkey IS NOT NULL AS has_blob, CASE WHEN c.c_custkey IS NOT NULL THEN '/history/' || CAST(h.history_id AS VARCHAR) || '/audio' END AS url FROM history h LEFT JOIN customer c ON c.c_custkey = h.key_id AND c.c_custkey % 2 = 0")
+@query(
+    "jn_history_blob",
+    f"WITH {S['history']}, c AS (SELECT history_id, duration_ms <= 250000 AS ok FROM history WHERE retry_of IS NULL AND duration_ms IS NOT NULL), s AS (SELECT history_id, CASE WHEN ok THEN 'available' ELSE 'file_too_large' END AS status FROM c UNION ALL SELECT h.history_id, 'available' FROM history h JOIN c ON c.history_id = h.retry_of AND c.ok) "
+    "SELECT CAST(h.history_id AS VARCHAR) AS history_id, h.mode, coalesce(s.status = 'available', false) AS has_blob, CASE WHEN s.status = 'available' THEN '/history/' || CAST(h.history_id AS VARCHAR) || '/audio' END AS url, s.status AS blob_status FROM history h LEFT JOIN s ON s.history_id = h.history_id",
+)
 def jn_history_blob(spark: SparkSession, d: str) -> DataFrame:
-    """Entries with the place of their recording, which every second customer has kept."""
-    blobs = V.table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key_id"), F.lit(True).alias("b"))
-    h = V.history(spark, d).join(blobs, "key_id", "left")
-    return h.select("history_id", "mode", F.coalesce("b", F.lit(False)).alias("has_blob"), F.when(F.col("b"), F.concat(F.lit("/history/"), F.col("history_id").cast("string"), F.lit("/audio"))).alias("url"))
+    """Entries with the place of their recording in the blob store; retries share the blob of the entry that they repeat."""
+    h = V.history(spark, d).withColumn("history_id", F.col("history_id").cast("string"))
+    retry = F.col("retry_of").isNotNull()
+    events = h.where(retry | F.col("duration_ms").isNotNull()).select(F.col("history_id").cast("bigint").alias("seq"), F.when(retry, "retry").otherwise("capture").alias("kind"), "history_id", F.col("retry_of").cast("string").alias("of"), F.when(~retry, F.col("duration_ms")).alias("size_bytes"), F.lit("audio").alias("filename"))
+    state = blobs.after(blobs.entries(spark, "", -1), events, 250_000, 1 << 60)
+    return blobs.public(h.select("history_id", "mode"), state)
 
 
 _HEADER = "CASE conv_id % 5 WHEN 0 THEN ' OFF ' WHEN 1 THEN '0' WHEN 2 THEN 'false' WHEN 3 THEN NULL ELSE 'on' END"
