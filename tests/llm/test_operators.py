@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 from collections import Counter
@@ -247,6 +248,25 @@ def test_mixing_fills_past_long_documents(spark):
         assert Counter(x.doc_id for x in mixing.mixed(table, blocks=8, shards=4, seed=seed).collect()) == Counter({x.doc_id: x.times for x in got if x.times})
 
 
+def test_mixing_draws_again_to_fill(spark):
+    """What is left is below every document that could be drawn again, none is drawn more than three times, and reruns agree."""
+    r = random.Random(5)
+    texts = {i: " ".join(["w"] * r.choice([3, 20, 700, 900])) for i in range(150)}
+    table = spark.createDataFrame([(i, t, f"s{i % 5}") for i, t in texts.items()], "doc_id bigint, text string, source string")
+    again = 0
+    for seed in (1, 2):
+        got = mixing.mix_plan(table, seed=seed).collect()
+        for s in range(5):
+            own = [x for x in got if x.doc_id % 5 == s]
+            left, whole = own[0].target - sum(x.taken for x in own), int(own[0].target // own[0].source_size)
+            again += sum(x.times == whole + 2 for x in own)
+            assert 0 <= left and max(x.times for x in own) <= 3
+            assert left < 1 or left < min([x.size for x in own if x.times < min(3, whole + 2)], default=math.inf)
+        assert Counter(x.doc_id for x in mixing.mixed(table, seed=seed).collect()) == Counter({x.doc_id: x.times for x in got if x.times})
+        assert got == mixing.mix_plan(table, seed=seed).collect() or sorted(got) == sorted(mixing.mix_plan(table, seed=seed).collect())
+    assert again
+
+
 def test_mix_plan_counts_dealt_draws(spark, monkeypatch):
     """Each block's draw lies in one shard, shards are of equal size, and the plan counts what the shards hold."""
     table = docs(spark, [" ".join(["w"] * (1 + i % 9)) for i in range(700)])

@@ -3,7 +3,8 @@
 A source's documents fall into blocks by a hash of doc_id. From the target of its source a block is drawn so many whole times,
 and in one more pass the blocks are drawn in permuted order while they fit whole; from there on each document is taken that fits
 the room left, in the order of its block and then of the following blocks, until what is left is below every document not
-taken. All draws of all sources are then dealt to the output shards by a tree: a node splits its exact numbers of
+taken. Where that is still a word or more, documents that fit are drawn once again, in the same order, if they have not been drawn `most` times (a few
+for a source; a hash of each says its shard). All other draws of all sources are then dealt to the output shards by a tree: a node splits its exact numbers of
 draws by source between its two halves by a multivariate hypergeometric draw, down to one shard, so that each shard has
 its exact quota of every source. A shard draws the next blocks of each source's order, disjoint from those of other shards,
 and shuffles its documents locally.
@@ -19,6 +20,7 @@ other columns, whatever their names, are carried by `mixed` and not read by `mix
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -138,6 +140,7 @@ class Mix:
         more = more.withColumn("more", (F.col("before") + F.col("words") <= F.col("rest")) & (F.col("rest") > 0))
         more = saved(more.select("_key", "_block", "whole", "more", "words", "docs", "least", "rest", "place", "_n"), "draws")
         part = self._parts(more)
+        self.again = self._again(more, most)
         some = part.where("kind > 0").groupBy("_key", "_block").agg(F.max(F.when(F.col("kind") == 1, F.col("o"))).alias("last"))
         draws = more.join(some.withColumn("part", F.lit(True)), ["_key", "_block"], "left").withColumn("_once", F.col("more") | F.coalesce("part", F.lit(False)))
         draws = draws.withColumn("_turn", F.expr("row_number() over (partition by _key, _once order by place)"))
@@ -175,33 +178,55 @@ class Mix:
         Each step looks at the next blocks of each source that hold a document below its room: first at one, whole, and then at
         FILL documents or less, of which only those below the room are moved. It ends when no block left holds one.
         """
-        spark, parts = more.sparkSession, []
         taken = F.when(F.col("more"), F.col("words")).otherwise(0)
         state = more.groupBy("_key").agg((F.first("rest") - F.sum(taken)).alias("room"), F.max(F.when(F.col("more"), F.col("place")).otherwise(0)).alias("at")).where("room >= 1").collect()
+        parts, self.rooms = self._filled(more, [tuple(r) for r in state], 0)
+        return parts
+
+    def _filled(self, more: DataFrame, state: list[tuple[str, float, int]], first: int) -> tuple[DataFrame, dict[str, float]]:
+        """Documents that fit the rooms (key, room, place after which blocks are looked at), and the rooms left in the end; first: documents of the first step, 0 for a block that is looked at whole."""
+        spark, parts, rooms = more.sparkSession, [], {r[0]: r[1] for r in state}
         while state or not parts:
-            at = spark.createDataFrame([tuple(r) for r in state], "_key string, room double, at int")
+            at = spark.createDataFrame(state, "_key string, room double, at int")
             ahead = more.join(F.broadcast(at) if len(state) <= 20_000 else at, "_key").where("place > at and least <= room")
             ahead = ahead.withColumn("n", F.expr("sum(docs) over (partition by _key order by place rows unbounded preceding)"))
-            ahead = ahead.where((F.col("n") == F.col("docs")) | (F.col("n") <= (FILL if parts else 0))).select("_key", "_block", "place", "room")
+            ahead = ahead.where((F.col("n") == F.col("docs")) | (F.col("n") <= (FILL if parts else first))).select("_key", "_block", "place", "room")
             docs = self._placed(self.rows).join(F.broadcast(ahead) if len(state) <= 5_000 else ahead, ["_key", "_block"])
             docs = docs.groupBy("_key", "_block", "place", "room", _hash(self.seed, F.lit("part"), "doc_id").alias("o")).agg(F.sum("size").alias("size"))
-            if parts:
+            if parts or first:
                 docs = docs.where("size <= room")
+            if first:
+                docs = docs.where("size > 0")
             ends = ahead.groupBy("_key", "room").agg(F.max("place").alias("place")).withColumns({"_block": F.lit(-1), "o": F.lit(0).cast("bigint"), "size": F.lit(0).cast("bigint")})
-            docs = docs.unionByName(ends).withColumn("whole_blocks", F.lit(not parts))
+            docs = docs.unionByName(ends).withColumn("whole_blocks", F.lit(not parts and not first))
             parts.append(saved(docs.groupBy("_key").applyInPandas(_fill, "_key string, _block int, kind int, o bigint, room double, place int"), "parts"))
-            state = parts[-1].where("kind = 0 and room >= 1").select("_key", "room", "place").collect()
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+            state = [tuple(r) for r in parts[-1].where("kind = 0").select("_key", "room", "place").collect()]
+            rooms |= {r[0]: r[1] for r in state}
+            state = [r for r in state if r[1] >= 1]
+        return reduce(DataFrame.unionByName, parts), rooms
+
+    def _again(self, draws: DataFrame, most: int) -> DataFrame | None:
+        """_key, _block, _o, _draw, _shard of documents drawn once more to fill the rooms that the last pass leaves; None where there are none.
+
+        What fits such a room has been drawn in every pass, so that a source of `most - 1` whole passes has nothing to draw again.
+        """
+        whole = {r[0]: r[1] for r in self.plan.select("_key", "whole").collect()}
+        state = [(k, room, 0) for k, room in self.rooms.items() if room >= 1 and whole[k] + 2 <= most]
+        if not state:
+            return None
+        found, _ = self._filled(draws, state, FILL)
+        found = found.where("kind = 2").select("_key", "_block", F.col("o").alias("_o"))
+        shard = F.pmod(_hash(self.seed, F.lit("again"), "_key", "_block", "_o"), F.lit(self.shards)).cast("int")
+        return saved(found.join(self.plan.select("_key", "whole"), "_key").select("_key", "_block", "_o", (F.col("whole") + 2).alias("_draw"), shard.alias("_shard")), "again")
 
     def drawn(self, rows: DataFrame) -> DataFrame:
         """Rows (with _key, doc_id) once for each draw, with _draw and _shard."""
         rows = self._placed(rows).withColumn("_o", _hash(self.seed, F.lit("part"), "doc_id"))
+        again = None if self.again is None else rows.join(small(self.again, 64), ["_key", "_block", "_o"])
         rows = rows.join(small(self.also, 64), ["_key", "_block", "_o"], "left").join(small(self.turns, 64), ["_key", "_block"])
         once = F.col("more") | F.coalesce(F.col("_o") <= F.col("last"), F.lit(False)) | F.col("_also").isNotNull()
-        return rows.where((F.col("_draw") <= F.col("whole")) | once)
+        out = rows.where((F.col("_draw") <= F.col("whole")) | once)
+        return out if again is None else out.unionByName(again, allowMissingColumns=True)
 
 
 def dealt(m: Mix, rows: DataFrame) -> DataFrame:
