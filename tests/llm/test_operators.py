@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import components, decontaminate, embeddings, jaccard, licenses, mixing, packing, quality, suffix_arrays, suffix_trees, token_counts
@@ -438,3 +439,29 @@ def test_packing_round_trip(spark, tmp_path):
     back = {d: [i for _, x in sorted(p) for i in x] for d, p in parts.items()}
     assert back == {i: library.encode(t) for i, t in enumerate(texts) if t}
     assert packing.packed_rows(empty(spark), path, 32_000).count() == 0
+
+
+def test_pieces_are_asked_for_once_in_a_worker(monkeypatch):
+    """A later task of the same worker does not have the library encode pieces again; ids are the library's, chunk by chunk and with a full table."""
+    tokenizers = pytest.importorskip("public_tokenizers")
+    import sentencepiece
+
+    path = tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    with open(path, "rb") as f:
+        content = f.read()
+    r = random.Random(9)
+    texts = [None, "", " ", "  ", "▁", "a ", " a", *("".join(r.choice([" ", " ", "▁", "a", "the", "é", "中", "\n", "<s>", "\0"]) for _ in range(r.randrange(40))) for _ in range(300))]
+    want = [library.encode(t) if t else [] for t in texts]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    run, whole = packing._pack(content, path, None, "<u2", 64, 5000, 0), sentencepiece.SentencePieceProcessor.encode
+    first, asked = list(run(iter([batch]))), []
+    monkeypatch.setattr(sentencepiece.SentencePieceProcessor, "encode", lambda self, x, *a, **k: asked.append(x) or whole(self, x, *a, **k))
+    assert list(run(iter([batch]))) == first and sum(b.num_rows for b in first) and not asked
+    monkeypatch.setattr(packing, "CHUNK", 100)
+    to_ids = packing.sentencepiece_ids(content, np.dtype("<u2"), most=20)
+    got = []
+    for lo, hi in packing._chunks(batch.column("text")):
+        ids, sizes = to_ids(batch.column("text").slice(lo, hi - lo))
+        got += [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert got == want

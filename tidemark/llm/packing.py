@@ -1,6 +1,7 @@
 """Token identifiers packed into rows of one length, written as binary matrices.
 
-Texts are turned into ids piece by piece (pieces as in token_counts), overlong documents are split without loss into segments of
+Texts are turned into ids piece by piece (pieces as in token_counts): many texts are cut at once by Arrow, each distinct piece is looked up once, and
+each worker keeps a bounded table of short pieces from task to task. Overlong documents are split without loss into segments of
 at most the row length, and segments are packed by best fit in decreasing order: a segment tree over the room left in
 open rows finds the least room that holds the next segment. Each task packs the documents of its own partition in
 buffers of bounded size, so that nothing is shuffled and no group of documents has to meet.
@@ -17,58 +18,105 @@ dealt to tasks: other partitions give other rows of the same ids.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 ROW = 2048
 #: Tokens of segments shorter than a row that a task gathers before it packs them.
 BUFFER = 2_000_000
-CACHE = 400_000
+#: Pieces that a worker remembers, and the longest that it remembers.
+CACHE, SHORT = 600_000, 64
+#: Bytes of texts that are cut into pieces at once; a longer text is cut alone.
+CHUNK = 8 << 20
+BLANK = "▁"
 
+#: texts -> the ids of all of them in order, and each one's number of ids
+Ids = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
-def sentencepiece_ids(model: bytes, kind: np.dtype) -> Callable[[str], np.ndarray]:
-    """The library's default ids of a text, with a bounded table of pieces."""
+
+def sentencepiece_ids(model: bytes, kind: np.dtype, most: int = CACHE) -> Ids:
+    """The library's default ids, with a table of at most some `most` pieces. When half of it is new, what was not used since then is forgotten."""
     from sentencepiece import SentencePieceProcessor
 
     p = SentencePieceProcessor(model_proto=model)
-    blank = p.encode("a ")[len(p.encode("a")) :]
-    table: dict[str, bytes] = {}
-
-    def learn(pieces: set[str]) -> None:
-        if len(table) + len(pieces) > CACHE:
-            table.clear()
-        new = [x for x in pieces if x not in table and x]
-        table.update(zip(new, (np.array(x, kind).tobytes() for x in p.encode(new, num_threads=1)) if new else ()))
-        table[""] = np.array(blank, kind).tobytes()
-
-    def ids(text: str) -> np.ndarray:
-        pieces = text.replace("▁", " ").split(" ")
-        if "" in pieces:
-            whole, blanks, last = [], 0, len(pieces) - 1
-            for i, x in enumerate(pieces):
-                if x or i == last:
-                    whole.append("▁" * blanks + x)
-                    blanks = 0
-                else:
-                    blanks += 1
-            pieces = whole
-        if not table.keys() >= (needed := set(pieces)):
-            learn(needed)
-        return np.frombuffer(b"".join(map(table.__getitem__, pieces)), kind)
+    blank = np.array(p.encode("a ")[len(p.encode("a")) :], kind).tobytes()
+    new, old = {"": blank}, {}
+
+    def encode(pieces: list[str]) -> Iterator[bytes]:
+        made = p.encode(pieces, num_threads=1)
+        ids = np.fromiter(chain.from_iterable(made), kind).tobytes()
+        ends = (np.cumsum([len(x) for x in made]) * kind.itemsize).tolist()
+        return (ids[lo:hi] for lo, hi in zip([0, *ends], ends))
+
+    def known(pieces: list[str]) -> list[bytes]:
+        nonlocal new, old
+        if len(new) > most // 2:
+            new, old = {"": blank}, new
+        found = list(map(new.get, pieces))
+        lacking = [i for i, x in enumerate(found) if x is None]
+        for i in lacking:
+            found[i] = old.get(pieces[i])
+        unseen = [i for i in lacking if found[i] is None]
+        if unseen:
+            for i, x in zip(unseen, encode([pieces[i] for i in unseen])):
+                found[i] = x
+        new.update((pieces[i], found[i]) for i in lacking if len(pieces[i]) <= SHORT)
+        return found
+
+    def ids(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.zeros(len(texts), np.int64)
+        has = pc.fill_null(pc.greater(pc.binary_length(texts), 0), False)
+        texts = pc.replace_substring(texts.filter(has).cast(pa.large_string()), BLANK, " ")
+        # of a run of blanks the first ends a piece and the others begin the next; one blank goes before the text
+        texts = pc.replace_substring_regex(texts, r"\A ", BLANK)
+        texts = pc.replace_substring(pc.replace_substring(texts, "  ", " " + BLANK), BLANK + " ", BLANK * 2)
+        cut = pc.split_pattern(texts, " ")
+        pieces = cut.flatten().dictionary_encode()
+        which, found = pieces.indices.to_numpy(), known(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+        n = np.fromiter(map(len, found), np.int64, len(found)) // kind.itemsize
+        each = n[which]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        at = np.repeat((np.cumsum(n) - n)[which] - ends[:-1], each)
+        at += np.arange(at.size)
+        sizes[has.to_numpy(zero_copy_only=False)] = np.diff(ends[cut.offsets.to_numpy()])
+        return np.frombuffer(b"".join(found), kind)[at], sizes
 
     return ids
 
 
-def rank_file_ids(ranks: bytes, pattern: str, kind: np.dtype) -> Callable[[str], np.ndarray]:
+def rank_file_ids(ranks: bytes, pattern: str, kind: np.dtype) -> Ids:
     import base64
 
     import tiktoken
 
     table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines()) if a}
     e = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-    return lambda text: np.array(e.encode_ordinary(text), kind)
+
+    def ids(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        made = [e.encode_ordinary(t) if t else [] for t in texts.to_pylist()]
+        return np.fromiter(chain.from_iterable(made), kind), np.array([len(x) for x in made], np.int64)
+
+    return ids
+
+
+@lru_cache(maxsize=2)
+def _ids(content: bytes, path: str, pattern: str | None, kind: str) -> Ids:
+    """One for all tasks of a worker."""
+    return sentencepiece_ids(content, np.dtype(kind)) if path.endswith(".model") else rank_file_ids(content, pattern, np.dtype(kind))
+
+
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """First and last (exclusive) texts of runs of some CHUNK bytes."""
+    ends, lo = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64), 0
+    while lo < ends.size:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CHUNK, "right")))
+        yield lo, hi
+        lo = hi
 
 
 def best_fit_decreasing(lengths: np.ndarray, room: int) -> list[list[int]]:
@@ -113,7 +161,7 @@ def best_fit_decreasing(lengths: np.ndarray, room: int) -> list[list[int]]:
 
 def _pack(content: bytes, path: str, pattern: str | None, kind: str, row: int, buffer: int, pad: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids = sentencepiece_ids(content, np.dtype(kind)) if path.endswith(".model") else rank_file_ids(content, pattern, np.dtype(kind))
+        to_ids = _ids(content, path, pattern, kind)
         held: list[tuple] = []
         held_tokens, doc_type = 0, pa.int64()
 
@@ -142,21 +190,24 @@ def _pack(content: bytes, path: str, pattern: str | None, kind: str, row: int, b
         for b in batches:
             full: list[list[tuple]] = []
             doc_type = b.column("doc_id").type
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                x = to_ids(t) if (t := text.as_py()) else ()
-                for at in range(0, len(x), row):
-                    part = x[at : at + row]
-                    if part.size == row:
-                        full.append([(doc, at, part)])
-                    else:
-                        held.append((doc, at, part.copy()))
-                        held_tokens += part.size
-                if len(full) >= 1000:
-                    yield out(full)
-                    full = []
-                if held_tokens >= buffer:
-                    yield from packed()
-                    held_tokens = 0
+            docs, texts = b.column("doc_id").to_pylist(), b.column("text")
+            for lo, hi in _chunks(texts):
+                ids, sizes = to_ids(texts.slice(lo, hi - lo))
+                for doc, n, end in zip(docs[lo:hi], sizes.tolist(), np.cumsum(sizes).tolist()):
+                    x = ids[end - n : end]
+                    for at in range(0, n, row):
+                        part = x[at : at + row]
+                        if part.size == row:
+                            full.append([(doc, at, part)])
+                        else:
+                            held.append((doc, at, part.copy()))
+                            held_tokens += part.size
+                    if len(full) >= 1000:
+                        yield out(full)
+                        full = []
+                    if held_tokens >= buffer:
+                        yield from packed()
+                        held_tokens = 0
             if full:
                 yield out(full)
         if held:
