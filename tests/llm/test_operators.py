@@ -441,8 +441,8 @@ def test_packing_round_trip(spark, tmp_path):
     assert packing.packed_rows(empty(spark), path, 32_000).count() == 0
 
 
-def test_pieces_are_asked_for_once_in_a_worker(monkeypatch):
-    """A later task of the same worker does not have the library encode pieces again; ids are the library's, chunk by chunk and with a full table."""
+def test_frequent_pieces_are_asked_for_once(monkeypatch):
+    """A full table does not make a task ask the library again for pieces in use; ids are the library's, chunk by chunk."""
     tokenizers = pytest.importorskip("public_tokenizers")
     import sentencepiece
 
@@ -452,16 +452,16 @@ def test_pieces_are_asked_for_once_in_a_worker(monkeypatch):
         content = f.read()
     r = random.Random(9)
     texts = [None, "", " ", "  ", "▁", "a ", " a", *("".join(r.choice([" ", " ", "▁", "a", "the", "é", "中", "\n", "<s>", "\0"]) for _ in range(r.randrange(40))) for _ in range(300))]
-    want = [library.encode(t) if t else [] for t in texts]
-    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
-    run, whole = packing._pack(content, path, None, "<u2", 64, 5000, 0), sentencepiece.SentencePieceProcessor.encode
-    first, asked = list(run(iter([batch]))), []
-    monkeypatch.setattr(sentencepiece.SentencePieceProcessor, "encode", lambda self, x, *a, **k: asked.append(x) or whole(self, x, *a, **k))
-    assert list(run(iter([batch]))) == first and sum(b.num_rows for b in first) and not asked
-    monkeypatch.setattr(packing, "CHUNK", 100)
-    to_ids = packing.sentencepiece_ids(content, np.dtype("<u2"), most=20)
-    got = []
-    for lo, hi in packing._chunks(batch.column("text")):
-        ids, sizes = to_ids(batch.column("text").slice(lo, hi - lo))
-        got += [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
-    assert got == want
+    texts = [*texts, *(f"often w{i}" for i in range(300))]
+    want, whole, asked = {i: library.encode(t) for i, t in enumerate(texts) if t}, sentencepiece.SentencePieceProcessor.encode, []
+    monkeypatch.setattr(packing, "CACHE", 40)
+    monkeypatch.setattr(packing, "CHUNK", 100, raising=False)
+    monkeypatch.setattr(sentencepiece.SentencePieceProcessor, "encode", lambda self, x, *a, **k: asked.extend([x] if isinstance(x, str) else x) or whole(self, x, *a, **k))
+    parts = {}
+    for b in packing._pack(content, path, None, "<u2", 64, 5000, 0)(iter([pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})])):
+        for x in b.to_pylist():
+            ids = np.frombuffer(x["ids"], "<u2").tolist()
+            for doc, start, lo, hi in zip(x["doc_ids"], x["starts"], x["cu_seqlens"], x["cu_seqlens"][1:]):
+                parts.setdefault(doc, []).append((start, ids[lo:hi]))
+    assert {d: [i for _, x in sorted(p) for i in x] for d, p in parts.items()} == want
+    assert asked.count("often") == 1

@@ -1,7 +1,7 @@
 """Token identifiers packed into rows of one length, written as binary matrices.
 
 Texts are turned into ids piece by piece (pieces as in token_counts): many texts are cut at once by Arrow, each distinct piece is looked up once, and
-each worker keeps a bounded table of short pieces from task to task. Overlong documents are split without loss into segments of
+each task keeps a bounded table of short pieces. It goes with the task: what a worker kept would take memory from other queries. Overlong documents are split without loss into segments of
 at most the row length, and segments are packed by best fit in decreasing order: a segment tree over the room left in
 open rows finds the least room that holds the next segment. Each task packs the documents of its own partition in
 buffers of bounded size, so that nothing is shuffled and no group of documents has to meet.
@@ -18,7 +18,6 @@ dealt to tasks: other partitions give other rows of the same ids.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -29,18 +28,18 @@ from pyspark.sql import DataFrame, SparkSession
 ROW = 2048
 #: Tokens of segments shorter than a row that a task gathers before it packs them.
 BUFFER = 2_000_000
-#: Pieces that a worker remembers, and the longest that it remembers.
-CACHE, SHORT = 600_000, 64
+#: Pieces that a task remembers, and the longest that it remembers.
+CACHE, SHORT = 400_000, 64
 #: Bytes of texts that are cut into pieces at once; a longer text is cut alone.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 BLANK = "▁"
 
 #: texts -> the ids of all of them in order, and each one's number of ids
 Ids = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
-def sentencepiece_ids(model: bytes, kind: np.dtype, most: int = CACHE) -> Ids:
-    """The library's default ids, with a table of at most some `most` pieces. When half of it is new, what was not used since then is forgotten."""
+def sentencepiece_ids(model: bytes, kind: np.dtype) -> Ids:
+    """The library's default ids, with a table of some CACHE pieces at most. When half of it is new, what was not used since then is forgotten."""
     from sentencepiece import SentencePieceProcessor
 
     p = SentencePieceProcessor(model_proto=model)
@@ -55,7 +54,7 @@ def sentencepiece_ids(model: bytes, kind: np.dtype, most: int = CACHE) -> Ids:
 
     def known(pieces: list[str]) -> list[bytes]:
         nonlocal new, old
-        if len(new) > most // 2:
+        if len(new) > CACHE // 2:
             new, old = {"": blank}, new
         found = list(map(new.get, pieces))
         lacking = [i for i, x in enumerate(found) if x is None]
@@ -104,12 +103,6 @@ def rank_file_ids(ranks: bytes, pattern: str, kind: np.dtype) -> Ids:
     return ids
 
 
-@lru_cache(maxsize=2)
-def _ids(content: bytes, path: str, pattern: str | None, kind: str) -> Ids:
-    """One for all tasks of a worker."""
-    return sentencepiece_ids(content, np.dtype(kind)) if path.endswith(".model") else rank_file_ids(content, pattern, np.dtype(kind))
-
-
 def _chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """First and last (exclusive) texts of runs of some CHUNK bytes."""
     ends, lo = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64), 0
@@ -161,7 +154,7 @@ def best_fit_decreasing(lengths: np.ndarray, room: int) -> list[list[int]]:
 
 def _pack(content: bytes, path: str, pattern: str | None, kind: str, row: int, buffer: int, pad: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids = _ids(content, path, pattern, kind)
+        to_ids = sentencepiece_ids(content, np.dtype(kind)) if path.endswith(".model") else rank_file_ids(content, pattern, np.dtype(kind))
         held: list[tuple] = []
         held_tokens, doc_type = 0, pa.int64()
 
