@@ -102,6 +102,20 @@ def test_language_pool(spark):
     assert got.code_idx == 1 and 0 < got.probability < 1
 
 
+def test_thresholds_to_the_last_bit(spark, duck):
+    rng = np.random.default_rng(5)
+    cases = [[11, 12, 31], [23, 24, 43], [19, 21, 22, 37, 55], [35, 36, 47, 48, 52], [7], [7, 7], [None], [None, 9, 3], *(rng.integers(0, 60, n).tolist() for n in range(3, 80))]
+    rows = [(f"r{k}", i, None if x is None else x / 5000) for k, case in enumerate(cases) for i, x in enumerate(case)]
+    frames = spark.createDataFrame(rows, "recording_id string, frame_idx bigint, rms double")
+    duck.execute("create temp table energies (recording_id varchar, frame_idx bigint, rms double)")
+    duck.executemany("insert into energies values (?, ?, ?)", rows)
+    th = "SELECT recording_id, p05, p95, greatest(1e-4, p05 + 0.05 * (p95 - p05)) AS threshold FROM (SELECT recording_id, quantile_cont(rms, 0.05) AS p05, quantile_cont(rms, 0.95) AS p95 FROM energies GROUP BY ALL)"
+    got = aggregates.dynamic_threshold(frames).select("recording_id", "p05", "p95", "threshold").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(duck.execute(th).fetchall(), key=str)
+    active = frames.join(aggregates.dynamic_threshold(frames), "recording_id").where("rms >= threshold").select("recording_id", "frame_idx").collect()
+    assert sorted(map(tuple, active)) == sorted(duck.execute(f"SELECT recording_id, frame_idx FROM energies JOIN ({th}) USING (recording_id) WHERE rms >= threshold").fetchall())
+
+
 def test_match_profiles_cover_all_samples(spark, tmp_path):
     """A speaker without a sample_idx divisible by 5 has a profile too."""
     from tidemark.plans import voices

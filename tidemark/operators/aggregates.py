@@ -67,9 +67,20 @@ def support(samples: DataFrame, profiles: DataFrame, least: float = 0.5) -> Data
     return best.groupBy("recording_id", "speaker_id", "profile_id").agg((F.sum(F.when(F.col("c") >= least, F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("support"), F.max("c").alias("best"))
 
 
+def _between(lo: Column, hi: Column, share: Column) -> Column:
+    """lo (1 - share) + hi share in double precision; as in DuckDB's quantile_cont the first product is added without being rounded (fused), which decides whether a value is on a threshold or just below."""
+    fused = F.reflect(F.lit("java.lang.Math"), F.lit("fma"), lo, 1 - share, hi * share).cast("double")
+    return F.when(share == 0, lo).when(lo.isNotNull() & hi.isNotNull(), fused)
+
+
 def dynamic_threshold(frames: DataFrame) -> DataFrame:
-    """max(1e-4, p05 + 0.05 (p95 - p05)) of each recording's energies, exact percentiles."""
-    p = frames.groupBy("recording_id").agg(F.percentile("rms", 0.05).alias("p05"), F.percentile("rms", 0.95).alias("p95"))
+    """max(1e-4, p05 + 0.05 (p95 - p05)) of each recording's energies, exact percentiles, to the last bit those of SQL's quantile_cont."""
+    w = W.partitionBy("recording_id")
+    ranked = frames.select("recording_id", F.col("rms").cast("double").alias("rms"), (F.row_number().over(w.orderBy(F.asc_nulls_last("rms"))) - 1).alias("i"), (F.count("rms").over(w) - 1).alias("last"))
+    places = {"p05": F.col("last") * 0.05, "p95": F.col("last") * 0.95}
+    ends = [F.max(F.when(F.col("i") == end(at), F.col("rms"))).alias(p + side) for p, at in places.items() for side, end in (("_lo", F.floor), ("_hi", F.ceil))]
+    p = ranked.groupBy("recording_id").agg(F.max("last").alias("last"), *ends)
+    p = p.select("recording_id", *[_between(F.col(k + "_lo"), F.col(k + "_hi"), at - F.floor(at)).alias(k) for k, at in places.items()])
     return p.withColumn("threshold", F.greatest(F.lit(1e-4), F.col("p05") + 0.05 * (F.col("p95") - F.col("p05"))))
 
 
