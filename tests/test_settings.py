@@ -63,3 +63,19 @@ def test_presets_and_saving(spark, tmp_path):
     for n in (2, 1):
         G.save_settings(spark.createDataFrame([(i, "x") for i in range(n)], "i int, v string"), f"{tmp_path}/s")
     assert [(r.i, r.v) for r in spark.read.json(f"{tmp_path}/s").collect()] == [(0, "x")]
+
+
+def test_documents_are_read_once(spark, capsys):
+    shown = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "100000")
+    docs = documents(spark, [{"local_model": "whisper-y", "batch_max_segments": 2}, {"local_model": "cohere-x", "colour": 1}, {}])
+    both = G.seeded(G.normalised(docs, RULES), RULES)
+    presets = both.select(F.col("i").cast("string").alias("name"), F.lit(False).alias("built_in"), F.map_filter("settings", lambda k, _: F.map_contains_key("seed", k)).alias("values"))
+    try:
+        for df, parsed, seeds in ((G.presets_for(presets, "whisper-y"), 1, 1), (G.normalised(docs, RULES).select("i", F.explode("settings")), 1, 0), (both.where("settings['local_model'] = 'cohere-x' and size(seed) < 3"), 1, 1)):
+            df.explain(True)
+            plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+            assert (plan.count("parseJson"), plan.count("from_json")) == (parsed, seeds)
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", shown)
+    assert [(r.name, r.model_id, r["values"]) for r in G.presets_for(presets, "whisper-y").collect()] == [("0", "whisper-y", {"local_model": "whisper-y", "batch_max_segments": "2"}), ("2", None, {})]

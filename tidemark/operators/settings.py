@@ -65,10 +65,8 @@ def snapped(n: Column, sizes: Sequence[int] = SIZES) -> Column:
     return F.coalesce(*[F.when(n >= s, F.lit(s)) for s in sorted(sizes, reverse=True)], F.lit(min(sizes)))
 
 
-def _checked(document: Column, key: str, rule: Rule) -> Column:
-    value = F.try_variant_get(document, f"$.{key}", "variant")
-    kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
-    text = F.trim(F.regexp_replace(F.try_variant_get(value, "$", "string"), r"^\s+|\s+$", ""))
+def _checked(value: Column, kind: Column, text: Column, rule: Rule) -> Column:
+    """A variant by its rule; kind and text: its type and itself as trimmed text."""
     number = F.when((kind == "BIGINT") | kind.startswith("DECIMAL") | (kind == "DOUBLE"), F.try_variant_get(value, "$", "double"))
     default = F.lit(rule.default)
     if rule.kind == "bool":
@@ -89,12 +87,20 @@ def _checked(document: Column, key: str, rule: Rule) -> Column:
     return F.coalesce(F.when(whole.isNotNull(), F.greatest(whole, F.lit(rule.least).cast("bigint"))).cast("string"), default)
 
 
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column that is computed once a row, by a generator of one row. A plain column's expression, with the parsing in it, is put into every later filter and lambda that names the column."""
+    return rows.select(*[c for c in rows.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def _with_values(documents: DataFrame, name: str, body: str, rules: Mapping[str, Rule], sent: bool) -> DataFrame:
-    """documents with the checked values of the rules' keys; with sent, of those keys only that a document has. The text is parsed once a row."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("key"), _checked(F.col("_document"), k, r).alias("value")) for k, r in rules.items()])
-    keys = F.coalesce(F.json_object_keys(body), F.array().cast("array<string>"))
+    """documents with the checked values of the rules' keys; with sent, of those keys only that a document has. The text is parsed once a row, a value read once."""
     rows = documents.withColumn("_document", F.try_parse_json(body))
-    return rows.withColumn(name, F.map_from_entries(F.filter(pairs, lambda p: F.array_contains(keys, p["key"])) if sent else pairs)).drop("_document")
+    rows = rows.withColumns({f"_value_{i}": F.try_variant_get("_document", f"$.{k}", "variant") for i, k in enumerate(rules)})
+    rows = rows.withColumns({f"_kind_{i}": F.coalesce(F.schema_of_variant(f"_value_{i}"), F.lit("VOID")) for i in range(len(rules))} | {f"_text_{i}": F.trim(F.regexp_replace(F.try_variant_get(f"_value_{i}", "$", "string"), r"^\s+|\s+$", "")) for i in range(len(rules))})
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), _checked(F.col(f"_value_{i}"), F.col(f"_kind_{i}"), F.col(f"_text_{i}"), r).alias("value")) for i, (k, r) in enumerate(rules.items())])
+    keys = F.coalesce(F.json_object_keys(body), F.array().cast("array<string>"))
+    values = F.map_from_entries(F.filter(pairs, lambda p: F.array_contains(keys, p["key"])) if sent else pairs)
+    return _once(rows, name, values).select(*[c for c in documents.columns if c != name], name)
 
 
 def normalised(documents: DataFrame, rules: Mapping[str, Rule], body: str = "body") -> DataFrame:
@@ -105,7 +111,7 @@ def normalised(documents: DataFrame, rules: Mapping[str, Rule], body: str = "bod
 def seeded(documents: DataFrame, rules: Mapping[str, Rule], body: str = "body") -> DataFrame:
     """documents with `seed`: the values (as JSON text) of the known keys that a document has, unchecked."""
     values = F.coalesce(F.from_json(F.col(body), "map<string,string>"), F.create_map().cast("map<string,string>"))
-    return documents.withColumn("seed", F.map_filter(values, lambda k, _: k.isin(*rules)))
+    return _once(documents, "seed", F.map_filter(values, lambda k, _: k.isin(*rules)))
 
 
 def profiles(documents: DataFrame, key: str, rules: Mapping[str, Rule], models: Sequence[str], body: str = "body") -> DataFrame:
@@ -145,7 +151,8 @@ def presets_for(presets: DataFrame, model: str | None = None) -> DataFrame:
     rows = presets.withColumn("values", listed(F.col("values"))).withColumn("model_id", F.col("values")["local_model"])
     if model is not None:
         rows = rows.where(F.col("model_id").isNull() | (F.col("model_id") == model))
-    return rows.orderBy(F.desc("built_in"), F.lower("name"), "name")
+    # a sort first looks at all its rows for its bounds: dealt out before, they are not made a second time
+    return rows.repartition("name").orderBy(F.desc("built_in"), F.lower("name"), "name")
 
 
 def save_settings(settings: DataFrame, path: str) -> None:

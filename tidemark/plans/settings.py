@@ -23,7 +23,7 @@ _BODY = f"concat('{{\"local_model\":\"model-', c_custkey % 3, '\",\"language_det
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    c = V.table(spark, d, "customer")
+    c = V.table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment").repartition("c_custkey")  # a document is a hundred times its row, so a file's rows are dealt out
     body = F.when(F.col("c_custkey") % 17 == 0, F.lit("no object")).otherwise(F.expr(_BODY))
     return c.select("c_custkey", body.alias("body"))
 
@@ -73,15 +73,15 @@ _START = {"batch_max_segments": "4", "local_gpu_device": "never taken"}
 
 def prj_profile(spark: SparkSession, d: str) -> DataFrame:
     """What each document takes when model-1, which has a start preset, or model-0 is chosen instead of its own."""
-    docs = G.normalised(_documents(spark, d), RULES)
-    chosen = docs.select("c_custkey", "settings", F.when(F.col("c_custkey") % 2 == 0, "model-0").otherwise("model-1").alias("model"))
+    docs = _documents(spark, d)
+    chosen = G.normalised(docs, RULES).select("c_custkey", "settings", F.when(F.col("c_custkey") % 2 == 0, "model-0").otherwise("model-1").alias("model"))
     starts = spark.createDataFrame([("model-1", _START)], "model string, start map<string,string>")
     return G.selected(chosen, G.profiles(docs, "c_custkey", RULES, MODELS), starts, "c_custkey").select("c_custkey", "model", F.explode("values").alias("key", "value"))
 
 
 def prj_preset(spark: SparkSession, d: str) -> DataFrame:
     """Documents as presets of users: what a preset may set, of those for model-1."""
-    docs = G.seeded(G.normalised(_documents(spark, d), RULES), RULES)
+    docs = G.seeded(G.normalised(_documents(spark, d), {k: RULES[k] for k in G.PRESET_KEYS}), RULES)
     sent = F.map_filter("settings", lambda k, _: F.map_contains_key("seed", k) & ((k != "local_model") | (F.col("c_custkey") % 5 != 0)))
     p = docs.select(F.col("c_custkey").cast("string").alias("name"), F.lit(False).alias("built_in"), sent.alias("values"))
     return G.presets_for(p, "model-1").select("name", "model_id", F.size("values").cast("bigint").alias("keys"))
